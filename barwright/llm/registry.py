@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, mixing, url_filter
 
-MODULES = [url_filter, exact_dedup]
+MODULES = [mixing, url_filter, exact_dedup]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
