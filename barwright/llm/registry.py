@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filter
+from . import decontaminate, exact_dedup, mixing, url_filter
 
-MODULES = [mixing, url_filter, exact_dedup]
+MODULES = [mixing, url_filter, decontaminate, exact_dedup]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
