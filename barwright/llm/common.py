@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: A Bloom filter that travels to the executors has at most so many bits (16 MB), whatever the input.
+FILTER_BITS = 1 << 27
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
@@ -48,6 +54,42 @@ def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def bloom(keys: DataFrame, key: Column, n: int) -> Callable[[Column], Column]:
+    """A filter for hashes (long): true for all n keys, false for nearly all others. Its bits are gathered by word, FILTER_BITS at most."""
+    bits = min(FILTER_BITS, 1 << max(12, (16 * n).bit_length()))
+    at = lambda k: [F.pmod(F.xxhash64(F.lit(i), k), F.lit(bits)) for i in (1, 2, 3)]
+    words = keys.select(F.explode(F.array(*at(key))).alias("bit")).groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toPandas()
+    bitmap = np.zeros(bits // 64, "int64")
+    bitmap[words["word"].to_numpy("int64")] = words["mask"].to_numpy("int64")
+    sent = keys.sparkSession.sparkContext.broadcast(bitmap.view("uint64"))
+
+    @F.pandas_udf("boolean")
+    def may_hit(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        hit = np.ones(len(a), bool)
+        for s in (a, b, c):
+            x = s.to_numpy("int64")
+            hit &= (sent.value[x >> 6] >> (x & 63).astype("uint64") & np.uint64(1)).astype(bool)
+        return pd.Series(hit)
+
+    return lambda k: may_hit(*at(k))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of docs whose keys (name: expression on docs) are among the rows of kept, with docs' own columns.
+
+    kept has the columns of keys, and copies: how many rows of docs have these keys. Of rows that repeat, one stays.
+    """
+    tagged = docs.withColumns(keys)
+    match = lambda other: [tagged[k].eqNullSafe(other[f"{k}_"]) for k in keys]
+    right = kept.select(*[F.col(k).alias(f"{k}_") for k in keys], "copies")
+    once = right.where("copies = 1")
+    out = tagged.join(once, match(once), "left_semi")
+    more = right.where("copies > 1")
+    if not more.isEmpty():
+        out = out.unionByName(tagged.join(more, match(more), "left_semi").dropDuplicates(list(keys)))
+    return out.drop(*keys)
+
+
 def without_space(text: Column) -> Column:
     """The text (null: empty) without its ASCII white space."""
     out = F.coalesce(text, F.lit(""))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, url_filter
+from . import decontaminate, exact_dedup, mixing, near_dedup, url_filter
 
-MODULES = [mixing, url_filter, decontaminate, exact_dedup]
+MODULES = [mixing, url_filter, decontaminate, exact_dedup, near_dedup]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
