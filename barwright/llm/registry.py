@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, url_filter
+from . import decontaminate, exact_dedup, html_text, line_dedup, mixing, near_dedup, quality, url_filter
 
-MODULES = [mixing, url_filter, decontaminate, exact_dedup, near_dedup]
+MODULES = [mixing, html_text, quality, line_dedup, url_filter, decontaminate, exact_dedup, near_dedup]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
