@@ -11,16 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, shared_path, store, table, without_space
+from .common import bloom, keep_rows, store, table, without_space
 
 ENTRY = "digest binary, n_chars long, doc_id long, tag long, run int"
-#: The filter that travels to the executors has at most so many bits (16 MB), whatever the input.
-FILTER_BITS = 1 << 27
 
 
 def _flush(memtable_rows: int):
@@ -76,34 +73,16 @@ def lookup(index: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     return docs.withColumn("digest", _digest(F.col(text_col), digest_bytes)).join(index.select("digest", "keep_id"), "digest").select(F.col(id_col), "keep_id")
 
 
-def _filter(spark: SparkSession, groups: DataFrame, n: int):
-    """A pandas UDF that says of a digest whether it may be among those of groups; its bits are gathered by word, FILTER_BITS at most."""
-    bits = min(FILTER_BITS, 1 << max(12, (16 * n).bit_length()))
-    at = [F.pmod(F.xxhash64(F.lit(k), "digest"), F.lit(bits)) for k in (1, 2, 3)]
-    words = groups.select(F.explode(F.array(*at)).alias("bit")).groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toPandas()
-    bitmap = np.zeros(bits // 64, "int64")
-    bitmap[words["word"].to_numpy("int64")] = words["mask"].to_numpy("int64")
-    sent = spark.sparkContext.broadcast(bitmap.view("uint64"))
-
-    @F.pandas_udf("boolean")
-    def may_hit(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        hit = np.ones(len(a), bool)
-        for s in (a, b, c):
-            x = s.to_numpy("int64")
-            hit &= (sent.value[x >> 6] >> (x & 63).astype("uint64") & np.uint64(1)).astype(bool)
-        return pd.Series(hit)
-
-    return may_hit(*at)
-
-
 def _verified(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, digest_bytes: int) -> DataFrame | None:
     """The digests under which different texts met; None if there are none. Only texts of groups are shuffled."""
     groups = index.where("group_size > 1").select("digest", "keep_id", "keep_chars")
     if not (n := groups.count()):
         return None
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(F.col(text_col), digest_bytes).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hits = texts.where(_filter(docs.sparkSession, groups, n)).join(groups, "digest")
-    kept = hits.where("doc_id <=> keep_id and length(text) = keep_chars").groupBy("digest").agg(F.min(without_space(F.col("text"))).alias("keep_text"))
+    hits = texts.where(bloom(groups, F.xxhash64("digest"), n)(F.xxhash64("digest")))
+    of = groups.select(F.col("digest").alias("d"), "keep_id", "keep_chars")
+    kept = hits.join(of, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).where("length(text) = keep_chars")  # one row a group: no key is hot
+    kept = kept.groupBy("digest").agg(F.min(without_space(F.col("text"))).alias("keep_text"))
     other = hits.select("digest", without_space(F.col("text")).alias("text")).join(kept, "digest").where("text <> keep_text").select("digest").distinct()
     other = store(other, "lsm-mismatch")
     return None if other.isEmpty() else other
@@ -133,17 +112,9 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts, all its columns as they are."""
     made = store(decide(docs, id_col, text_col), "lsm-decided")
-    key = ["__id", "__digest", "__n"]
-    tagged = docs.select("*", F.col(id_col).cast("long").alias("__id"), _digest(F.col(text_col), 32).alias("__digest"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("__n"))
-    stays = made.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("n_chars").alias("__n"))
-    same = lambda a, b: (a["__id"].eqNullSafe(b["__id"])) & (a["__digest"] == b["__digest"]) & (a["__n"] == b["__n"])
-    out = tagged.join(stays, same(tagged, stays), "left_semi")
-    repeated = made.where("doc_id <=> keep_id").groupBy("doc_id", "digest", "n_chars").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("n_chars").alias("__n"))
-    repeated = store(repeated, "lsm-repeated")
-    if not repeated.isEmpty():
-        once = out.join(repeated, same(out, repeated), "left_semi").dropDuplicates(key)
-        out = out.join(repeated, same(out, repeated), "left_anti").unionByName(once)
-    return out.drop(*key)
+    keys = {"__id": F.col(id_col).cast("long"), "__digest": _digest(F.col(text_col), 32), "__n": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")}
+    kept = made.where("doc_id <=> keep_id").groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("n_chars").alias("__n")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    return keep_rows(docs, store(kept.where("kept").drop("kept"), "lsm-kept"), keys)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

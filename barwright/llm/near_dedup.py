@@ -26,8 +26,9 @@ from .components import components
 BANDS, ROWS = 24, 4
 #: Words whose hashes a task keeps at hand, and words that it handles at once.
 CACHE_WORDS, CHUNK_WORDS = 400_000, 200_000
-#: Buckets are compared with one member at a time until the pairs left are no more than this times the bucket rows.
-REST = 4
+#: Buckets are compared with one member at a time until the pairs left, of members in different components, are no more than
+#: this times the bucket rows.
+REST = 20
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,22 +181,26 @@ def _links(docs: DataFrame, sketch: DataFrame, width: int, percent: int) -> Data
         else:
             at = at.withColumn("was", F.lit(None).cast("boolean"))
         at = store(at, "near-at")
-        open_ = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), F.max(F.when(F.col("was").isNull(), F.struct("degree", "sid", "comp", "n"))).alias("centre")).where("lo <> hi and centre is not null")
-        open_ = store(open_.select("key", "c", "centre"), "near-open")
-        left, rest = open_.agg(F.count(F.lit(1)), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
+        fresh = F.when(F.col("was").isNull(), F.struct("degree", "sid", "n"))
+        parts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.max(fresh).alias("top"))
+        centre = F.max(F.struct("top.degree", "top.sid", "comp", "top.n")).alias("centre")
+        still = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("c2"), F.max(F.struct("c", "comp"))["comp"].alias("most"), centre)
+        still = store(still.where("parts > 1 and centre.sid is not null"), "near-still")
+        left, rest = still.agg(F.count(F.lit(1)), F.sum(F.col("c") * F.col("c") - F.col("c2")) / 2).first()
         if not left:
             return labels
         last = rest <= REST * at.count()
-        if last:
-            other = at.select("key", F.col("sid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("was").alias("wb"))
-            pairs = at.where("was is null").withColumnRenamed("sid", "a").join(open_.select("key"), "key", "left_semi").join(other, "key").where("a < b and comp <> cb and wb is null")
-            near = (F.col("n") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("n") * percent)
+        if last:  # a pair of two components has one that isn't in the bucket's largest
+            here = at.where("was is null").join(still.select("key", "most"), "key").where("comp <> most").select("key", F.col("sid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+            other = at.where("was is null").select("key", F.col("sid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+            pairs = here.join(other, "key").where("ca <> cb")
         else:
-            pairs = at.join(open_.select("key", "centre"), "key").where("sid <> centre.sid and comp <> centre.comp").withColumnRenamed("sid", "b").withColumn("a", F.col("centre.sid"))
-            near = (F.col("n") * 100 >= F.col("centre.n") * percent) & (F.col("centre.n") * 100 >= F.col("n") * percent)
-            used = open_.select("key", F.col("centre.sid").alias("sid"))
+            here = still.select("key", F.col("centre.sid").alias("a"), F.col("centre.comp").alias("ca"), F.col("centre.n").alias("na"))
+            pairs = at.select("key", F.col("sid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb")).join(here, "key").where("a <> b and ca <> cb")
+            used = here.select("key", F.col("a").alias("sid"))
             centres = used if centres is None else centres.unionByName(used)
-        pairs = store(pairs.where(near).select("a", "b").distinct(), "near-pairs")
+        near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+        pairs = store(pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         found = _verified(pairs, sets, percent)
         links = store(found if links is None else links.unionByName(found), "near-links")
         labels = components(links)
