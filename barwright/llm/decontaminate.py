@@ -142,6 +142,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out.select("doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10) -> DataFrame:
+    """The rows of docs in which no window of any item occurs, with docs' own columns; null and empty texts stay."""
+    windows, _ = windows_of(items, item_col, item_text_col, width)
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    tagged = docs.select(F.col(id_col).alias("hit_id"), row.alias("hit_row"), words_of(F.col(text_col)).alias("words"))
+    hits = store(_found(tagged, _lists(tagged, windows, True), True, 0).where("m is not null").select("hit_id", "hit_row").distinct(), "decon-dirty")
+    hits = small(hits.toDF("__hit_id", "__hit_row"), hits.count(), MAX_BROADCAST_ITEMS)
+    return docs.join(hits, F.col(id_col).eqNullSafe(F.col("__hit_id")) & (row == F.col("__hit_row")), "left_anti")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

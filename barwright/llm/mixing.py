@@ -170,7 +170,15 @@ def mix(docs: DataFrame, weigh: Callable[[DataFrame], DataFrame] | dict = by_ran
     has size 0; a null source is a source; documents of size 0 are taken 0 times. Repeated rows are rows of their own. An
     empty table gives no rows. Runs with one seed agree: blocks and draws follow from doc_id, size and text alone.
     """
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("order"))
+    return _mixed(docs, weigh, cap, seed, id_col, text_col, source_col).drop("order")
+
+
+def _order(seed: int, id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
+def _mixed(docs: DataFrame, weigh: Callable[[DataFrame], DataFrame] | dict, cap: float, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), _order(seed, id_col, text_col).alias("order"))
     thin = store(thin, "mix-sizes")
     sources = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     if isinstance(weigh, dict):
@@ -189,7 +197,7 @@ def mix(docs: DataFrame, weigh: Callable[[DataFrame], DataFrame] | dict = by_ran
     decided, level = None, 1
     while True:
         flown = _level(units, counts, n_sources, level, seed)
-        done = flown.where("decided").select("doc_id", "source", "size", F.col("p").cast("int").alias("more"))
+        done = flown.where("decided").select("doc_id", "source", "size", "order", F.col("p").cast("int").alias("more"))
         decided = done if decided is None else decided.unionByName(done)
         units = flown.where("not decided").select("doc_id", "source", "size", "order", "p")
         counts = store(units.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("source", "__source"), "mix-left")
@@ -198,7 +206,25 @@ def mix(docs: DataFrame, weigh: Callable[[DataFrame], DataFrame] | dict = by_ran
         level += 1
     out = decided.join(of, F.col("source").eqNullSafe(F.col("__source")))
     copies = F.when(F.col("size") > 0, F.floor(F.col("e") + EPS) + F.col("more")).otherwise(0).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "order")
+
+
+def take(docs: DataFrame, weigh: Callable[[DataFrame], DataFrame] | dict = by_rank(), cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:  # noqa: B008
+    """The documents that the mix takes, with docs' own columns, copies (how often, 1 at least) and taken (words in all).
+
+    Of rows that repeat (same doc_id, text and source) one stands for all, with the copies of all. Columns named copies or
+    taken are replaced. An empty table gives no rows.
+    """
+    made = _mixed(docs, weigh, cap, seed, id_col, text_col, source_col).groupBy("doc_id", "source", "order")
+    made = store(made.agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows")).where("copies > 0"), "mix-taken")
+    made = made.toDF("__id", "__source", "__order", "copies", "taken", "__rows")
+    own = docs.drop(*[c for c in ("copies", "taken") if c in docs.columns])
+    same = F.col("__order") == _order(seed, id_col, text_col)
+    same &= F.col("__id").eqNullSafe(F.col(id_col).cast("long")) & F.col("__source").eqNullSafe(F.col(source_col).cast("string"))
+    out = own.join(made.where("__rows = 1"), same)
+    if not (more := made.where("__rows > 1")).isEmpty():
+        out = out.unionByName(own.join(more, same).dropDuplicates(["__id", "__source", "__order"]))
+    return out.select(*[F.col(f"`{c}`") for c in own.columns], "copies", "taken")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,14 @@ def test_matches(spark):
     b = spark.createDataFrame([(5, "one two three four")], "item_id long, text string")
     assert [(r.doc_id, r.start, r.stop, r.item_id) for r in m.matches(d, b).collect()] == [(1, 1, 5, 5)]
     assert sorted({r.doc_id for r in m.matches(d, b, slop=2).collect()}) == [1, 2]
+
+
+def test_keep_clean(spark):
+    docs, items = case(4)
+    d = spark.createDataFrame([(*x, "clash", 1) for x in docs], "doc_id long, text string, words string, hit_id int")
+    out = m.keep_clean(d, spark.createDataFrame(items, "item_id long, text string"))
+    dirty = {i for i, *_, hit in brute([x for x in docs if x[0] not in (None, 302)], items) if hit}
+    kept = [r.doc_id for r in out.collect()]
+    assert out.columns == d.columns
+    assert sorted(x for x in kept if x not in (None, 302)) == sorted(i for i, _ in docs if i not in dirty and i not in (None, 302))
+    assert m.keep_clean(d, spark.createDataFrame([], "item_id long, text string")).count() == len(docs)

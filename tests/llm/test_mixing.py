@@ -89,3 +89,16 @@ def test_weights_by_name(spark):
     rows = [(i, "w w", "ab"[i % 2]) for i in range(400)]
     out = m.mix(docs_of(spark, rows), {"a": 3.0, "b": 1.0}).toPandas()
     assert out.groupby("source").taken.sum().to_dict() == {"a": 600, "b": 200}
+
+
+def test_take(spark):
+    r = random.Random(3)
+    rows = [(i, "w%d " % i * r.randint(0, 9), s) for i, s in enumerate(["a"] * 40 + ["b"] * 300 + [None] * 30)]
+    rows += [rows[2], rows[2], rows[60], (None, "x y", "b"), (None, "x y", "b"), (999, None, "a")]
+    df = docs_of(spark, rows)
+    made, out = m.mix(df).toPandas(), m.take(df)
+    assert out.columns == [*df.columns, "copies", "taken"]
+    out = out.toPandas()
+    assert (out.copies > 0).all() and out.taken.sum() == made.taken.sum()
+    assert sorted(out.doc_id.dropna()) == sorted(made[made.copies > 0].doc_id.dropna().unique())
+    assert m.take(df.limit(0)).count() == 0
