@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from . import candle_queries, graph_queries, study_queries
+
+MODULES: list = [candle_queries, graph_queries, study_queries]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
