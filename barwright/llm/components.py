@@ -7,34 +7,38 @@ from pyspark.sql import functions as F
 
 from .common import store
 
+#: Links to a file of the tables between rounds.
+FILE_LINKS = 100_000
+
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b) to (node, root) for every node with a link; root is the least node of its component.
+    """links (a, b) to (node, root) for every node with a link to another one; root is the least node of its component.
 
-    Each round hooks every node to its least neighbour if that is less, jumps pointers until all point to roots, and
-    relabels the links by roots. At least half of the nodes that still have links cease to be roots in a round.
+    Each round points every node to the least node within two links, jumps pointers until all point to roots, and relabels
+    the links by roots. At least half of the nodes that still have links cease to be roots in a round.
     """
     links = store(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    labels = None
-    while not links.isEmpty():
+    forests = []
+    while n := links.count():
+        files = -(-n // FILE_LINKS)
         both = links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        hooked = store(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root")), "hooked")
+        near = both.groupBy("node").agg(F.min("to").alias("to")).select(F.col("node").alias("n1"), F.least("node", "to").alias("l1"))
+        hooked = both.join(near, F.col("to") == F.col("n1")).groupBy("node").agg(F.min("l1").alias("l1")).select("node", F.least("node", "l1").alias("root"))
+        roots = store(hooked.coalesce(files), "hooked")
         while True:
-            up = hooked.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-            jumped = store(hooked.join(up, F.col("root") == F.col("n2")).select("node", F.col("r2").alias("root"), (F.col("root") != F.col("r2")).alias("moved")), "jumped")
-            moved = not jumped.where("moved").isEmpty()
-            hooked = jumped.drop("moved")
-            if not moved:
+            up = lambda i, t: t.select(F.col("node").alias(f"n{i}"), F.col("root").alias(f"r{i}"))
+            jumped = roots.join(up(2, roots), F.col("root") == F.col("n2")).join(up(3, roots), F.col("r2") == F.col("n3"))
+            jumped = store(jumped.select("node", F.col("r3").alias("root"), (F.col("r2") != F.col("r3")).alias("moved")).coalesce(files), "jumped")
+            roots = jumped.drop("moved")
+            if jumped.where("moved").isEmpty():
                 break
-        roots = hooked.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        if labels is None:
-            labels = hooked
-        else:
-            labels = labels.join(roots, F.col("root") == F.col("n2"), "left").select("node", F.coalesce("r2", "root").alias("root"))
-        labels = store(labels, "labels")
-        a = roots.select(F.col("n2").alias("na"), F.col("r2").alias("ra"))
-        links = links.join(a, F.col("a") == F.col("na")).join(roots, F.col("b") == F.col("n2")).where("ra <> r2")
-        links = store(links.select(F.least("ra", "r2").alias("a"), F.greatest("ra", "r2").alias("b")).distinct(), "links")
-    if labels is None:
+        forests.append(roots)
+        of = lambda c: roots.select(F.col("node").alias(f"n{c}"), F.col("root").alias(f"r{c}"))  # noqa: E731, B023
+        left = links.join(of("a"), F.col("a") == F.col("na")).join(of("b"), F.col("b") == F.col("nb")).where("ra <> rb")
+        links = store(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct().coalesce(files), "links")
+    if not forests:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return labels
+    labels = forests[0]
+    for f in forests[1:]:
+        labels = labels.join(f.select(F.col("node").alias("n2"), F.col("root").alias("r2")), F.col("root") == F.col("n2"), "left").select("node", F.coalesce("r2", "root").alias("root"))
+    return labels if len(forests) == 1 else store(labels, "labels")

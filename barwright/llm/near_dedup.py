@@ -4,8 +4,10 @@ SuperMinHash: every shingle draws a random permutation of the slots, step by ste
 to the slot that the permutation names, and a slot keeps its least offer. The ranks are correlated, which makes the
 estimate's variance less than that of plain MinHash. Once no slot is above j + 1, no later step can change any slot, so a
 document of many shingles stops after a step or two. Documents with equal sets are one class; classes that agree in a band
-meet in a bucket. A bucket is compared with the member that has most neighbours, and again with another one while some of
-its members are in different components; the few pairs left at the end are all compared. Links are confirmed on full sets.
+meet in a bucket. A bucket is compared with the member that has most neighbours, then with some others, while its members
+are in different components; the pairs left at the end are all compared. A parity sketch of each set gives a lower bound of
+how many shingles two sets don't share, so that pairs which can't be linked are left out inside the join, for certain. Links
+are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bloom, keep_rows, store, table
@@ -26,9 +28,13 @@ from .components import components
 BANDS, ROWS = 24, 4
 #: Words whose hashes a task keeps at hand, and words that it handles at once.
 CACHE_WORDS, CHUNK_WORDS = 400_000, 200_000
-#: Buckets are compared with one member at a time until the pairs left, of members in different components, are no more than
-#: this times the bucket rows.
-REST = 20
+#: Rounds of comparing a bucket with some members: its most connected one first, then about HEADS, then four times as many in
+#: each round, until the pairs left, of members in different components, are no more than REST times the rows of their buckets.
+STARS, HEADS, REST = 2, 16, 200
+#: Longs of a set's parity sketch.
+PARITY = 16
+#: Rows to a file of the tables between rounds.
+FILE_ROWS = 50_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,6 +111,14 @@ def _class_ids(h: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in both]
 
 
+def _parity(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(documents x PARITY) longs: bit x is the parity of the number of shingles whose hash is x modulo the number of bits."""
+    docs, bits = len(starts) - 1, 64 * PARITY
+    owner = np.repeat(np.arange(docs), np.diff(starts))
+    odd = np.bincount(owner * bits + (h % np.uint64(bits)).astype("int64"), minlength=docs * bits) & 1
+    return np.packbits(odd.astype("uint8").reshape(docs, bits), axis=1).view("int64")
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of 4000 rows at most, cut after about CHUNK_WORDS words."""
     for b in batches:
@@ -124,16 +138,17 @@ def _sketches(width: int, bands: int, rows: int):
             h, starts = shingle_sets(texts, width, hashes)
             n = np.diff(starts)
             full = np.flatnonzero(n)
-            sid, keys = [None] * len(texts), [None] * len(texts)
+            sid, keys, parity = [None] * len(texts), [None] * len(texts), np.zeros((len(texts), PARITY), "int64")
             if len(full):
                 tight = np.concatenate([[0], np.cumsum(n[full])])
                 sig = superminhash(h, tight, bands * rows).view("uint64").reshape(len(full), bands, rows)
                 key = np.broadcast_to(np.arange(1, bands + 1, dtype="uint64"), (len(full), bands)) * _GOLD
                 for r in range(rows):
                     key = _mix(key * _M2 + sig[:, :, r])
+                parity[full] = _parity(h, tight)
                 for i, s, k in zip(full, _class_ids(h, tight), key.view("int64")):
                     sid[i], keys[i] = s, k
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n, "int64"), pa.array(sid, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "n", "sid", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n, "int64"), pa.array(sid, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *[pa.array(parity[:, i]) for i in range(PARITY)]], ["doc_id", "row", "n", "sid", "bands", *[f"p{i}" for i in range(PARITY)]])
 
     return run
 
@@ -152,60 +167,73 @@ def _sets(width: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those with 100 * intersection >= percent * union."""
+    """Of pairs (a, b and more) those with 100 * intersection >= percent * union. Only the sets of pairs are shuffled."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).select(F.xxhash64("sid").alias("h")).distinct()
+    sets = sets.where(bloom(ends, F.col("h"), ends.count())(F.xxhash64("sid")))
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(right, "b").join(left, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    return both.where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
+    return both.where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select(pairs.columns)
+
+
+def _apart(percent: int) -> Column:
+    """Whether sets a and b (columns na, nb, a0.., b0..) can be linked at all: by their sizes, and by their parity sketches.
+
+    Every shingle that only one of them has flips one bit, so the bits that differ are no more than those shingles.
+    """
+    na, nb = F.col("na"), F.col("nb")
+    bits = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, PARITY)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (bits * (100 + percent) <= (na + nb) * (100 - percent))
 
 
 def _links(docs: DataFrame, sketch: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """(node, root) of the classes that are linked with another one."""
-    classes = store(sketch.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("row").alias("row")), "near-classes")
+    """(node, root) of the classes that meet another one in a bucket; None if there are none."""
+    parity = [f"p{i}" for i in range(PARITY)]
+    first = lambda c: F.first(c).alias(c)
+    classes = store(sketch.where("sid is not null").groupBy("sid").agg(first("n"), first("bands"), F.min("row").alias("row"), *map(first, parity)), "near-classes")
     each = classes.select(F.explode("bands").alias("key"), "sid", "n")
     buckets = store(each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-buckets")
     if not (n := buckets.count()):
         return None
     met = store(each.where(bloom(buckets, F.col("key"), n)(F.col("key"))).join(buckets, "key"), "near-met")
     degree = met.groupBy("sid").agg(F.sum("c").alias("degree"))
-    met = store(met.drop("c").join(degree, "sid"), "near-degrees")
-    wanted = classes.join(degree.select("sid"), "sid", "left_semi").select("row")
-    wanted = bloom(wanted, F.col("row"), wanted.count())
-    sets = docs.where(wanted(F.col("row"))).select("text").mapInArrow(_sets(width), "sid binary, shingles array<long>")
+    at = store(met.join(degree, "sid").withColumn("comp", F.col("sid")), "near-at")
+    wanted = store(classes.join(degree.select("sid"), "sid", "left_semi").drop("bands"), "near-wanted")
+    rows = bloom(wanted, F.col("row"), wanted.count())
+    sets = docs.where(rows(F.col("row"))).select("text").mapInArrow(_sets(width), "sid binary, shingles array<long>")
     sets = store(sets.dropDuplicates(["sid"]), "near-sets")
-    links, labels, centres = None, None, None
+    sketches = wanted.select("sid", *parity)
+    labels, turn = wanted.select(F.col("sid").alias("node"), F.col("sid").alias("root")), 0
     while True:
-        at = met.withColumn("comp", F.col("sid")) if labels is None else met.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
-        if centres is not None:
-            at = at.join(centres.withColumn("was", F.lit(True)), ["key", "sid"], "left")
-        else:
-            at = at.withColumn("was", F.lit(None).cast("boolean"))
-        at = store(at, "near-at")
-        fresh = F.when(F.col("was").isNull(), F.struct("degree", "sid", "n"))
-        parts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.max(fresh).alias("top"))
+        parts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("degree", "sid", "n")).alias("top"))
         centre = F.max(F.struct("top.degree", "top.sid", "comp", "top.n")).alias("centre")
-        still = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("c2"), F.max(F.struct("c", "comp"))["comp"].alias("most"), centre)
-        still = store(still.where("parts > 1 and centre.sid is not null"), "near-still")
-        left, rest = still.agg(F.count(F.lit(1)), F.sum(F.col("c") * F.col("c") - F.col("c2")) / 2).first()
+        still = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("c2"), F.max(F.struct("k", "comp"))["comp"].alias("most"), centre)
+        still = store(still.where("parts > 1"), "near-still")
+        left, rest, active, largest = still.agg(F.count(F.lit(1)), F.sum(F.col("c") * F.col("c") - F.col("c2")) / 2, F.sum("c"), F.max("c")).first()
         if not left:
             return labels
-        last = rest <= REST * at.count()
-        if last:  # a pair of two components has one that isn't in the bucket's largest
-            here = at.where("was is null").join(still.select("key", "most"), "key").where("comp <> most").select("key", F.col("sid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-            other = at.where("was is null").select("key", F.col("sid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-            pairs = here.join(other, "key").where("ca <> cb")
-        else:
-            here = still.select("key", F.col("centre.sid").alias("a"), F.col("centre.comp").alias("ca"), F.col("centre.n").alias("na"))
-            pairs = at.select("key", F.col("sid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb")).join(here, "key").where("a <> b and ca <> cb")
-            used = here.select("key", F.col("a").alias("sid"))
-            centres = used if centres is None else centres.unionByName(used)
-        near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-        pairs = store(pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-        found = _verified(pairs, sets, percent)
-        links = store(found if links is None else links.unionByName(found), "near-links")
-        labels = components(links)
+        last = turn >= STARS and (rest <= REST * active or HEADS * 4 ** (turn - 1) >= largest)
+        others = at.join(still.select("key", "most"), "key")
+        if turn == 0:
+            heads = still.select("key", F.col("centre.sid").alias("sid"), F.col("centre.comp").alias("comp"), F.col("centre.n").alias("n"))
+        elif not last:
+            heads = others.where(F.pmod(F.xxhash64("sid", F.lit(turn)), F.col("c")) < HEADS * 4 ** (turn - 1)).select("key", "sid", "comp", "n")
+        else:  # of two components one isn't the bucket's largest
+            heads = others.where("comp <> most").select("key", "sid", "comp", "n")
+        side = lambda df, x: df.join(sketches, "sid").select("key", F.col("sid").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), *[F.col(p).alias(f"{x}{i}") for i, p in enumerate(parity)])
+        pairs = side(heads, "a").join(side(others, "b"), "key").where((F.col("ca") != F.col("cb")) & _apart(percent))
+        turned = F.col("a") > F.col("b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(turned, F.col("ca")).otherwise(F.col("cb")).alias("cb"))
+        pairs = store(pairs.distinct(), "near-pairs")
+        comps = components(_verified(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        comps = comps.select(F.col("node").alias("was"), F.col("root").alias("now"))
+        labels = labels.join(comps, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+        labels = store(labels.coalesce(-(-labels.count() // FILE_ROWS)), "near-labels")
         if last:
             return labels
+        at = others.join(comps, F.col("comp") == F.col("was"), "left").select("key", "sid", "n", "c", "degree", F.coalesce("now", "comp").alias("comp"))
+        at = store(at.coalesce(-(-active // FILE_ROWS)), "near-at")
+        turn += 1
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -218,7 +246,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"))
-    sketch = store(base.mapInArrow(_sketches(width, bands, rows), "doc_id long, row long, n long, sid binary, bands array<long>"), "near-sketch")
+    sketch = store(base.mapInArrow(_sketches(width, bands, rows), "doc_id long, row long, n long, sid binary, bands array<long>, " + ", ".join(f"p{i} long" for i in range(PARITY))), "near-sketch")
     labels = _links(base, sketch, width, percent)
     out = sketch.select("doc_id", "row", F.col("n").alias("n_shingles"), "sid")
     if labels is None:

@@ -121,3 +121,13 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if k in got} and set(got) == {x for a, b in edges if a != b for x in (a, b)}
+
+
+def test_parity_sketches_bound_what_sets_dont_share():
+    r = np.random.default_rng(3)
+    for n in (1, 30, 400, 5000):
+        x = np.unique(r.integers(0, 2**52, n, dtype="uint64"))
+        y = np.unique(np.concatenate([x[: n // 2], r.integers(0, 2**52, n // 3, dtype="uint64")]))
+        p = m._parity(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])).view("uint64")
+        bits = sum(int(a).bit_count() for a in p[0] ^ p[1])
+        assert bits <= len(np.setxor1d(x, y)) and (n > 400 or bits >= 0.7 * len(np.setxor1d(x, y)))
