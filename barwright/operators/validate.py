@@ -97,11 +97,12 @@ def best(scored: DataFrame, by: Sequence[str], n: int = 1, worst: bool = False)
     return scored.where("score IS NOT NULL").withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, "param_id"))).where(F.col("rank") <= n)
 
 
-def walk_forward(bars: DataFrame, by: Sequence[str], fast: Sequence[int], slow: Sequence[int], in_sample: int, out_sample: int, step: int | None = None, costs: Costs = FREE, start: float = 10_000.0) -> DataFrame:
+def walk_forward(bars: DataFrame, by: Sequence[str], fast: Sequence[int], slow: Sequence[int], in_sample: int, out_sample: int, step: int | None = None, costs: Costs = FREE, start: float = 10_000.0, allowed: DataFrame | None = None) -> DataFrame:
     """by, window, param_id, fast, slow, score (in-sample return, percent), oos_return_pct, balance (compounded over windows).
 
     Windows of in_sample + out_sample bars slide by step (out_sample by default). In each, the parameters of the best
     in-sample return are chosen, ties in grid order; they run on into the out-of-sample part with their state and open position.
+    allowed (by, param_id) leaves other parameters out.
     """
     step = step or out_sample
     span = in_sample + out_sample
@@ -113,6 +114,8 @@ def walk_forward(bars: DataFrame, by: Sequence[str], fast: Sequence[int], slow:
     b = b.withColumn("__oos", F.col("__i") - F.col("window") * step >= in_sample)
     key = [*by, "window"]
     s = sma_grid(b, key, fast, slow)
+    if allowed is not None:
+        s = s.join(F.broadcast(allowed), [*by, "param_id"], "left_semi")
     p = [*key, "param_id"]
     begin = b.where("__oos").groupBy(*key).agg(F.min("ts").alias("__begin"))
     curve = equity_curve(s, p, costs, start=start).join(F.broadcast(begin), key).where(F.col("ts") < F.col("__begin"))
@@ -125,6 +128,11 @@ def walk_forward(bars: DataFrame, by: Sequence[str], fast: Sequence[int], slow:
     return out.select(*key, "param_id", "fast", "slow", "score", "oos_return_pct", (start * grown).alias("balance"))
 
 
+def cost_adjusted(magnitude, drag_pct):
+    """A metric (column) less the share of it that costs take, never turned negative; null if either is."""
+    return magnitude * F.greatest(1 - drag_pct / 100, F.lit(0.0))
+
+
 #: Metrics by the least service tier that shows them; others show from GOLD on.
 TIERS = {"BASIC": 1, "SILVER": 2, "GOLD": 3}
 METRIC_TIER = {"total_return_pct": "BASIC", "total_trades": "BASIC", "win_rate_pct": "BASIC", "max_drawdown_pct": "BASIC", "profit_factor": "SILVER", "sharpe_ratio": "SILVER", "sortino_ratio": "SILVER", "calmar_ratio": "SILVER"}
