@@ -238,10 +238,11 @@ def _stretched(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stat(name: str, sql: str, width: int = 12):
     oracle = f"""WITH {_STRETCH}, fr AS (SELECT instrument, ts, list_sort(list(v) OVER w) AS l, count(v) OVER w AS k FROM st WINDOW w AS ({_IN} ROWS {width - 1} PRECEDING))
- SELECT instrument, ts, round(CASE WHEN k >= {width // 2} THEN {sql} END, 6) AS {name} FROM fr"""
+ SELECT instrument, ts, round(CASE WHEN k >= {width // 2} THEN {sql} END, 6) + 0.0 AS {name} FROM fr"""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return rounds(runlevel.statistic(_stretched(spark, sf), ["instrument", "stretch"], "v", name, width, "half").select("instrument", "ts", name), [])
+        out = runlevel.statistic(_stretched(spark, sf), ["instrument", "stretch"], "v", name, width, "half")
+        return out.select("instrument", "ts", (r(name) + 0.0).alias(name))  # no -0.0
 
     QUERIES[f"rolling_{name}"], ORACLES[f"rolling_{name}"] = run, oracle
 
