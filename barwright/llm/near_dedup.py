@@ -186,11 +186,15 @@ def _apart(percent: int) -> Column:
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (bits * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def _links(docs: DataFrame, sketch: DataFrame, width: int, percent: int) -> DataFrame | None:
+def _classes(sketch: DataFrame) -> DataFrame:
+    """One row a set: sid, n, bands, row (of one of its documents), least (doc_id) and the parity sketch."""
+    first = lambda c: F.first(c).alias(c)
+    return store(sketch.where("sid is not null").groupBy("sid").agg(first("n"), first("bands"), F.min("row").alias("row"), F.min("doc_id").alias("least"), *[first(f"p{i}") for i in range(PARITY)]), "near-classes")
+
+
+def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(node, root) of the classes that meet another one in a bucket; None if there are none."""
     parity = [f"p{i}" for i in range(PARITY)]
-    first = lambda c: F.first(c).alias(c)
-    classes = store(sketch.where("sid is not null").groupBy("sid").agg(first("n"), first("bands"), F.min("row").alias("row"), *map(first, parity)), "near-classes")
     each = classes.select(F.explode("bands").alias("key"), "sid", "n")
     buckets = store(each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-buckets")
     if not (n := buckets.count()):
@@ -198,7 +202,7 @@ def _links(docs: DataFrame, sketch: DataFrame, width: int, percent: int) -> Data
     met = store(each.where(bloom(buckets, F.col("key"), n)(F.col("key"))).join(buckets, "key"), "near-met")
     degree = met.groupBy("sid").agg(F.sum("c").alias("degree"))
     at = store(met.join(degree, "sid").withColumn("comp", F.col("sid")), "near-at")
-    wanted = store(classes.join(degree.select("sid"), "sid", "left_semi").drop("bands"), "near-wanted")
+    wanted = store(classes.join(degree.select("sid"), "sid", "left_semi").drop("bands", "least"), "near-wanted")
     rows = bloom(wanted, F.col("row"), wanted.count())
     sets = docs.where(rows(F.col("row"))).select("text").mapInArrow(_sets(width), "sid binary, shingles array<long>")
     sets = store(sets.dropDuplicates(["sid"]), "near-sets")
@@ -247,14 +251,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"))
     sketch = store(base.mapInArrow(_sketches(width, bands, rows), "doc_id long, row long, n long, sid binary, bands array<long>, " + ", ".join(f"p{i} long" for i in range(PARITY))), "near-sketch")
-    labels = _links(base, sketch, width, percent)
-    out = sketch.select("doc_id", "row", F.col("n").alias("n_shingles"), "sid")
-    if labels is None:
-        out = out.withColumn("group", F.col("sid"))
-    else:
-        out = out.join(labels.select(F.col("node").alias("sid"), F.col("root")), "sid", "left").withColumn("group", F.coalesce("root", "sid")).drop("root")
-    least = out.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    out = out.join(least, "group", "left").withColumn("component_id", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    classes = _classes(sketch)
+    labels = _links(base, classes, width, percent)
+    of = classes.select("sid", F.col("least").alias("component_id"))
+    if labels is not None:
+        both = store(classes.select("sid", "least").join(labels, F.col("sid") == F.col("node"), "left"), "near-rooted")
+        least = store(both.where("root is not null").groupBy("root").agg(F.min("least").alias("c")), "near-least")
+        of = both.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r"), "left").select("sid", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("c")).alias("component_id"))
+    of = store(of.withColumnRenamed("sid", "s"), "near-components")  # so that a hot set's documents can be split in the join
+    out = sketch.select("doc_id", "row", F.col("n").alias("n_shingles"), "sid").join(of, F.col("sid") == F.col("s"), "left")
+    out = out.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "row")
 
 
