@@ -83,9 +83,9 @@ def _verified(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, dig
     of = groups.select(F.col("digest").alias("d"), "keep_id", "keep_chars")
     kept = hits.join(of, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).where("length(text) = keep_chars")  # one row a group: no key is hot
     kept = store(kept.groupBy("digest").agg(F.min(without_space(F.col("text"))).alias("keep_text")), "lsm-kept-texts")  # so that the next join deals its rows anew, and a hot digest's can be split
-    other = hits.select("digest", without_space(F.col("text")).alias("text")).join(kept, "digest").where("text <> keep_text").select("digest").distinct()
+    other = hits.select("digest", without_space(F.col("text")).alias("text")).join(kept, "digest").where("text <> keep_text").select("digest")
     other = store(other, "lsm-mismatch")
-    return None if other.isEmpty() else other
+    return None if other.isEmpty() else other.distinct()
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, memtable_rows: int = 1 << 16) -> DataFrame:
