@@ -3,13 +3,15 @@
 Corpus counts are taken over every training document. Frequent words (the shortlist) are dealt to classes of equal mass
 and predicted as P(class | state) * P(word | class, state); all other words fall into classes by their last three bytes and
 have P(class | state) * (c + 1) / (N_k + V_k + 1), with c, N_k and V_k from the corpus counts, so that every word has a
-chance and chances add up. The recurrent unit (GRU) is trained by truncated backpropagation: replicas on shards of a share of
-the training documents, averaged after each round; the share is the same at every size. A state runs through a whole document,
-carried from window to window. Counts of words outside the broadcast head are joined by shuffle.
+chance and chances add up. The recurrent unit (GRU) is trained by truncated backpropagation over every training document
+once: the documents are dealt to rounds, those of a round to replicas on shards that grow with the corpus, and replicas are
+averaged after each round. A state runs through a whole document, carried from window to window. Counts of words outside the
+broadcast head are joined by shuffle.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,8 +31,8 @@ CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 64, 64
 SHORT = CLASSES * CLASS_WORDS
 #: Most frequent words, at most so many, whose counts are broadcast (some 10 MB); counts of the rest are joined.
 HEAD_WORDS = 131_072
-#: Training: rounds, each over another share of the training documents; words to a replica; streams and steps of a window.
-ROUNDS, SHARE, REPLICA_WORDS, STREAMS, STEPS = 3, 1 / 16, 500_000, 48, 32
+#: Training: rounds, which share out all training documents; least words to a replica; streams and steps of a window.
+ROUNDS, REPLICA_WORDS, STREAMS, STEPS = 8, 500_000, 48, 32
 SCORE_STREAMS = 256
 #: Replicas whose weights one task adds up.
 FAN_IN = 16
@@ -353,18 +355,26 @@ def _added(kind: str, size: int):
     return run
 
 
-def fit(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, share: float = SHARE) -> np.ndarray:
-    """Weights after so many rounds; in each, every replica starts from the mean of the last and sees its shard of another share of docs."""
+def replicas(words: float) -> int:
+    """Replicas of a round over so many words: one for each REPLICA_WORDS at first, then by the root, so that shards grow as well."""
+    shards = words / REPLICA_WORDS
+    return max(1, math.ceil(min(shards, 2 * math.sqrt(shards))))
+
+
+def fit(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after all rounds; in each, every replica starts from the mean of the last and sees its shard of the round's docs.
+
+    The rounds share out docs by a hash of the row, and none is left out: every document is trained on once.
+    """
     spark = docs.sparkSession
     flat = initial(v)
     sent = spark.sparkContext.broadcast(v)
     order = F.xxhash64(F.col(id_col), F.col(text_col))
-    parts = max(rounds, round(1 / share))
-    slices = docs.select(F.col(text_col).alias("text"), order.alias("order")).where(F.pmod("order", F.lit(parts)) < rounds)
-    replicas = max(1, -(-int(v.total * share) // REPLICA_WORDS))
+    slices = docs.select(F.col(text_col).alias("text"), order.alias("order"))
+    shards_of_round = replicas(v.total / rounds)
     for k in range(rounds):
         start = spark.sparkContext.broadcast(flat)
-        rate = 0.006 / (1 + k)
+        rate = 0.006 / (1 + 3 * k / rounds)
 
         def run(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
             code = Encoder(sent.value)
@@ -379,10 +389,10 @@ def fit(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
             if seen:
                 yield _moved(seen, loss, (out - start.value).astype("float16"))
 
-        shards = slices.where(F.pmod("order", F.lit(parts)) == k).repartition(replicas, "order").sortWithinPartitions("order")
-        made, n = shards.mapInArrow(run, MOVED), replicas
+        shards = slices.where(F.pmod("order", F.lit(rounds)) == k).repartition(shards_of_round, "order").sortWithinPartitions("order")
+        made, n = shards.mapInArrow(run, MOVED), shards_of_round
         while True:
-            n, first = -(-n // FAN_IN), n == replicas
+            n, first = -(-n // FAN_IN), n == shards_of_round
             made = made.repartition(n).mapInArrow(_added("float16" if first else "float64", len(flat)), MOVED)
             if n <= FAN_IN:
                 break

@@ -123,3 +123,23 @@ def test_moves_add_up():
     two = next(m._added("float64", 2)(iter(one)))
     assert two.to_pylist()[0]["seen"] == 8 and np.frombuffer(two.to_pylist()[0]["delta"], "float64").tolist() == [20.0, -8.0]
     assert list(m._added("float16", 2)(iter([]))) == []
+
+
+def test_every_training_document_is_trained_on(spark, monkeypatch):
+    """The rounds together see each document once, and a corpus of a few documents is trained on as well."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} only{i}") for i in range(40)], "doc_id long, text string")
+    v = m.vocabulary(m.count_tokens(docs))
+    seen, moves = [], m.store
+    monkeypatch.setattr(m, "store", lambda df, name: seen.append(moves(df, name)) or seen[-1])
+    flat = m.fit(docs, v)
+    assert sum(r["seen"] for df in seen for r in df.select("seen").collect()) == 40 * 3
+    assert np.abs(flat - m.initial(v)).max() > 0
+    few = docs.limit(2)
+    v = m.vocabulary(m.count_tokens(few))
+    assert np.abs(m.fit(few, v) - m.initial(v)).max() > 0
+
+
+def test_shards_grow_with_the_corpus():
+    n = [m.replicas(w) for w in (0, 1, 1e6, 1e7, 1e8, 1e9)]
+    shard = [w / k for w, k in zip((1e6, 1e7, 1e8, 1e9), n[2:])]
+    assert n[:2] == [1, 1] and n == sorted(n) and shard == sorted(shard) and shard[-1] > 10 * shard[0]
