@@ -187,9 +187,9 @@ def _apart(percent: int) -> Column:
 
 
 def _classes(sketch: DataFrame) -> DataFrame:
-    """One row a set: sid, n, bands, row (of one of its documents), least (doc_id) and the parity sketch."""
+    """One row a set: sid, n, bands, row (of one of its documents), least (doc_id), lead (the first document) and the parity sketch."""
     first = lambda c: F.first(c).alias(c)
-    return store(sketch.where("sid is not null").groupBy("sid").agg(first("n"), first("bands"), F.min("row").alias("row"), F.min("doc_id").alias("least"), *[first(f"p{i}") for i in range(PARITY)]), "near-classes")
+    return store(sketch.where("sid is not null").groupBy("sid").agg(first("n"), first("bands"), F.min("row").alias("row"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("lead"), *[first(f"p{i}") for i in range(PARITY)]), "near-classes")
 
 
 def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame | None:
@@ -202,7 +202,7 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     met = store(each.where(bloom(buckets, F.col("key"), n)(F.col("key"))).join(buckets, "key"), "near-met")
     degree = met.groupBy("sid").agg(F.sum("c").alias("degree"))
     at = store(met.join(degree, "sid").withColumn("comp", F.col("sid")), "near-at")
-    wanted = store(classes.join(degree.select("sid"), "sid", "left_semi").drop("bands", "least"), "near-wanted")
+    wanted = store(classes.join(degree.select("sid"), "sid", "left_semi").drop("bands", "least", "lead"), "near-wanted")
     rows = bloom(wanted, F.col("row"), wanted.count())
     sets = docs.where(rows(F.col("row"))).select("text").mapInArrow(_sets(width), "sid binary, shingles array<long>")
     sets = store(sets.dropDuplicates(["sid"]), "near-sets")
@@ -241,11 +241,12 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept, row (hash of doc_id and text).
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, row (hash of doc_id and text), stays.
 
     Links are pairs of documents whose sets of width-word shingles have a similarity of percent or more; component_id is
     the smallest doc_id that links reach. Null, empty and blank texts are linked with nothing. Repeated rows share a
     component. A null doc_id is never a component_id: a component of such rows alone has none, and its rows are kept.
+    stays is true for the first document of each component by (doc_id nulls last, row) alone, and for texts without shingles.
     An empty table gives no rows. Other columns of docs are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -253,20 +254,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     sketch = store(base.mapInArrow(_sketches(width, bands, rows), "doc_id long, row long, n long, sid binary, bands array<long>, " + ", ".join(f"p{i} long" for i in range(PARITY))), "near-sketch")
     classes = _classes(sketch)
     labels = _links(base, classes, width, percent)
-    of = classes.select("sid", F.col("least").alias("component_id"))
+    of = classes.select("sid", F.col("least").alias("component_id"), "lead")
     if labels is not None:
-        both = store(classes.select("sid", "least").join(labels, F.col("sid") == F.col("node"), "left"), "near-rooted")
-        least = store(both.where("root is not null").groupBy("root").agg(F.min("least").alias("c")), "near-least")
-        of = both.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r"), "left").select("sid", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("c")).alias("component_id"))
+        both = store(classes.select("sid", "least", "lead").join(labels, F.col("sid") == F.col("node"), "left"), "near-rooted")
+        least = store(both.where("root is not null").groupBy("root").agg(F.min("least").alias("c"), F.min("lead").alias("l")), "near-least")
+        of = both.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r"), "left").select("sid", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("c")).alias("component_id"), F.when(F.col("root").isNull(), F.col("lead")).otherwise(F.col("l")).alias("lead"))
     of = store(of.withColumnRenamed("sid", "s"), "near-components")  # so that a hot set's documents can be split in the join
     out = sketch.select("doc_id", "row", F.col("n").alias("n_shingles"), "sid").join(of, F.col("sid") == F.col("s"), "left")
     out = out.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "row")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    stays = F.col("sid").isNull() | F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("row") == F.col("lead.row"))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "row", stays.alias("stays"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each near-duplicate group (of groups without any doc_id, all rows), all its columns as they are."""
-    made = groups(docs, id_col, text_col, width, percent).where("kept")
+    """docs with one row of each near-duplicate group, whatever its doc_ids, all its columns as they are."""
+    made = groups(docs, id_col, text_col, width, percent).where("stays")
     keys = {"__id": F.col(id_col).cast("long"), "__row": F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))}
     kept = made.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.count(F.lit(1)).alias("copies"))
     return keep_rows(docs, store(kept, "near-kept"), keys)

@@ -131,3 +131,13 @@ def test_parity_sketches_bound_what_sets_dont_share():
         p = m._parity(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])).view("uint64")
         bits = sum(int(a).bit_count() for a in p[0] ^ p[1])
         assert bits <= len(np.setxor1d(x, y)) and (n > 400 or bits >= 0.7 * len(np.setxor1d(x, y)))
+
+
+def test_keep_one_leaves_one_of_each_group(spark):
+    """Also of groups without any doc_id, and of groups whose near copies share the smallest doc_id."""
+    words = lambda k: [f"{k}{i}" for i in range(60)]
+    near = lambda k: [" ".join(words(k)), " ".join(words(k) + ["more"]), " ".join(words(k) + ["most"])]
+    rows = [(None, t) for t in near("a")] + [(5, t) for t in near("b")] + [(7, near("c")[0]), (None, near("c")[1]), (None, ""), (9, None)]
+    got = m.keep_one(frame(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id, (r.text or "")[:1]) for r in got if r.text) == [(False, 5, "b"), (False, 7, "c"), (True, None, "a")]
+    assert sorted(repr(r.doc_id) for r in got if not r.text) == ["9", "None"]
