@@ -3,7 +3,7 @@
 The events of html.parser cut a page into lines, one for each block of text. A line knows the tags since the line before,
 its region (the article or main element around it, else the nearest container) and whether an element around it is one
 of navigation, headers, footers, asides, forms, adverts, notices or reader comments, by tag, role, class or id. The ratios
-of the other lines' characters to tags are smoothed; a region with a line over the threshold is content, and all its lines
+of the other lines' characters to tags, capped at that of prose, are smoothed; a region with a line over the threshold is content, and all its lines
 are kept. Where a page has an article or main element, its regions alone are candidates.
 """
 
@@ -33,6 +33,8 @@ HARD_NAMES = frozenset("sidebar related recommended recommendations comment comm
 PREFIXES = (("advert", "soft"), ("cookie", "soft"), ("breadcrumb", "soft"), ("newsletter", "soft"), ("navbar", "soft"), ("comment", "hard"), ("sidebar", "hard"))
 NEGATIONS = ("no", "has", "with", "without", "is", "hide")
 SIGMA, RADIUS = 1.0, 2
+#: A line of more characters to a tag is prose as any other: its length must not raise the threshold over shorter paragraphs.
+PROSE = 50.0
 _KERNEL = [math.exp(-k * k / (2 * SIGMA * SIGMA)) for k in range(-RADIUS, RADIUS + 1)]
 _PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
@@ -145,7 +147,7 @@ def main_text(html: str | None) -> str:
         lines = [x for x in lines if x[3]]
     if not lines:
         return ""
-    ratio = [len(text) / max(1, tags) for text, tags, _, _ in lines]
+    ratio = [min(PROSE, len(text) / max(1, tags)) for text, tags, _, _ in lines]
     smooth = []
     for i in range(len(ratio)):
         near = [(w, ratio[i + k]) for w, k in zip(_KERNEL, range(-RADIUS, RADIUS + 1)) if 0 <= i + k < len(ratio)]

@@ -57,3 +57,10 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, None, "t"), (2, "<article>a  b</article>", "t")], "page_id int, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in m.extract(df).orderBy("page_id").collect()] == [(1, "", 0), (2, "a b", 3)]
     assert m.extract(df.limit(0)).count() == 0
+
+
+def test_one_long_block_does_not_drop_the_others():
+    short = [" ".join(f"s{i}w{k}" for k in range(60)) for i in range(20)]
+    long = "word " * 4000
+    page = "<body>" + "".join(f"<div><p>{t}</p></div>" for t in [*short[:10], long, *short[10:]]) + "</body>"
+    assert m.main_text(page) == " ".join(" ".join([*short[:10], long, *short[10:]]).split())
