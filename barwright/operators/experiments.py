@@ -129,7 +129,7 @@ def inject(paths: DataFrame, starts: DataFrame, cells: Sequence[tuple[str, int,
     bar = paths.groupBy("stretch", F.col("pos").cast("long").alias("at")).agg(F.collect_list(F.struct("path", "estimate", "scale")).alias("p"))
     t = t.join(bar, ["stretch", "at"])
     shifted = F.transform("p", lambda q: q["estimate"] + F.when(q["path"] == F.col("x"), F.col("add")).otherwise(0.0))
-    own = F.filter("p", lambda q: q["path"] == F.col("x"))[0]
+    own = F.get(F.filter("p", lambda q: q["path"] == F.col("x")), F.lit(0))  # null where the bar lacks the path
     t = t.withColumns({"dev": own["estimate"] + F.col("add") - median_of(F.array_sort(shifted)), "scale": own["scale"]})
     key = ["cell", "start_id"]
     t = statistic(t.withColumn("ts", F.col("k")), key, "dev", "median", width, "full")

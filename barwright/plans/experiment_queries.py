@@ -100,16 +100,30 @@ def block_run_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rounds(r.groupBy("instrument").agg(F.count(F.lit(1)).alias("blocks"), F.avg("runs").alias("rate")), [])
 
 
+def fault_starts(bars: DataFrame, before: int, after: int) -> DataFrame:
+    """start_id, stretch, pos of every bar with so many bars before it and, itself included, so many from it on, in its stretch. bars: stretch, pos."""
+    b = bars.select("stretch", "pos").distinct()
+    last = b.groupBy("stretch").agg(F.max("pos").alias("last"))
+    s = b.join(last, "stretch").where((F.col("pos") >= before) & (F.col("pos") + after - 1 <= F.col("last")))
+    return s.select(F.concat_ws("|", "stretch", "pos").alias("start_id"), "stretch", "pos")
+
+
 @query()
 def fault_injection(spark: SparkSession, sf: str) -> DataFrame:
-    """Faults added to the paths of the region graph, months as bars."""
+    """Faults added to each path of the region graph at every start that has bars enough, months as bars; a stretch has no month missing."""
     from pyspark.sql.window import Window
 
     p = strengths.paths(graph.observations(quotes(spark, sf)), ("AFRICA", "AMERICA"))
-    p = p.withColumn("stretch", F.lit(0).cast("long")).withColumn("pos", F.dense_rank().over(Window.partitionBy("stretch").orderBy("ts")) - 1)
-    starts = p.select("stretch", "pos").distinct().where("pos % 7 = 0 AND pos BETWEEN 6 AND 60").withColumn("start_id", F.col("pos"))
-    cells = [("hub", s, m, k, d) for s in (1, -1) for m in (200.0, 1000.0, 4000.0) for k in experiments.SHAPES for d in (6, 12)]
-    return rounds(experiments.inject(p.select("stretch", "pos", "path", "estimate", F.col("spread").alias("scale")), starts, cells, 6, 0.5, 6), [])
+    ts = p.select("ts").distinct().withColumn("stretch", F.year("ts") * 12 + F.month("ts") - F.row_number().over(Window.orderBy("ts")))
+    ts = ts.withColumn("pos", F.row_number().over(Window.partitionBy("stretch").orderBy("ts")) - 1)
+    p = p.join(ts.select("ts", F.col("stretch").cast("long").alias("stretch"), "pos"), "ts")
+    p = p.select("stretch", "pos", "path", "estimate", F.col("spread").alias("scale"))
+    names, out = sorted(r["path"] for r in p.select("path").distinct().collect()), None
+    for i, d in enumerate((6, 12)):
+        cells = [(x, s, m, k, d) for x in names for s in (1, -1) for m in (200.0, 1000.0, 4000.0) for k in experiments.SHAPES]
+        part = experiments.inject(p, fault_starts(p, 5, d + 6), cells, 6, 0.5, 6).withColumn("cell", F.col("cell") + i * len(cells))
+        out = part if out is None else out.unionByName(part)
+    return rounds(out, [])
 
 
 @query()

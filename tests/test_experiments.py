@@ -91,3 +91,11 @@ def test_runs_table(spark, tmp_path):
     assert runs.trades_of(spark, str(tmp_path), a).count() == 1
     fills = spark.read.parquet(f"{tmp_path}/fills").groupBy("run_id").agg(F.sum("units").alias("n")).collect()
     assert {r.n for r in fills} == {0.0}
+
+
+def test_fault_starts_are_every_place_with_bars_enough(spark):
+    from barwright.plans.experiment_queries import fault_starts
+
+    bars = spark.createDataFrame([(s, i, x) for s, n in ((0, 100), (1, 16), (2, 17)) for i in range(n) for x in "ab"], "stretch long, pos int, path string")
+    got = sorted((r.stretch, r.pos) for r in fault_starts(bars, 5, 12).collect())
+    assert got == [(0, i) for i in range(5, 89)] + [(2, 5)]
