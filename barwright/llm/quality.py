@@ -4,6 +4,7 @@ A logistic classifier of surface features, fitted on a bounded sample of labelle
 Sums of p by host and by path make the posteriors: a path's rate is shrunk toward its host's, a host's toward the whole
 corpus's, by as much as the spread between groups (method of moments) calls for; sparse sites stay near the global rate. A
 document's odds are its likelihood ratio times the odds of its path, which leave out the document itself.
+The table documents has no url: by default its column source stands in for the host, and lang for the path.
 """
 
 from __future__ import annotations
