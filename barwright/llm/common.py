@@ -32,11 +32,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later steps start from files that outlive executors."""
+def store(df: DataFrame, name: str, by: list[str] | None = None, **options: str) -> DataFrame:
+    """Write df as Parquet to the shared folder, in folders by the columns by, and read it back: later steps start from files that outlive executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).partitionBy(by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,9 +4,9 @@ Corpus counts are taken over every training document. Frequent words (the shortl
 and predicted as P(class | state) * P(word | class, state); all other words fall into classes by their last three bytes and
 have P(class | state) * (c + 1) / (N_k + V_k + 1), with c, N_k and V_k from the corpus counts, so that every word has a
 chance and chances add up. The recurrent unit (GRU) is trained by truncated backpropagation over every training document
-once: the documents are dealt to rounds, those of a round to replicas on shards that grow with the corpus, and replicas are
-averaged after each round. A state runs through a whole document, carried from window to window. Counts of words outside the
-broadcast head are joined by shuffle.
+once: the documents, stored as symbols of two bytes, are dealt to rounds, those of a round to replicas on shards that grow with
+the corpus, and the replicas' weights and moments are averaged after each round. A state runs through a whole document, carried
+from window to window. Counts of words outside the broadcast head are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -27,13 +27,18 @@ from .common import store, table
 
 HIDDEN, EMBED = 32, 16
 #: Words with a weight vector of their own, in so many classes of so many words; classes of all other words.
-CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 64, 64
+CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 64, 32
 SHORT = CLASSES * CLASS_WORDS
 #: Most frequent words, at most so many, whose counts are broadcast (some 10 MB); counts of the rest are joined.
 HEAD_WORDS = 131_072
 #: Training: rounds, which share out all training documents; least words to a replica; streams and steps of a window.
-ROUNDS, REPLICA_WORDS, STREAMS, STEPS = 8, 500_000, 48, 32
-SCORE_STREAMS = 256
+ROUNDS, REPLICA_WORDS, STEPS = 8, 1_000_000, 32
+#: A replica has about so many windows a round, of streams within these bounds; streams of a task that scores.
+WINDOWS, LEAST_STREAMS, MOST_STREAMS, SCORE_STREAMS = 250, 16, 256, 256
+#: Steps that streams lay out at once.
+BLOCK_STEPS = 512
+#: Adam's rate in the first round; later ones have less.
+RATE = 0.01
 #: Replicas whose weights one task adds up.
 FAN_IN = 16
 #: Distinct words that a task counts before it hands them on.
@@ -104,7 +109,7 @@ class Vocabulary:
             self.cls[i], self.slot[i] = k, used[k]
             used[k] += 1
         self.cls[short:] = [CLASSES + tail_class(w) for w in self.words[short:]]
-        self.feed = np.where(self.slot >= 0, self.cls * CLASS_WORDS + self.slot, SHORT + self.cls - CLASSES)
+        self.feed = np.where(self.slot >= 0, self.cls * CLASS_WORDS + self.slot, SHORT + self.cls - CLASSES).astype("uint16")
         self.log_denominator = np.log10(self.tail_n + self.tail_v + 1.0)
         self.base_denominator = np.log10(self.total + self.distinct + 1.0)
 
@@ -134,12 +139,13 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 SHAPES = {"emb": (SHORT + TAIL_CLASSES + 1, EMBED), "wx": (EMBED, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "bx": (3 * HIDDEN,), "bh": (3 * HIDDEN,), "wc": (HIDDEN, CLASSES + TAIL_CLASSES), "bc": (CLASSES + TAIL_CLASSES,), "wo": (CLASSES, HIDDEN, CLASS_WORDS), "bo": (CLASSES, CLASS_WORDS)}
 START = SHORT + TAIL_CLASSES
+SIZE = sum(math.prod(s) for s in SHAPES.values())
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
+        n = math.prod(shape)
         out[name] = flat[at : at + n].reshape(shape)
         at += n
     return out
@@ -148,7 +154,7 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
 def initial(v: Vocabulary, seed: int = 1) -> np.ndarray:
     """Small random weights; the biases say the corpus's own frequencies."""
     r = np.random.default_rng(seed)
-    flat = np.zeros(sum(int(np.prod(s)) for s in SHAPES.values()), "float32")
+    flat = np.zeros(SIZE, "float32")
     p = unpack(flat)
     p["emb"][:] = r.normal(0, 0.3, p["emb"].shape)
     p["wx"][:] = r.normal(0, EMBED**-0.5, p["wx"].shape)
@@ -159,294 +165,415 @@ def initial(v: Vocabulary, seed: int = 1) -> np.ndarray:
     np.add.at(mass, v.cls[short], v.counts[short] + 1.0)
     p["bc"][:] = np.log(np.maximum(mass, 0.01) / mass.sum())
     p["bo"][:] = -30.0  # slots without a word
-    p["bo"][v.cls[short], v.slot[short]] = np.log(v.counts[short] + 1.0)
+    p["bo"][v.cls[short], v.slot[short]] = np.log((v.counts[short] + 1.0) / mass[v.cls[short]])
     return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
 class Encoder:
-    """Texts to (feed, class, slot) arrays, with the counts-based part of their scores."""
+    """Texts to symbols: a word of the shortlist is class * CLASS_WORDS + slot, any other SHORT + its tail class."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.log_c1 = np.log10(v.counts + 1.0)
-        self.tail_of: dict[bytes, int] = {}
+        self.known = v.counts > 0
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """rank (-1 outside the head), feed, class, slot, and the words outside the head."""
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, int, float, float, list[bytes]]:
+        """(symbols, known words, base score, score of tail words inside their classes, words outside the head); both scores leave out what the last have by their counts."""
         v = self.v
-        rank = np.fromiter(map(v.rank.get, words, repeat(-1)), "int64", len(words))
-        feed, cls, slot = v.feed[rank], v.cls[rank], v.slot[rank]
+        rank = np.fromiter(map(v.rank.get, words, repeat(-1)), "int32", len(words))
+        symbols = v.feed[rank]
         deep = np.flatnonzero(rank < 0)
         rare = [words[i] for i in deep]
         if rare:
-            k = np.fromiter((zlib.crc32(w[-3:]) for w in rare), "int64", len(rare)) % TAIL_CLASSES
-            feed[deep], cls[deep], slot[deep] = SHORT + k, CLASSES + k, -1
-        return rank, feed, cls, slot, rare
-
-
-def _log_softmax_parts(p: dict, h: np.ndarray, cls: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | h), times P(word | class, h) where slot >= 0."""
-    logits = h @ p["wc"] + p["bc"]
-    top = logits.max(1, keepdims=True)
-    out = logits[np.arange(len(h)), cls] - top[:, 0] - np.log(np.exp(logits - top).sum(1))
-    inner = np.flatnonzero(slot >= 0)
-    inner = inner[np.argsort(cls[inner], kind="stable")]
-    edges = np.searchsorted(cls[inner], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        at = inner[edges[k] : edges[k + 1]]
-        if len(at):
-            lo = h[at] @ p["wo"][k] + p["bo"][k]
-            top = lo.max(1)
-            out[at] += lo[np.arange(len(at)), slot[at]] - top - np.log(np.exp(lo - top[:, None]).sum(1))
-    return out
+            symbols[deep] = SHORT + np.fromiter(map(zlib.crc32, [w[-3:] for w in rare]), "int64", len(rare)) % TAIL_CLASSES
+            rank = rank[rank >= 0]
+        chance = self.log_c1[rank]
+        tail = symbols[symbols >= SHORT] - SHORT
+        more = chance[v.slot[rank] < 0].sum() - v.log_denominator[tail].sum()
+        return symbols, int(np.count_nonzero(self.known[rank])), float(chance.sum() - v.base_denominator * len(words)), float(more), rare
+
+
+#: Class and slot (-1: none) of each symbol.
+CLASS_OF = np.concatenate([np.repeat(np.arange(CLASSES), CLASS_WORDS), CLASSES + np.arange(TAIL_CLASSES)]).astype("uint8")
+SLOT_OF = np.concatenate([np.tile(np.arange(CLASS_WORDS), CLASSES), np.full(TAIL_CLASSES, -1)]).astype("int16")
+#: Logits below this need no shift before exp.
+SAFE = 80.0
+#: The gates r and z are sigmoids, taken as tanh of half their sums.
+HALF = np.repeat(np.array([0.5, 1.0]), [2 * HIDDEN, HIDDEN])
+
+
+class Net:
+    """The network over windows of streams. Its arrays are used again from window to window."""
+
+    def __init__(self, flat: np.ndarray):
+        self.flat, self.p, self.held = flat, unpack(flat), {}
+        self.refresh()
+
+    def refresh(self) -> None:
+        """After a change of the weights."""
+        p = self.p
+        x = p["emb"] @ p["wx"] + p["bx"]
+        x[:, : 2 * HIDDEN] += p["bh"][: 2 * HIDDEN]
+        self.x, self.w = x * HALF.astype(x.dtype), p["wh"] * HALF.astype(x.dtype)
+        # the parts of a state lie within -1 and 1
+        self.safe = bool((np.abs(p["wc"]).sum(0) + np.abs(p["bc"])).max() < SAFE and np.abs(p["wo"]).sum(1).max() + np.abs(p["bo"]).max() < SAFE)
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self.held or self.held[name].size < n:
+            self.held[name] = np.empty(n, self.flat.dtype)
+        return self.held[name][:n].reshape(shape)
+
+    def take(self, name: str, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.take(rows, at, axis=0, out=self.room(name, len(at), rows.shape[1]), mode="clip")
+
+    def states(self, feed: np.ndarray, fresh: np.ndarray, h: np.ndarray, trace: bool = False) -> np.ndarray:
+        """States that predict each step, steps x streams x HIDDEN; with a trace, what the gradient needs stays in its arrays."""
+        steps, n = feed.shape
+        x = self.take("x", self.x, feed.ravel()).reshape(steps, n, 3 * HIDDEN)
+        kept = steps if trace else 1
+        out, before = self.room("out", steps, n, HIDDEN), self.room("before", kept, n, HIDDEN)
+        gates, news = self.room("gates", kept, n, 3 * HIDDEN), self.room("news", kept, n, HIDDEN)
+        bias, starts, stays = self.p["bh"][2 * HIDDEN :], fresh.any(1), ~fresh[:, :, None]
+        for t in range(steps):
+            at = t if trace else 0
+            g, u, b = gates[at], news[at], before[at]
+            if starts[t]:
+                np.multiply(h, stays[t], out=b)
+            else:
+                b[:] = h
+            np.matmul(b, self.w, out=g)
+            rz, inner = g[:, : 2 * HIDDEN], g[:, 2 * HIDDEN :]
+            rz += x[t, :, : 2 * HIDDEN]
+            np.tanh(rz, out=rz)
+            rz *= 0.5
+            rz += 0.5
+            inner += bias
+            np.multiply(rz[:, :HIDDEN], inner, out=u)
+            u += x[t, :, 2 * HIDDEN :]
+            np.tanh(u, out=u)
+            h = np.subtract(b, u, out=out[t])
+            h *= rz[:, HIDDEN:]
+            h += u
+        return out
+
+    def chances(self, name: str, h: np.ndarray, w: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray | float, np.ndarray]:
+        """(exp of the logits less a shift by row, the shift, sums by row)."""
+        q = np.matmul(h, w, out=self.room(name, len(h), len(bias)))
+        q += bias
+        shift = 0.0
+        if not self.safe:
+            shift = q.max(1)
+            q -= shift[:, None]
+        np.exp(q, out=q)
+        return q, shift, q @ np.ones(len(bias), q.dtype)
+
+    def log_chances(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Natural log of P(class | h), times P(word | class, h) for words of the shortlist, by row."""
+        p, order = self.p, np.argsort(CLASS_OF[symbols], kind="stable")
+        h, symbols = self.take("sorted", h, order), symbols[order]
+        cls, slot, rows = CLASS_OF[symbols], SLOT_OF[symbols], np.arange(len(h))
+        own, sums = np.empty(len(h), h.dtype), np.empty(len(h), h.dtype)
+        for a in range(0, len(h), 2048):  # a block of rows stays in the cache
+            b = slice(a, a + 2048)
+            q, _, sums[b] = self.chances("classes", h[b], p["wc"], p["bc"])
+            own[b] = q[rows[: len(q)], cls[b]]
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
+        inner, inner_sums = np.ones(len(h), h.dtype), np.ones(len(h), h.dtype)
+        for k in range(CLASSES):
+            if edges[k] < edges[k + 1]:
+                b = slice(edges[k], edges[k + 1])
+                q, _, inner_sums[b] = self.chances("words", h[b], p["wo"][k], p["bo"][k])
+                inner[b] = q[rows[: len(q)], slot[b]]
+        out = np.empty_like(own)
+        own, inner = np.maximum(own / sums, 1e-30), np.maximum(inner / inner_sums, 1e-30)
+        out[order] = np.log(own) + np.log(inner)
+        return out
+
+    def gradient(self, feed, symbols, fresh, live, h0) -> tuple[float, np.ndarray, np.ndarray]:
+        """(summed loss, gradient of the mean loss as a flat array, last state) of a window; h0 counts as given (truncation)."""
+        p, kind = self.p, self.flat.dtype
+        grad = self.room("grad", len(self.flat))
+        grad[:] = 0
+        d = unpack(grad)
+        steps, n = feed.shape
+        hs = self.states(feed, fresh, h0, True)
+        on = np.flatnonzero(live)
+        on = on[np.argsort(CLASS_OF[symbols.ravel()[on]], kind="stable")]
+        h, s = self.take("sorted", hs.reshape(-1, HIDDEN), on), symbols.ravel()[on]
+        c, o, rows = CLASS_OF[s], SLOT_OF[s], np.arange(len(on))
+        ones = np.ones(max(len(on), steps * n), kind)
+        q, _, sums = self.chances("classes", h, p["wc"], p["bc"])
+        q /= sums[:, None]
+        loss = -np.log(q[rows, c] + 1e-30).sum()
+        q[rows, c] -= 1
+        np.matmul(h.T, q, out=d["wc"])
+        d["bc"][:] = ones[: len(q)] @ q
+        dh = np.matmul(q, p["wc"].T, out=self.room("dh", len(on), HIDDEN))
+        edges = np.searchsorted(c, np.arange(CLASSES + 1))
+        for k in range(CLASSES):
+            if edges[k] < edges[k + 1]:
+                b = slice(edges[k], edges[k + 1])
+                q, _, sums = self.chances("words", h[b], p["wo"][k], p["bo"][k])
+                q /= sums[:, None]
+                own = rows[: len(q)], o[b]
+                loss -= np.log(q[own] + 1e-30).sum()
+                q[own] -= 1
+                np.matmul(h[b].T, q, out=d["wo"][k])
+                d["bo"][k] = ones[: len(q)] @ q
+                dh[b] += q @ p["wo"][k].T
+        up = self.room("up", steps * n, HIDDEN)
+        if len(on) < len(up):
+            up[:] = 0
+        up[on] = dh
+        up = up.reshape(steps, n, HIDDEN)
+        before, u, g = self.held["before"][: up.size].reshape(up.shape), self.held["news"][: up.size].reshape(up.shape), self.held["gates"][: 3 * up.size].reshape(steps, n, -1)
+        r, z, inner = g[:, :, :HIDDEN], g[:, :, HIDDEN : 2 * HIDDEN], g[:, :, 2 * HIDDEN :]
+        rest = np.subtract(1, z, out=self.room("rest", *up.shape))
+        to_u = np.multiply(u, u, out=self.room("to_u", *up.shape))
+        np.subtract(1, to_u, out=to_u)
+        to_u *= rest
+        to_z = np.subtract(before, u, out=self.room("to_z", *up.shape))
+        to_z *= z
+        to_z *= rest
+        to_r = np.subtract(1, r, out=rest)
+        to_r *= r
+        to_r *= inner
+        dg, dx = self.room("dg", steps, n, 3 * HIDDEN), self.room("dx", *up.shape)
+        carry, back, starts = np.zeros((n, HIDDEN), kind), np.ascontiguousarray(p["wh"].T), fresh.any(1)
+        for t in range(steps - 1, -1, -1):
+            dy = up[t]
+            dy += carry
+            du = np.multiply(dy, to_u[t], out=dx[t])
+            np.multiply(du, to_r[t], out=dg[t, :, :HIDDEN])
+            np.multiply(dy, to_z[t], out=dg[t, :, HIDDEN : 2 * HIDDEN])
+            np.multiply(du, r[t], out=dg[t, :, 2 * HIDDEN :])
+            np.matmul(dg[t], back, out=carry)
+            dy *= z[t]
+            carry += dy
+            if starts[t]:
+                carry *= ~fresh[t][:, None]
+        flat = dg.reshape(-1, 3 * HIDDEN)
+        np.matmul(before.reshape(-1, HIDDEN).T, flat, out=d["wh"])
+        d["bh"][:] = ones[: len(flat)] @ flat
+        dg[:, :, 2 * HIDDEN :] = dx
+        e = self.take("e", p["emb"], feed.ravel())
+        np.matmul(e.T, flat, out=d["wx"])
+        d["bx"][:] = ones[: len(flat)] @ flat
+        de = np.matmul(flat, p["wx"].T, out=e)
+        order = np.argsort(feed.ravel(), kind="stable")
+        of = feed.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        d["emb"][of[first]] = np.add.reduceat(self.take("de", de, order), first, axis=0)
+        grad /= max(1, len(on))
+        return float(loss), grad, hs[-1].copy()
 
 
 class Streams:
     """Documents side by side: each stream runs through one after another, and hands out windows of steps tokens."""
 
-    def __init__(self, docs: Iterator[tuple], streams: int, steps: int):
-        self.docs, self.n, self.steps = docs, streams, steps
+    def __init__(self, docs: Iterator[tuple[int, np.ndarray]], streams: int, steps: int, block: int = BLOCK_STEPS):
+        self.docs, self.steps, self.block = docs, steps, -(-block // steps) * steps
         self.now: list = [None] * streams
 
     def windows(self):
-        """(feed, fresh, cls, slot, live, doc): arrays steps x streams; fresh where a document starts. A document is (key, feed, cls, slot)."""
-        n, steps = self.n, self.steps
-        while True:
-            feed = np.full((steps, n), START, "int64")
-            cls, slot = np.zeros((steps, n), "int64"), np.full((steps, n), -1, "int64")
-            fresh, live, doc = np.zeros((steps, n), bool), np.zeros((steps, n), bool), np.zeros((steps, n), "int64")
+        """(columns, feed, symbols, fresh, live, doc), arrays steps x streams; fresh where a document starts, feed the symbol before.
+
+        columns: the streams of the window before that go on, when others have come to their end; else None. A document is
+        (key, symbols).
+        """
+        more = True
+        while more or any(self.now):
+            n, steps = len(self.now), self.block
+            feed, symbols = np.full((steps, n), START, "uint16"), np.zeros((steps, n), "uint16")
+            fresh, live, doc = np.zeros((steps, n), bool), np.zeros((steps, n), bool), np.zeros((steps, n), "int32")
             for s in range(n):
                 t = 0
                 while t < steps:
                     if self.now[s] is None:
                         if (d := next(self.docs, None)) is None:
+                            more = False
                             break
-                        self.now[s] = [*d, 0]
-                    key, f, c, o, at = self.now[s]
-                    m = min(steps - t, len(c) - at)
+                        self.now[s] = (*d, 0)
+                    key, x, at = self.now[s]
+                    m = min(steps - t, len(x) - at)
                     if at == 0:
                         fresh[t, s] = True
-                        feed[t + 1 : t + m, s] = f[: m - 1]
+                        feed[t + 1 : t + m, s] = x[: m - 1]
                     else:
-                        feed[t : t + m, s] = f[at - 1 : at + m - 1]
-                    cls[t : t + m, s], slot[t : t + m, s] = c[at : at + m], o[at : at + m]
+                        feed[t : t + m, s] = x[at - 1 : at + m - 1]
+                    symbols[t : t + m, s] = x[at : at + m]
                     live[t : t + m, s], doc[t : t + m, s] = True, key
                     t += m
-                    self.now[s] = None if at + m == len(c) else [key, f, c, o, at + m]
-            if not live.any():
-                return
-            yield feed, fresh, cls, slot, live, doc
-
-
-def _forward(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States that predict each step (steps x streams x HIDDEN), and the last. x: input part of the gates by step."""
-    out = np.empty((len(x), *h.shape), "float32")
-    for t in range(len(x)):
-        if fresh[t].any():
-            h = h * ~fresh[t][:, None]
-        g = h @ p["wh"] + p["bh"]
-        a = x[t]
-        rz = _sigmoid(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-        if trace is not None:
-            trace.append((h, g, r, z, n))
-        h = n + z * (h - n)
-        out[t] = h
-    return out, h
-
-
-def _gradient(p: dict, feed, fresh, cls, slot, live, h0) -> tuple[float, np.ndarray, np.ndarray]:
-    """(summed loss, gradient of the mean loss as a flat array, last state) of a window; h0 counts as given (truncation)."""
-    grad = np.zeros(sum(int(np.prod(s)) for s in SHAPES.values()), "float32")
-    d = unpack(grad)
-    e = p["emb"][feed]
-    trace: list = []
-    hs, last = _forward(p, e @ p["wx"] + p["bx"], fresh, h0, trace)
-    steps, n = feed.shape
-    on = np.flatnonzero(live.ravel())
-    h, c, o = hs.reshape(-1, HIDDEN)[on], cls.ravel()[on], slot.ravel()[on]
-    logits = h @ p["wc"] + p["bc"]
-    q = np.exp(logits - logits.max(1, keepdims=True))
-    q /= q.sum(1, keepdims=True)
-    loss = -np.log(q[np.arange(len(on)), c] + 1e-30).sum()
-    q[np.arange(len(on)), c] -= 1
-    q /= len(on)
-    d["wc"][:], d["bc"][:] = h.T @ q, q.sum(0)
-    dh = q @ p["wc"].T
-    inner = np.flatnonzero(o >= 0)
-    inner = inner[np.argsort(c[inner], kind="stable")]
-    edges = np.searchsorted(c[inner], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        at = inner[edges[k] : edges[k + 1]]
-        if len(at):
-            hk = h[at]
-            q = hk @ p["wo"][k] + p["bo"][k]
-            q = np.exp(q - q.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            loss -= np.log(q[np.arange(len(at)), o[at]] + 1e-30).sum()
-            q[np.arange(len(at)), o[at]] -= 1
-            q /= len(on)
-            d["wo"][k], d["bo"][k] = hk.T @ q, q.sum(0)
-            dh[at] += q @ p["wo"][k].T
-    up = np.zeros((steps * n, HIDDEN), "float32")
-    up[on] = dh
-    up = up.reshape(steps, n, HIDDEN)
-    dx = np.empty((steps, n, 3 * HIDDEN), "float32")
-    carry = np.zeros((n, HIDDEN), "float32")
-    for t in range(steps - 1, -1, -1):
-        h, g, r, z, u = trace[t]
-        dy = up[t] + carry
-        du = dy * (1 - z) * (1 - u * u)
-        dz = dy * (h - u) * z * (1 - z)
-        gn = g[:, 2 * HIDDEN :]
-        dr = du * gn * r * (1 - r)
-        dx[t] = np.concatenate([dr, dz, du], 1)
-        dg = np.concatenate([dr, dz, du * r], 1)
-        d["wh"] += h.T @ dg
-        d["bh"] += dg.sum(0)
-        carry = (dg @ p["wh"].T + dy * z) * ~fresh[t][:, None]
-    flat = dx.reshape(-1, 3 * HIDDEN)
-    d["wx"][:], d["bx"][:] = e.reshape(-1, EMBED).T @ flat, flat.sum(0)
-    np.add.at(d["emb"], feed.ravel(), flat @ p["wx"].T)
-    return float(loss), grad, last
-
-
-def train_replica(flat: np.ndarray, docs: Iterator[tuple], rate: float) -> tuple[np.ndarray, int, float]:
-    """Weights after a pass of Adam over the windows of docs, tokens seen, their summed loss."""
-    flat = flat.copy()
-    p, m, v = unpack(flat), np.zeros_like(flat), np.zeros_like(flat)
-    h, seen, loss, step = np.zeros((STREAMS, HIDDEN), "float32"), 0, 0.0, 0
-    for feed, fresh, cls, slot, live, _ in Streams(docs, STREAMS, STEPS).windows():
-        x, grad, h = _gradient(p, feed, fresh, cls, slot, live, h)
-        loss, seen, step = loss + x, seen + int(live.sum()), step + 1
+                    self.now[s] = None if at + m == len(x) else (key, x, at + m)
+            going = np.arange(n)
+            for a in range(0, steps, self.steps):
+                on = np.flatnonzero(live[a, going])  # a stream is live up to its end
+                if not len(on):
+                    break
+                columns = None if len(on) == len(going) else on
+                going = going[on]
+                cut = (slice(a, a + self.steps),) if len(going) == n else (slice(a, a + self.steps), going)
+                yield columns, feed[cut], symbols[cut], fresh[cut], live[cut], doc[cut]
+            self.now = [self.now[s] for s in going]
+
+
+def train_replica(weights: np.ndarray, docs: Iterator[tuple[int, np.ndarray]], rate: float, streams: int, warm: bool = True) -> tuple[np.ndarray, int, float]:
+    """(weights after a pass of Adam over the windows of docs, tokens seen, their summed loss). Weights are rows: weights, first and second moments.
+
+    warm: the moments are those of earlier steps, not zeros.
+    """
+    weights = weights.copy()
+    flat, m, v = weights
+    net, h, seen, loss, step = Net(flat), np.zeros((streams, HIDDEN), "float32"), 0, 0.0, 1000 * warm
+    for columns, feed, symbols, fresh, live, _ in Streams(docs, streams, STEPS).windows():
+        x, grad, h = net.gradient(feed, symbols, fresh, live, h if columns is None else h[columns])
+        loss, seen, step = loss + x, seen + int(np.count_nonzero(live)), step + 1
         size = float(np.sqrt(grad @ grad))
         if size > 1.0:
             grad /= size
         m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        flat -= rate / (1 - 0.9**step) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    return flat, seen, loss
+        grad *= grad
+        v += 0.01 * (grad - v)
+        flat -= (rate / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        net.refresh()
+    return weights, seen, loss
 
 
-MOVED = "seen long, loss double, delta binary"
+MOVED = "seen long, loss double, moved binary"
 
 
-def _moved(seen: int, loss: float, delta: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([float(loss)]), pa.array([delta.tobytes()], pa.binary())], ["seen", "loss", "delta"])
+def _moved(seen: int, loss: float, moved: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([float(loss)]), pa.array([moved.tobytes()], pa.binary())], ["seen", "loss", "moved"])
 
 
-def _added(kind: str, size: int):
-    """Sums of how far replicas moved the weights: float16 as they come from a replica, then sums weighted by the tokens seen."""
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means, weighted by the tokens seen, of what replicas came to."""
+    total, seen, loss = 0.0, 0, 0.0
+    for b in batches:
+        for n, x, d in zip(b.column("seen").to_pylist(), b.column("loss").to_pylist(), b.column("moved")):
+            total = total + np.frombuffer(d.as_py(), "float32").astype("float64") * n
+            seen, loss = seen + n, loss + x
+    if seen:
+        yield _moved(seen, loss, (total / seen).astype("float32"))
 
+
+def replicas(words: float) -> int:
+    """Replicas of a round over so many words: one for each REPLICA_WORDS at first, then by the root, so that shards grow as well."""
+    shards = words / REPLICA_WORDS
+    return max(1, math.ceil(min(shards, 2 * math.sqrt(shards))))
+
+
+ENCODED = "doc_id long, tag long, held_out boolean, seq long, turn int, n_tokens long, n_known long, base double, more double, symbols binary, rare array<binary>"
+
+
+def _encode(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen, loss = np.zeros(size), 0, 0.0
+        code = Encoder(sent.value)
         for b in batches:
-            for n, x, d in zip(b.column("seen").to_pylist(), b.column("loss").to_pylist(), b.column("delta")):
-                total += np.frombuffer(d.as_py(), kind).astype("float64") * (n if kind == "float16" else 1)
-                seen, loss = seen + n, loss + x
-        if seen:
-            yield _moved(seen, loss, total)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                made = []
+                for t in part.column("text"):
+                    words = tokens(t.as_py())
+                    symbols, known, base, more, rare = code.encode(words)
+                    made.append((len(words), known, base, more, symbols.tobytes(), rare))
+                c = list(zip(*made))
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, c, kinds)], [x.split()[0] for x in ENCODED.split(", ")])
 
     return run
 
 
-def replicas(words: float) -> int:
-    """Replicas of a round over so many words: one for each REPLICA_WORDS at first, then by the root, so that shards grow as well."""
-    shards = words / REPLICA_WORDS
-    return max(1, math.ceil(min(shards, 2 * math.sqrt(shards))))
+def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """docs once as symbols, stored by turn: the round of training that sees a row, by a hash of the row; -1 for rows held out."""
+    sent = docs.sparkSession.sparkContext.broadcast(v)
+    held = held_out(F.col(id_col))
+    seq = F.xxhash64(F.col(id_col), F.col(text_col))
+    turn = F.when(held, -1).otherwise(F.pmod(seq, F.lit(rounds))).cast("int")
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tag"), held.alias("held_out"), seq.alias("seq"), turn.alias("turn"), F.col(text_col).alias("text"))
+    return store(thin.mapInArrow(_encode(sent), ENCODED), "lm-encoded", by=["turn"])
 
 
-def fit(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after all rounds; in each, every replica starts from the mean of the last and sees its shard of the round's docs.
+def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    n = 0
+    for b in batches:
+        for x in b.column("symbols"):
+            yield n, np.frombuffer(x.as_buffer(), "uint16")
+            n += 1
 
-    The rounds share out docs by a hash of the row, and none is left out: every document is trained on once.
-    """
-    spark = docs.sparkSession
-    flat = initial(v)
-    sent = spark.sparkContext.broadcast(v)
-    order = F.xxhash64(F.col(id_col), F.col(text_col))
-    slices = docs.select(F.col(text_col).alias("text"), order.alias("order"))
-    shards_of_round = replicas(v.total / rounds)
-    for k in range(rounds):
-        start = spark.sparkContext.broadcast(flat)
-        rate = 0.006 / (1 + 3 * k / rounds)
 
-        def run(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
-            code = Encoder(sent.value)
+def fit(encoded: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after all rounds; in each, every replica starts from the mean of the last and sees its shard of the round's rows.
 
-            def texts():
-                for b in batches:
-                    for t in b.column("text"):
-                        _, feed, cls, slot, _ = code.ids(tokens(t.as_py()))
-                        yield 0, feed, cls, slot
+    The rounds share out the rows that aren't held out, and none is left out: every document is trained on once.
+    """
+    spark = encoded.sparkSession
+    weights = np.stack([initial(v), np.zeros(SIZE, "float32"), np.zeros(SIZE, "float32")])
+    shards = replicas(v.total / rounds)
+    streams = int(np.clip(v.total / rounds / shards / STEPS / WINDOWS, LEAST_STREAMS, MOST_STREAMS))
+    long = F.greatest(F.floor(F.log2("n_tokens")) - 11, F.lit(0))  # very long documents go first, or a stream would be left alone with one
+    for k in range(rounds):
+        start = spark.sparkContext.broadcast(weights)
+        rate = RATE / (1 + 3 * k / rounds)
 
-            out, seen, loss = train_replica(start.value, texts(), rate)
+        def run(batches: Iterator[pa.RecordBatch], start=start, rate=rate, warm=k > 0) -> Iterator[pa.RecordBatch]:
+            out, seen, loss = train_replica(start.value, _symbols(batches), rate, streams, warm)
             if seen:
-                yield _moved(seen, loss, (out - start.value).astype("float16"))
-
-        shards = slices.where(F.pmod("order", F.lit(rounds)) == k).repartition(shards_of_round, "order").sortWithinPartitions("order")
-        made, n = shards.mapInArrow(run, MOVED), shards_of_round
-        while True:
-            n, first = -(-n // FAN_IN), n == shards_of_round
-            made = made.repartition(n).mapInArrow(_added("float16" if first else "float64", len(flat)), MOVED)
-            if n <= FAN_IN:
-                break
-        sums = store(made, "lm-moves").toPandas()
-        if len(sums):
-            moved = np.sum([np.frombuffer(d, "float64") for d in sums["delta"]], axis=0)
-            flat = flat + (moved / sums["seen"].sum()).astype("float32")
-    return flat
+                yield _moved(seen, loss, out)
 
+        made, n = encoded.where(F.col("turn") == k).select("seq", "symbols", long.alias("long")).repartition(shards, "seq").sortWithinPartitions(F.desc("long"), "seq", "symbols").mapInArrow(run, MOVED), shards
+        while n > 1:
+            n = -(-n // FAN_IN)
+            made = made.repartition(n).mapInArrow(_added, MOVED)
+        for r in store(made, "lm-moves").collect():  # one row, or none where no row has this turn
+            weights = np.frombuffer(r["moved"], "float32").reshape(3, SIZE).copy()
+    return weights[0]
 
-def score_documents(flat: np.ndarray, docs: Iterator[tuple]) -> Iterator[tuple[int, float]]:
-    """(key, natural log-likelihood of classes and shortlist words) of each document (key, feed, cls, slot), as they end."""
-    p = unpack(flat)
-    x = p["emb"] @ p["wx"] + p["bx"]
-    h = np.zeros((SCORE_STREAMS, HIDDEN), "float32")
+
+def score_documents(flat: np.ndarray, docs: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, float]]:
+    """(key, natural log-likelihood of classes and shortlist words) of each document (key, symbols), as they end."""
+    net, h = Net(flat), np.zeros((SCORE_STREAMS, HIDDEN), "float32")
     left: dict[int, int] = {}
     sums: dict[int, float] = {}
 
     def counted():
-        for d in docs:
-            left[d[0]], sums[d[0]] = len(d[2]), 0.0
-            yield d
-
-    for feed, fresh, cls, slot, live, doc in Streams(counted(), SCORE_STREAMS, STEPS).windows():
-        hs, h = _forward(p, x[feed], fresh, h)
-        on = np.flatnonzero(live.ravel())
-        parts = _log_softmax_parts(p, hs.reshape(-1, HIDDEN)[on], cls.ravel()[on], slot.ravel()[on])
-        keys, at, n = np.unique(doc.ravel()[on], return_inverse=True, return_counts=True)
-        for key, s, m in zip(keys.tolist(), np.bincount(at, parts.astype(float)).tolist(), n.tolist()):
-            sums[key] += s
-            left[key] -= m
+        for key, symbols in docs:
+            left[key], sums[key] = len(symbols), 0.0
+            yield key, symbols
+
+    for columns, feed, symbols, fresh, live, doc in Streams(counted(), SCORE_STREAMS, STEPS).windows():
+        hs = net.states(feed, fresh, h if columns is None else h[columns]).reshape(-1, HIDDEN)
+        h, on = hs[-feed.shape[1] :].copy(), np.flatnonzero(live)
+        parts = net.log_chances(hs if len(on) == len(hs) else hs[on], symbols.ravel()[on])
+        keys = doc.ravel()[on]
+        least = int(keys.min())
+        n = np.bincount(keys - least)
+        s = np.bincount(keys - least, parts)
+        for i in np.flatnonzero(n).tolist():
+            key = least + i
+            sums[key] += s[i]
+            left[key] -= int(n[i])
             if not left[key]:
                 del left[key]
-                yield key, sums.pop(key)
+                yield key, float(sums.pop(key))
 
 
-def _score(sent, weights):
+SCORED = "doc_id long, tag long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def _score(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = sent.value
-        code, known = Encoder(v), v.counts > 0
         facts: dict[int, tuple] = {}
+        names = ("doc_id", "tag", "held_out", "n_tokens", "n_known", "base", "more")
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
         def documents():
             n = 0
             for b in batches:
-                for tag, t in zip(b.column("tag").to_pylist(), b.column("text")):
-                    words = tokens(t.as_py())
-                    rank, feed, cls, slot, rare = code.ids(words)
-                    head = rank[rank >= 0]
-                    tail = slot < 0
-                    more = code.log_c1[rank[tail & (rank >= 0)]].sum() - v.log_denominator[cls[tail] - CLASSES].sum()
-                    base = code.log_c1[head].sum() - v.base_denominator * len(words)
-                    facts[n] = (tag, len(words), int(known[head].sum()), float(base), float(more), rare)
-                    yield n, feed, cls, slot
+                for *row, x in zip(*(b.column(c).to_pylist() for c in names), b.column("symbols")):
+                    facts[n] = tuple(row)
+                    yield n, np.frombuffer(x.as_buffer(), "uint16")
                     n += 1
 
         done: list[tuple] = []
@@ -454,11 +581,11 @@ def _score(sent, weights):
         def batch() -> pa.RecordBatch:
             c = list(zip(*done))
             done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.list_(pa.binary()))], ["tag", "n_tokens", "n_known", "base", "score", "rare"])
+            return pa.RecordBatch.from_arrays(list(map(pa.array, c, kinds)), [x.split()[0] for x in SCORED.split(", ")])
 
         for key, s in score_documents(weights.value, documents()):
-            tag, n, k, base, more, rare = facts.pop(key)
-            done.append((tag, n, k, base, more + s / np.log(10), rare))
+            *row, more = facts.pop(key)
+            done.append((*row, more + s / math.log(10)))
             if len(done) >= 500:
                 yield batch()
         if done:
@@ -467,51 +594,30 @@ def _score(sent, weights):
     return run
 
 
-def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, n_known, base_score, score. Null text is empty; repeated rows count as rows."""
-    spark = docs.sparkSession
-    sent, weights = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(flat)
-    # the id goes along in the tag's place: tags are made and used in one plan, then stored
-    thin = docs.select(F.monotonically_increasing_id().alias("tag"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = store(thin.mapInArrow(_with_id(_score(sent, weights)), "doc_id long, tag long, n_tokens long, n_known long, base double, score double, rare array<binary>"), "lm-scores")
+def score(encoded: DataFrame, counts: DataFrame, flat: np.ndarray) -> DataFrame:
+    """One row per encoded row: doc_id, held_out, n_tokens, n_known, base_score, score."""
+    weights = encoded.sparkSession.sparkContext.broadcast(flat)
+    scored = store(encoded.select("doc_id", "tag", "held_out", "n_tokens", "n_known", "base", "more", "symbols").mapInArrow(_score(weights), SCORED), "lm-scores")
     c = counts.select(F.col("token").alias("t"), "c")
-    rare = scored.select("tag", F.explode("rare").alias("token")).join(c, F.col("token") == F.col("t"), "left")
-    rare = rare.groupBy("tag").agg(F.count("c").alias("k"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("s"))
-    out = scored.drop("rare").join(rare, "tag", "left")
+    rare = encoded.select("tag", F.explode("rare").alias("token")).join(c, F.col("token") == F.col("t"), "left")
+    rare = rare.groupBy(F.col("tag").alias("of")).agg(F.count("c").alias("k"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("s"))
+    out = scored.join(rare, F.col("tag") == F.col("of"), "left")
     s = F.coalesce("s", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), (F.col("base") + s).alias("base_score"), (F.col("score") + s).alias("score"))
-
-
-def _with_id(run):
-    """Puts doc_id beside each tag of what run gives."""
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[int, int | None] = {}
-
-        def noted():
-            for b in batches:
-                ids.update(zip(b.column("tag").to_pylist(), b.column("doc_id").to_pylist()))
-                yield b
-
-        for b in run(noted()):
-            found = pa.array([ids.pop(t) for t in b.column("tag").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([found, *b.columns], ["doc_id", *b.schema.names])
-
-    return wrapped
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), (F.col("base") + s).alias("base_score"), (F.col("score") + s).alias("score"))
 
 
 def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and weights from the rows that aren't held out; scores of all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Without training rows every word is unknown: base_score is 0. An empty table gives no rows. Other columns of docs are
-    ignored, whatever their names.
+    Null text is empty; repeated rows count as rows. Without training rows every word is unknown: base_score is 0. An empty
+    table gives no rows. Other columns of docs are ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    training = docs.where(~held_out(F.col("doc_id")))
-    counts = count_tokens(training)
+    counts = count_tokens(docs.where(~held_out(F.col("doc_id"))))
     v = vocabulary(counts)
-    out = score(docs, counts, v, fit(training, v))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), "base_score", "score")
+    encoded = encode(docs, v)
+    out = score(encoded, counts, fit(encoded, v))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,52 +55,79 @@ def test_chances_add_up():
     r = random.Random(2)
     v = vocabulary([b"w%d" % int(r.expovariate(0.0015)) for _ in range(30_000)] + [b""] * 50)
     assert len(v.words) > m.SHORT
-    p = m.unpack(m.initial(v))
-    h = np.random.default_rng(0).normal(0, 1, (1, m.HIDDEN)).astype("float32")
-    total = 0.0
-    for w, c, k, s in zip(v.words, v.counts, v.cls, v.slot):
-        x = math.exp(m._log_softmax_parts(p, h, np.array([k]), np.array([s]))[0])
-        total += x if s >= 0 else x * (c + 1) / 10 ** v.log_denominator[k - m.CLASSES]
-    for k in range(m.TAIL_CLASSES):
-        total += math.exp(m._log_softmax_parts(p, h, np.array([m.CLASSES + k]), np.array([-1]))[0]) / 10 ** v.log_denominator[k]
-    assert total == pytest.approx(1, abs=1e-3)
+    net = m.Net(m.initial(v))
+    h = np.random.default_rng(0).uniform(-1, 1, (1, m.HIDDEN)).astype("float32")
+    for safe in (True, False):
+        net.safe, total = safe, 0.0
+        p = np.exp(net.log_chances(np.repeat(h, m.START, 0), np.arange(m.START, dtype="uint16")).astype(float))
+        for s, c, k, o in zip(v.feed, v.counts, v.cls, v.slot):
+            total += p[s] if o >= 0 else p[s] * (c + 1) / 10 ** v.log_denominator[k - m.CLASSES]
+        for k in range(m.TAIL_CLASSES):
+            total += p[m.SHORT + k] / 10 ** v.log_denominator[k]
+        assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_symbols_and_base():
+    """Words of the shortlist, of the tail and outside the head; the base score is that of the words of the head."""
+    v = vocabulary([b"a"] * 5 + [b"b"] * 3 + [b""] * 2)
+    symbols, known, base, more, rare = m.Encoder(v).encode([b"b", b"xyz", b"a", b""])
+    assert [m.SLOT_OF[x] >= 0 for x in symbols] == [True, False, True, True] and symbols[1] == m.SHORT + zlib.crc32(b"xyz") % m.TAIL_CLASSES
+    assert known == 3 and rare == [b"xyz"] and base == pytest.approx(math.log10(4) + math.log10(6) + math.log10(3) - 4 * math.log10(10 + 3 + 1))
+    assert more == pytest.approx(-v.log_denominator[symbols[1] - m.SHORT])
+
+
+def some(r, code, lengths):
+    return [(k, code.encode([b"w%d" % i for i in r.integers(0, 300, n)] + [b""])[0]) for k, n in enumerate(lengths)]
 
 
 def test_gradient_by_differences():
     r = np.random.default_rng(5)
     v = vocabulary([b"w%d" % i for i in r.integers(0, 300, 5000)] + [b""] * 9)
     flat = m.initial(v).astype("float64")
-    code = m.Encoder(v)
-    docs = [(0, *code.ids([b"w%d" % i for i in r.integers(0, 300, n)] + [b""])[1:4]) for n in (3, 9, 20)]
-    feed, fresh, cls, slot, live, _ = next(m.Streams(iter(docs), 2, 12).windows())
-    h0 = r.normal(0, 1, (2, m.HIDDEN))
-    loss = lambda x: m._gradient(m.unpack(x), feed, fresh, cls, slot, live, h0)[0] / live.sum()
-    grad = m._gradient(m.unpack(flat), feed, fresh, cls, slot, live, h0)[1]
-    at = np.argsort(-np.abs(grad))[r.integers(0, 1500, 60)]
+    docs = some(r, m.Encoder(v), (3, 9, 20))
+    _, feed, symbols, fresh, live, _ = next(m.Streams(iter(docs), 2, 12, 12).windows())
+    h0 = r.uniform(-1, 1, (2, m.HIDDEN))
+    loss = lambda x: m.Net(x).gradient(feed, symbols, fresh, live, h0)[0] / live.sum()
+    grad = m.Net(flat).gradient(feed, symbols, fresh, live, h0)[1]
+    parts, at = m.unpack(np.arange(m.SIZE)), []
+    for name in m.SHAPES:  # the largest few of every part, and others
+        own = parts[name].ravel()
+        own = own[np.argsort(-np.abs(grad[own]))]
+        at += [*own[:6], *own[r.integers(0, max(7, len(own) // 50), 6)]]
     for i in at:
         up, down = flat.copy(), flat.copy()
-        up[i] += 1e-3
-        down[i] -= 1e-3
-        assert (loss(up) - loss(down)) / 2e-3 == pytest.approx(grad[i], rel=0.03, abs=2e-5)
+        up[i] += 1e-4
+        down[i] -= 1e-4
+        assert (loss(up) - loss(down)) / 2e-4 == pytest.approx(grad[i], rel=1e-3, abs=1e-7)
 
 
 def test_state_is_carried_through_windows(monkeypatch):
-    """Scores of whole documents don't depend on the windows they are cut into."""
+    """Scores of whole documents don't depend on the windows and blocks they are cut into, nor on which streams end first."""
     r = np.random.default_rng(6)
     v = vocabulary([b"w%d" % i for i in r.integers(0, 300, 5000)] + [b""] * 9)
-    flat, code = m.initial(v), m.Encoder(v)
-    docs = [(k, *code.ids([b"w%d" % i for i in r.integers(0, 300, n)] + [b""])[1:4]) for k, n in enumerate((1, 70, 200, 0, 33))]
+    flat = m.initial(v)
+    m.unpack(flat)["wc"][:] = r.normal(0, 1, (m.HIDDEN, m.CLASSES + m.TAIL_CLASSES))
+    docs = some(r, m.Encoder(v), (1, 70, 200, 0, 33, 2000, 5))
     a = dict(m.score_documents(flat, iter(docs)))
+    made = m.Streams
+    monkeypatch.setattr(m, "Streams", lambda docs, n, steps: made(docs, n, steps, 21))
     monkeypatch.setattr(m, "STEPS", 7)
-    monkeypatch.setattr(m, "SCORE_STREAMS", 2)
+    monkeypatch.setattr(m, "SCORE_STREAMS", 3)
     b = dict(m.score_documents(flat, iter(docs)))
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-4) for k in a)
+    net, h = m.Net(flat), np.zeros((1, m.HIDDEN), "float32")
+    for key, x in docs:
+        feed = np.concatenate([[m.START], x[:-1]]).astype("uint16")[:, None]
+        c = net.log_chances(net.states(feed, np.zeros(feed.shape, bool), h)[:, 0], x).sum()
+        assert a[key] == pytest.approx(c, rel=1e-4) and b[key] == pytest.approx(c, rel=1e-4)
+    assert len(a) == len(b) == len(docs)
 
 
-def test_held_out_gain(spark):
-    """On documents it hasn't learnt from, the model says more than the counts alone."""
-    out = m.op9_language_model(spark, "/root/testdata/sf0.1").where("held_out").toPandas()
-    assert out["score"].sum() > 0.97 * out["base_score"].sum()
+@pytest.mark.parametrize("sf, most", [("0.01", 0.96), ("0.1", 0.94)])
+def test_held_out_gain(spark, sf, most):
+    """On documents it hasn't learnt from, the model says more than the counts alone, and on nearly each of them."""
+    out = m.op9_language_model(spark, f"/root/testdata/sf{sf}").where("held_out").toPandas()
+    assert out["score"].sum() > most * out["base_score"].sum()
+    assert (out["score"] < out["base_score"]).mean() < 0.03
 
 
 def test_empty(spark):
@@ -118,25 +145,38 @@ def test_head_is_bounded(spark, monkeypatch):
 
 
 def test_moves_add_up():
-    d = [np.array([1.0, 2.0], "float16"), np.array([3.0, -2.0], "float16")]
-    one = list(m._added("float16", 2)(iter([m._moved(2, 1.0, d[0]), m._moved(6, 3.0, d[1])])))
-    two = next(m._added("float64", 2)(iter(one)))
-    assert two.to_pylist()[0]["seen"] == 8 and np.frombuffer(two.to_pylist()[0]["delta"], "float64").tolist() == [20.0, -8.0]
-    assert list(m._added("float16", 2)(iter([]))) == []
+    d = [np.array([1.0, 2.0], "float32"), np.array([3.0, -2.0], "float32")]
+    one = list(m._added(iter([m._moved(2, 1.0, d[0]), m._moved(6, 3.0, d[1])])))
+    two = next(m._added(iter(one))).to_pylist()[0]
+    assert two["seen"] == 8 and np.frombuffer(two["moved"], "float32").tolist() == [2.5, -1.0]
+    assert list(m._added(iter([]))) == []
 
 
 def test_every_training_document_is_trained_on(spark, monkeypatch):
-    """The rounds together see each document once, and a corpus of a few documents is trained on as well."""
-    docs = spark.createDataFrame([(i, f"w{i % 7} only{i}") for i in range(40)], "doc_id long, text string")
-    v = m.vocabulary(m.count_tokens(docs))
+    """The rounds together see each document that isn't held out once, whole; a corpus of a few documents is trained on as well."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} only{i} " + "so " * (i % 5)) for i in range(140)], "doc_id long, text string")
+    mine = [i for i in range(140) if zlib.crc32(str(i).encode()) % 7 != 2]
+    v = m.vocabulary(m.count_tokens(docs.where(~m.held_out(docs.doc_id))))
+    encoded = m.encode(docs, v)
     seen, moves = [], m.store
-    monkeypatch.setattr(m, "store", lambda df, name: seen.append(moves(df, name)) or seen[-1])
-    flat = m.fit(docs, v)
-    assert sum(r["seen"] for df in seen for r in df.select("seen").collect()) == 40 * 3
+    monkeypatch.setattr(m, "store", lambda df, name, **more: seen.append(moves(df, name, **more)) or seen[-1])
+    flat = m.fit(encoded, v)
+    assert sum(r["seen"] for df in seen for r in df.select("seen").collect()) == sum(3 + i % 5 for i in mine) == v.total
     assert np.abs(flat - m.initial(v)).max() > 0
-    few = docs.limit(2)
+    few = docs.where("doc_id in (0, 1)")
     v = m.vocabulary(m.count_tokens(few))
-    assert np.abs(m.fit(few, v) - m.initial(v)).max() > 0
+    assert np.abs(m.fit(m.encode(few, v), v) - m.initial(v)).max() > 0
+
+
+def test_a_word_of_one_document_in_sixteen_is_learnt(spark):
+    """No share of the training documents is passed over: what any sixteenth of them alone says moves the weights of its word."""
+    docs = spark.createDataFrame([(i, f"mark{i % 16} word other") for i in range(4000)], "doc_id long, text string")
+    v = m.vocabulary(m.count_tokens(docs.where(~m.held_out(docs.doc_id))))
+    flat = m.fit(m.encode(docs, v), v)
+    before, after = m.unpack(m.initial(v))["emb"], m.unpack(flat)["emb"]
+    for k in range(16):
+        s = v.feed[v.rank[b"mark%d" % k]]
+        assert np.abs(after[s] - before[s]).max() > 1e-3
 
 
 def test_shards_grow_with_the_corpus():
