@@ -1,9 +1,11 @@
 """Exact deduplication by a log-structured merge index.
 
-Rows become (digest, n_chars, doc_id, tag) entries. Each task fills a memtable and flushes it as a run sorted by digest;
-the runs are Parquet files whose footers hold a Bloom filter and min/max of the digest. Compaction merges all runs: of
-each digest the row with the most characters, then the smallest identifier stays. Texts whose digest hits a group of two
-or more, found with a Bloom filter over the compacted index, are compared byte by byte with the text that stays.
+Each task fills a memtable and flushes it twice: the log has an entry for every row, the run one entry for each digest, with
+the row that stays so far and the number of rows, sorted by digest. Compaction merges the runs by ranges of digests, each in
+order: of a digest the row with the most characters, then the smallest identifier stays. The files of the compacted level
+have disjoint ranges, so that lookups of later batches read the files whose range has one of their digests and no others.
+Texts whose digest hits a group of two or more, found with a Bloom filter over the compacted index, are compared byte by byte
+with the text that stays.
 """
 
 from __future__ import annotations
@@ -17,16 +19,26 @@ from pyspark.sql import functions as F
 
 from .common import bloom, keep_rows, store, table, without_space
 
-ENTRY = "digest binary, n_chars long, doc_id long, tag long, run int"
+#: kind 0: the log's entry of a row; kind 1: a run's entry of a digest, whose row (n_chars, doc_id, tag) stays so far.
+ENTRY = "kind int, run int, digest binary, n_chars long, doc_id long, tag long, n long"
+#: Ways of sorting a group so that the row that stays comes first.
+BEST = [("digest", "ascending"), ("n_chars", "descending"), ("doc_id", "ascending"), ("tag", "ascending")]
 
 
 def _flush(memtable_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, number = [], 0, 0
 
-        def flushed() -> list[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).sort_by([("digest", "ascending"), ("doc_id", "ascending")])
-            return t.append_column("run", pa.array(np.full(len(t), number, "int32"))).to_batches()
+        def made(kind: int, t: pa.Table, n: np.ndarray) -> list[pa.RecordBatch]:
+            constant = lambda x: pa.array(np.full(len(t), x, "int32"))
+            return pa.table([constant(kind), constant(number), *t.columns, pa.array(n, pa.int64())], [x.split()[0] for x in ENTRY.split(", ")]).to_batches()
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).sort_by(BEST)  # a null doc_id comes last
+            yield from made(0, t, np.ones(len(t), "int64"))
+            d = t["digest"].combine_chunks()
+            first = np.flatnonzero(np.concatenate([[True], pa.compute.not_equal(d[1:], d[:-1]).to_numpy(zero_copy_only=False)]))
+            yield from made(1, t.take(pa.array(first)), np.diff(np.append(first, len(t))))
 
         for b in batches:
             held.append(b)
@@ -49,7 +61,7 @@ def _digest(text, digest_bytes: int):
 
 
 def flush_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, memtable_rows: int = 1 << 16) -> DataFrame:
-    """Level 0: every row's entry, in runs of memtable_rows or more rows sorted by digest, stored in the shared folder."""
+    """Level 0, stored in the shared folder: the log (kind 0) and the runs (kind 1) of memtables of memtable_rows or more rows."""
     text = F.col(text_col)
     thin = docs.select(
         _digest(text, digest_bytes).alias("digest"),
@@ -57,20 +69,37 @@ def flush_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("tag"),
     )
-    return store(thin.mapInArrow(_flush(memtable_rows), ENTRY), "lsm-level0", **_bloom_options(memtable_rows))
+    return store(thin.mapInArrow(_flush(memtable_rows), ENTRY).sortWithinPartitions("kind", "run", "digest"), "lsm-level0", by=["kind"], **_bloom_options(memtable_rows))
+
 
+def compact(level0: DataFrame) -> DataFrame:
+    """Level 1: one entry a digest, in files of disjoint ranges; the longest text, then the smallest identifier stays (null comes last).
 
-def compact(runs: DataFrame) -> DataFrame:
-    """Level 1: one entry a digest, sorted; the longest text, then the smallest identifier stays (a null identifier comes last)."""
+    A run has a digest once, so the ranges get an entry of it from each run at most, however many rows have it.
+    """
+    runs = level0.where("kind = 1").select("digest", "n_chars", "doc_id", "tag", "n")
     best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("i"), F.bitwise_not("tag").alias("t"))).alias("best")
-    merged = runs.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"))
+    merged = runs.repartitionByRange("digest").sortWithinPartitions("digest").groupBy("digest").agg(best, F.sum("n").alias("group_size"))
     merged = merged.select("digest", "group_size", F.bitwise_not("best.i").alias("keep_id"), F.bitwise_not("best.t").alias("keep_tag"), F.col("best.n_chars").alias("keep_chars"))
     return store(merged.sortWithinPartitions("digest"), "lsm-level1", **_bloom_options(1 << 16))
 
 
+def hit_files(index: DataFrame, digests: DataFrame) -> list[str]:
+    """The files of a compacted index whose range has one of digests (digest). The driver gets the names of files, not keys."""
+    ranges = index.groupBy(F.input_file_name().alias("file")).agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    hit = ranges.join(digests.select("digest").distinct(), F.col("digest").between(F.col("low"), F.col("high")), "left_semi")
+    return [r["file"] for r in hit.select("file").collect()]
+
+
 def lookup(index: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
-    """The rows of docs whose text is in a compacted index, with the identifier that stays there: for batches that arrive later."""
-    return docs.withColumn("digest", _digest(F.col(text_col), digest_bytes)).join(index.select("digest", "keep_id"), "digest").select(F.col(id_col), "keep_id")
+    """The rows of docs whose text is in a compacted index, with the identifier that stays there: for batches that arrive later.
+
+    Only the index files whose range has a digest of the batch are read. An empty batch or index gives no rows.
+    """
+    batch = store(docs.select(F.col(id_col), _digest(F.col(text_col), digest_bytes).alias("digest")), "lsm-batch")
+    files = hit_files(index, batch)
+    found = docs.sparkSession.read.schema(index.schema).parquet(*files) if files else index.limit(0)
+    return batch.join(found.select("digest", "keep_id"), "digest").select(F.col(id_col), "keep_id")
 
 
 def _verified(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, digest_bytes: int) -> DataFrame | None:
@@ -96,9 +125,9 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     are grouped by the text itself. Other columns of docs are ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    runs = flush_runs(docs, "doc_id", "text", digest_bytes, memtable_rows)
-    index = compact(runs)
-    out = runs.join(index.select("digest", "keep_id", "keep_tag", "group_size"), "digest")
+    level0 = flush_runs(docs, "doc_id", "text", digest_bytes, memtable_rows)
+    index = compact(level0)
+    out = level0.where("kind = 0").join(index.select("digest", "keep_id", "keep_tag", "group_size"), "digest")
     out = out.select("doc_id", "n_chars", "keep_id", "group_size", (F.col("tag") == F.col("keep_tag")).alias("kept"), "digest")
     if (mixed := _verified(docs, index, "doc_id", "text", digest_bytes)) is None:
         return out
@@ -110,7 +139,11 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, all its columns as they are."""
+    """docs with one row of each group of equal texts, all its columns as they are.
+
+    Null and empty texts are one group; of repeated rows one stays; a null doc_id stays only where its group has no other
+    among its longest texts. An empty table gives no rows; clashing names of columns do no harm.
+    """
     made = store(decide(docs, id_col, text_col), "lsm-decided")
     keys = {"__id": F.col(id_col).cast("long"), "__digest": _digest(F.col(text_col), 32), "__n": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")}
     kept = made.where("doc_id <=> keep_id").groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("n_chars").alias("__n")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))

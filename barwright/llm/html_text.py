@@ -1,16 +1,20 @@
 """Main text of HTML pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering of regions.
 
-The events of html.parser cut a page into lines, one for each block of text. A line knows the tags since the line before,
-its region (the article or main element around it, else the nearest container) and whether an element around it is one
-of navigation, headers, footers, asides, forms, adverts, notices or reader comments, by tag, role, class or id. The ratios
-of the other lines' characters to tags, capped at that of prose, are smoothed; a region with a line over the threshold is content, and all its lines
-are kept. Where a page has an article or main element, its regions alone are candidates.
+The events of html.parser cut a page into lines, one for each block of text. The ratio of a line is its characters outside
+links to the tags since the line before, capped at that of prose. Tags, roles, class names and a few phrases weigh in: a line
+of navigation, headers, footers, asides, forms, adverts, notices or reader comments has the ratio 0, and a line in an article or
+main element gets a bonus on top of its smoothed ratio. Ratios are smoothed along the page, where nothing stands before and
+after it; the threshold is the one that parts the smoothed ratios into two clusters best, and half the largest at most. A region
+(the article or main element around a line, else its nearest container) is content if lines over the threshold have half of its
+characters or more; all its lines but those of the excluded kinds are kept. So pages without telling tags or
+names are told by ratios alone.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -35,7 +39,13 @@ NEGATIONS = ("no", "has", "with", "without", "is", "hide")
 SIGMA, RADIUS = 1.0, 2
 #: A line of more characters to a tag is prose as any other: its length must not raise the threshold over shorter paragraphs.
 PROSE = 50.0
+#: What an article or main element adds to a line's smoothed ratio, which is PROSE at most.
+BONUS = 4 * PROSE
+#: Lines that begin a page's footer or are the heading of its comments, outside of articles.
+_FOOTER = re.compile(r"(?:©|\(c\) *\d{4}|copyright (?:©|\(c\)|\d{4}))", re.IGNORECASE)
+_COMMENTS = re.compile(r"(?:\d+ )?(?:reader )?(?:comments?|replies|responses)(?: ?\(\d+\))?:?|leave a (?:comment|reply)|join the discussion", re.IGNORECASE)
 _KERNEL = [math.exp(-k * k / (2 * SIGMA * SIGMA)) for k in range(-RADIUS, RADIUS + 1)]
+_KERNEL = [w / sum(_KERNEL) for w in _KERNEL]
 _PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -73,24 +83,45 @@ def _kind(tag: str, attrs: list[tuple[str, str | None]]) -> str:
     return _named(names)
 
 
+@dataclass
+class Line:
+    text: str
+    tags: int
+    linked: int
+    kind: str
+    region: int
+    sort: str
+
+
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str, int, str]] = []  # tag, kind of exclusion or '', region, kind of region
         self.open: dict[str, int] = {}
-        self.lines: list[tuple[str, int, int, str]] = []  # text, tags, region, kind of region
+        self.lines: list[Line] = []
         self.data: list[str] = []
-        self.tags = self.regions = 0
+        self.tags = self.linked = 0
+        self.above = [0]  # region around each region
+        self.comments: set[int] = set()  # regions from whose comments on nothing is content
 
     def flush(self) -> None:
         if self.data:
             text = " ".join("".join(self.data).split())
             self.data = []
             if text:
-                _, kind, region, sort = self.stack[-1] if self.stack else ("", "", 0, "")
-                if not kind:
-                    self.lines.append((text, self.tags, region, sort))
-                self.tags = 0
+                tag, kind, region, sort = self.stack[-1] if self.stack else ("", "", 0, "")
+                if not sort and not kind:
+                    if tag in HEADINGS and _COMMENTS.fullmatch(text):
+                        self.comments.add(region)
+                    if _FOOTER.match(text) or self.comments and self.after_comments(region):
+                        kind = "hard"
+                self.lines.append(Line(text, self.tags, self.linked, kind, region, sort))
+                self.tags = self.linked = 0
+
+    def after_comments(self, region: int) -> bool:
+        while region and region not in self.comments:
+            region = self.above[region]
+        return region in self.comments
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -98,6 +129,9 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
+        if tag == "a" and self.open.get("a"):
+            self.handle_endtag("a")
+            self.tags -= 1
         if tag in ("article", "main") and self.stack and self.stack[-1][1] == "soft":
             self.cut(next(i for i, x in enumerate(self.stack) if x[1]))
         _, kind, region, sort = self.stack[-1] if self.stack else ("", "", 0, "")
@@ -105,8 +139,8 @@ class _Lines(HTMLParser):
         if kind != "hard" and own and not (sort == "article" and tag == "header"):
             kind = "hard" if own == "hard" else "soft"
         if tag == "article" or tag == "main" and sort != "article" or tag in CONTAINERS and not sort:
-            self.regions += 1
-            region, sort = self.regions, tag if tag in ("article", "main") else sort
+            self.above.append(region)
+            region, sort = len(self.above) - 1, tag if tag in ("article", "main") else sort
         self.stack.append((tag, kind, region, sort))
         self.open[tag] = self.open.get(tag, 0) + 1
 
@@ -134,6 +168,27 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data):
         self.data.append(data)
+        if self.open.get("a"):
+            self.linked += len(data)
+
+
+def smoothed(ratio: list[float]) -> list[float]:
+    """Means of the lines around each, weighted by a Gaussian; outside the page there is nothing."""
+    padded = [0.0] * RADIUS + ratio + [0.0] * RADIUS
+    return [sum(w * x for w, x in zip(_KERNEL, padded[i : i + 2 * RADIUS + 1])) for i in range(len(ratio))]
+
+
+def threshold(scores: list[float]) -> float:
+    """The least score of the upper one of two clusters with the least variance inside them, but half the largest score at most."""
+    s = sorted(scores)
+    total, below, best, at = sum(s), 0.0, -1.0, s[0]
+    for i in range(1, len(s)):
+        below += s[i - 1]
+        if s[i] > s[i - 1]:
+            apart = i * (len(s) - i) * (below / i - (total - below) / (len(s) - i)) ** 2
+            if apart > best:
+                best, at = apart, s[i]
+    return min(at, s[-1] / 2)
 
 
 def main_text(html: str | None) -> str:
@@ -142,26 +197,25 @@ def main_text(html: str | None) -> str:
     p.feed(html or "")
     p.close()
     p.flush()
-    lines = p.lines
-    if any(sort for *_, sort in lines):
-        lines = [x for x in lines if x[3]]
-    if not lines:
+    ratio = [0.0 if x.kind else min(PROSE, max(0, len(x.text) - x.linked) / max(1, x.tags)) for x in p.lines]
+    score = [0.0 if x.kind else s + BONUS * bool(x.sort) for x, s in zip(p.lines, smoothed(ratio))]
+    if not any(score):
         return ""
-    ratio = [min(PROSE, len(text) / max(1, tags)) for text, tags, _, _ in lines]
-    smooth = []
-    for i in range(len(ratio)):
-        near = [(w, ratio[i + k]) for w, k in zip(_KERNEL, range(-RADIUS, RADIUS + 1)) if 0 <= i + k < len(ratio)]
-        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
-    mean = sum(smooth) / len(smooth)
-    threshold = min(max(smooth), max(mean / 2, math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))))
-    content = {region for (_, _, region, _), x in zip(lines, smooth) if x >= threshold}
-    return " ".join(text for text, _, region, _ in lines if region in content)
+    least = threshold(score)
+    size: dict[int, list[int]] = {}
+    for x, s in zip(p.lines, score):
+        if not x.kind:
+            n = size.setdefault(x.region, [0, 0])
+            n[0] += len(x.text)
+            n[1] += len(x.text) * (s >= least)
+    return " ".join(x.text for x in p.lines if not x.kind and 2 * size[x.region][1] >= size[x.region][0])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with text, the main text of the whole html, and n_chars, its code points.
 
-    Null and empty html, and pages without an article, give an empty text. Columns named text or n_chars are replaced.
+    Null and empty html, and pages without an article, give an empty text. Repeated rows are rows of their own, and an empty
+    table gives no rows. Columns named text or n_chars are replaced.
     """
 
     @F.pandas_udf("string")

@@ -53,12 +53,54 @@ def test_brute_force(spark):
         assert got.where("doc_id = 302").first()["n_words"] == 80_000
 
 
-def test_blocks(spark, monkeypatch):
+def test_joins_by_shuffle(spark, monkeypatch):
+    """Beyond the limits of the broadcasts the rows are the same, and the documents are read once."""
     docs, items = case(3)
-    docs = docs[:-1]
-    monkeypatch.setattr(m, "BLOCK_WINDOWS", 20)
+    docs, made, calls = docs[:-1], m.index, []
+    monkeypatch.setattr(m, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(m, "MAX_BROADCAST_ITEMS", 0)
+    monkeypatch.setattr(m, "index", lambda *a: calls.append(a) or made(*a))
     got = m.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs, items)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs, items) and len(calls) == 1
+
+
+def test_postings(spark):
+    """Positions of the terms that windows use, and one row a document with a null term."""
+    d = spark.createDataFrame([(7, ["a", "b", "a", "b", "c"]), (8, []), (9, ["a", "b"])], "tag long, words array<string>")
+    terms = spark.createDataFrame([(["a", "b"],)], "words array<string>").select(m.F.xxhash64(m.F.get("words", m.F.lit(0)), m.F.get("words", m.F.lit(1))).alias("term"))
+    got = sorted((r.tag, r.term is not None, r.pos) for r in m.index(d, terms, True, False).collect() if r.term is not None or r.tag == 8)
+    assert got == [(7, True, 0), (7, True, 2), (8, False, None), (9, True, 0)]
+
+
+def brute_near(docs, items, width, slop):
+    out = set()
+    counts = {}
+    for _, t in docs:
+        for w in words(t):
+            counts[w] = counts.get(w, 0) + 1
+    for d, t in docs:
+        w = words(t)
+        for i, it in items:
+            iw = words(it)
+            for k in range(max(len(iw) - width, 0) + 1) if iw else ():
+                g = iw[k : k + width]
+                if all(x in counts for x in g):
+                    by = min(range(len(g)), key=lambda o: (counts[g[o]], o))
+                    for p in range(len(w)):
+                        if w[p] == g[by]:
+                            low = max(p - by - slop, 0)
+                            high = low + len(g) + 2 * slop
+                            if set(g) <= set(w[low:high]):
+                                out.add((d, low, min(high, len(w)), i))
+    return out
+
+
+def test_proximity_against_brute_force(spark):
+    for seed in (5, 6):
+        docs, items = case(seed)
+        docs = [x for x in docs if x[0] not in (302, None)]
+        got = m.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), width=6, slop=2)
+        assert {(r.doc_id, r.start, r.stop, r.item_id) for r in got.collect()} == brute_near(docs, items, 6, 2)
 
 
 def test_empty(spark):

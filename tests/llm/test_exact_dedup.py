@@ -52,7 +52,29 @@ def test_empty(spark):
     assert m.keep_one(docs).count() == 0
 
 
+def test_runs_and_ranges(spark):
+    """A run has a digest once, in order; the files of the compacted level have disjoint ranges and add up to all rows."""
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, r.choice("abcdefgh") * r.randint(0, 40)) for i in range(3000)], "doc_id long, text string").repartition(3)
+    level0 = m.flush_runs(docs, memtable_rows=200)
+    rows = level0.where("kind = 1").select("digest", "n", "run", m.F.spark_partition_id().alias("p"), m.F.input_file_name().alias("f")).collect()
+    by = defaultdict(list)
+    for x in rows:
+        by[x.f, x.run].append(bytes(x.digest))
+    assert len(by) >= 3 and all(d == sorted(set(d)) for d in by.values()) and sum(x.n for x in rows) == 3000 == level0.where("kind = 0").count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    index = m.compact(level0)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranges = sorted(tuple(map(bytes, x)) for x in index.groupBy(m.F.input_file_name()).agg(m.F.min("digest"), m.F.max("digest")).select(m.F.col("min(digest)"), m.F.col("max(digest)")).collect())
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:])) and index.agg(m.F.sum("group_size")).first()[0] == 3000
+
+
 def test_lookup(spark):
-    old = spark.createDataFrame([(1, "a b", "", 0), (2, "c", "", 0)], SCHEMA)
-    new = spark.createDataFrame([(11, "ab", "", 0), (12, "d", "", 0)], SCHEMA)
-    assert [tuple(r) for r in m.lookup(m.compact(m.flush_runs(old)), new).collect()] == [(11, 1)]
+    old = spark.createDataFrame([(1, "a b", "", 0), (2, "c", "", 0), *((100 + i, f"t{i}", "", 0) for i in range(500))], SCHEMA)
+    new = spark.createDataFrame([(11, "ab", "", 0), (12, "d", "", 0), (13, "a  b", "", 0)], SCHEMA)
+    index = m.store(m.compact(m.flush_runs(old)).repartitionByRange(8, "digest").sortWithinPartitions("digest"), "level1")
+    found = m.lookup(index, new)
+    assert sorted(tuple(r) for r in found.collect()) == [(11, 1), (13, 1)]
+    read = m.hit_files(index, new.select(m._digest(new.text, 32).alias("digest")))
+    assert len(index.inputFiles()) == 8 and 1 <= len(read) <= 2  # of eight runs those that may have one of two digests
+    assert m.lookup(index, new.limit(0)).count() == 0

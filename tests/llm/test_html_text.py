@@ -54,8 +54,9 @@ def test_odd_pages():
 
 
 def test_frame(spark):
-    df = spark.createDataFrame([(1, None, "t"), (2, "<article>a  b</article>", "t")], "page_id int, html string, text string")
-    assert [(r.page_id, r.text, r.n_chars) for r in m.extract(df).orderBy("page_id").collect()] == [(1, "", 0), (2, "a b", 3)]
+    rows = [(1, None, "t"), (2, "<article>a  b</article>", "t"), (2, "<article>a  b</article>", "t"), (3, "", "t")]
+    df = spark.createDataFrame(rows, "page_id int, html string, text string")
+    assert [(r.page_id, r.text, r.n_chars) for r in m.extract(df).orderBy("page_id").collect()] == [(1, "", 0), (2, "a b", 3), (2, "a b", 3), (3, "", 0)]
     assert m.extract(df.limit(0)).count() == 0
 
 
@@ -64,3 +65,48 @@ def test_one_long_block_does_not_drop_the_others():
     long = "word " * 4000
     page = "<body>" + "".join(f"<div><p>{t}</p></div>" for t in [*short[:10], long, *short[10:]]) + "</body>"
     assert m.main_text(page) == " ".join(" ".join([*short[:10], long, *short[10:]]).split())
+
+
+def bare(page):
+    """The page without telling tags and names: all containers are div elements."""
+    return re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", page).replace(' class="ad"', ' class="x1"')
+
+
+def sample(spark):
+    return [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+
+
+def test_pages_without_telling_tags_and_names(spark):
+    """Ratios alone give the same text as article elements do, but for some pages with an article as short as the advert."""
+    pages = sample(spark)
+    same = [m.main_text(bare(p)) == m.main_text(p) for p in pages]
+    assert sum(same) > 0.93 * len(same)
+    assert all(m.main_text(p) in m.main_text(bare(p)) for p in pages)
+
+
+def test_smoothing_decides(spark, monkeypatch):
+    """With the same smoothed ratio for all lines, or with none, pages without telling tags don't come out right."""
+    pages = sample(spark)[:60]
+    want = [m.main_text(p) for p in pages]
+    right = lambda: sum(m.main_text(bare(p)) == w for p, w in zip(pages, want))
+    assert right() > 54
+    monkeypatch.setattr(m, "smoothed", lambda r: [1.0] * len(r))
+    assert right() == 0
+    sections = "<body><div><a href=1>Home</a></div>" + "".join(f"<div><p>{'word ' * 50}</p></div><div><b>{i}</b></div>" for i in range(8)) + "</body>"
+    monkeypatch.setattr(m, "smoothed", lambda r: r)
+    rough = m.main_text(sections)
+    monkeypatch.undo()
+    assert "3" not in rough.split() and m.main_text(sections).split().count("word") == 400 and "3" in m.main_text(sections).split() and "Home" not in m.main_text(sections)
+
+
+def test_footers_and_comments_without_names():
+    prose = "".join(f"<p>{'some words of prose ' * 8}{i}.</p>" for i in range(5))
+    page = f"<body><div>{prose}</div><div><h3>2 Comments</h3><div><p>{'I liked this very much ' * 6}</p></div></div><div><p>© 2020 Somebody, who has all of the rights to this page and more.</p></div></body>"
+    text = m.main_text(page)
+    assert text.endswith("4.") and "liked" not in text and "2020" not in text
+    assert "Comments" in m.main_text(f"<article>{prose}<h2>Comments</h2><p>© 1999 is what the old page said.</p></article>")
+
+
+def test_threshold_parts_two_clusters():
+    assert m.threshold([1.0, 2.0, 50.0, 1.5, 49.0]) == 25.0 and m.threshold([1.0, 40.0, 41.0, 45.0]) == 22.5
+    assert m.threshold([3.0]) == 1.5 and m.threshold([0.0, 0.0, 10.0, 4.0]) == 5.0
