@@ -512,7 +512,8 @@ def fit(encoded: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     weights = np.stack([initial(v), np.zeros(SIZE, "float32"), np.zeros(SIZE, "float32")])
     shards = replicas(v.total / rounds)
     streams = int(np.clip(v.total / rounds / shards / STEPS / WINDOWS, LEAST_STREAMS, MOST_STREAMS))
-    long = F.greatest(F.floor(F.log2("n_tokens")) - 11, F.lit(0))  # very long documents go first, or a stream would be left alone with one
+    # very long documents go first, or a stream would be left alone with one
+    long = F.greatest(F.floor(F.log2("n_tokens")) - 11, F.lit(0))
     for k in range(rounds):
         start = spark.sparkContext.broadcast(weights)
         rate = RATE / (1 + 3 * k / rounds)
@@ -523,9 +524,11 @@ def fit(encoded: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
                 yield _moved(seen, loss, out)
 
         made, n = encoded.where(F.col("turn") == k).select("seq", "symbols", long.alias("long")).repartition(shards, "seq").sortWithinPartitions(F.desc("long"), "seq", "symbols").mapInArrow(run, MOVED), shards
-        while n > 1:
+        while True:
             n = -(-n // FAN_IN)
             made = made.repartition(n).mapInArrow(_added, MOVED)
+            if n == 1:
+                break
         for r in store(made, "lm-moves").collect():  # one row, or none where no row has this turn
             weights = np.frombuffer(r["moved"], "float32").reshape(3, SIZE).copy()
     return weights[0]
