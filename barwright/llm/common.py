@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="barwright-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -54,6 +56,25 @@ def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Parts that the rows of a hot group are dealt to where groups are joined by shuffle.
+SALTS = 32
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, n: int, limit: int, pairs: list[tuple[str, str]], row: Column, how: str = "inner") -> DataFrame:
+    """rows with the columns of groups where each pair (column of rows, column of groups) is equal, nulls too.
+
+    n groups within the limit are broadcast. More are joined by shuffle, each SALTS times, and the rows of a group are dealt
+    to SALTS parts by row, a hash of theirs, so that a hot group isn't one task's.
+    """
+    on = lambda a, b: [a[x].eqNullSafe(b[y]) for x, y in pairs]
+    if n <= limit:
+        right = F.broadcast(groups)
+        return rows.join(right, on(rows, right), how)
+    left = rows.withColumn("__part", F.pmod(row, F.lit(SALTS)))
+    right = groups.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*on(left, right), left["__part"] == right["__of"]], how).drop("__part", "__of")
+
+
 def bloom(keys: DataFrame, key: Column, n: int) -> Callable[[Column], Column]:
     """A filter for hashes (long): true for all n keys, false for nearly all others. Its bits are gathered by word, FILTER_BITS at most."""
     bits = min(FILTER_BITS, 1 << max(12, (16 * n).bit_length()))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, store, table
+from .common import join_groups, small, store, table
 
 #: Boilerplate lines of all hosts that are broadcast; more are joined by shuffle, host by host.
 MAX_BROADCAST_LINES = 1_000_000
@@ -44,7 +44,7 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     sets = found.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__gone"))
     lines = _lines(F.col(text_col))
     out = pages.drop(*[c for c in ("n_lines", "n_dropped") if c in pages.columns])
-    out = out.join(small(sets, found.count(), MAX_BROADCAST_LINES), F.col(host_col).eqNullSafe(F.col("__host")), "left")
+    out = join_groups(out, sets, found.count(), MAX_BROADCAST_LINES, [(host_col, "__host")], F.xxhash64(F.col(text_col)), "left")
     left = F.when(F.col("__gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("__gone", _key(x)) | (F.btrim(x, F.lit(" \t\r\x0b\x0c")) == "")))
     out = out.withColumn("__left", left).withColumn("n_lines", F.when(F.coalesce(F.length(text_col), F.lit(0)) == 0, 0).otherwise(F.size(lines)).cast("long"))
     out = out.withColumn("n_dropped", F.when(F.col("n_lines") == 0, 0).otherwise(F.col("n_lines") - F.size("__left")).cast("long"))

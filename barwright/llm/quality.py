@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, store, table
+from .common import join_groups, small, store, table
 
 #: Labelled rows that the classifier is fitted on, at most: those of the least hashes of doc_id.
 MAX_LABELLED = 20_000
@@ -130,7 +130,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     both = store(paths.join(small(of_host, hosts.count(), MAX_BROADCAST_GROUPS), F.col("__h").eqNullSafe(F.col("__hh"))).drop("__hh"), "quality-groups")
     k2 = _spread(both, (F.col("__hs") + k1 * mu) / (F.col("__hn") + k1))
     groups = both.select(F.col("__h").alias("__gh"), F.col("__p").alias("__gp"), F.col("n").alias("__n"), F.col("s").alias("__s"), "__hn", "__hs")
-    out = scored.join(small(groups, n_paths, MAX_BROADCAST_GROUPS), F.col(host_col).eqNullSafe(F.col("__gh")) & F.col(path_col).eqNullSafe(F.col("__gp")))
+    out = join_groups(scored, groups, n_paths, MAX_BROADCAST_GROUPS, [(host_col, "__gh"), (path_col, "__gp")], F.xxhash64(F.col(id_col), F.col(text_col)))
     e = F.col("__evidence")
     host = (F.col("__hs") - e + k1 * mu) / (F.col("__hn") - 1 + k1)
     path = F.least(F.greatest((F.col("__s") - e + k2 * host) / (F.col("__n") - 1 + k2), F.lit(1e-4)), F.lit(1 - 1e-4))

@@ -16,8 +16,10 @@ def brute(rules, host, path):
 
 def test_trie_against_all_rules():
     import itertools
+    import random
 
-    rules = [(v, h, p) for v, h, p in itertools.product(("allow", "block"), ("com", "b.com", "a.b.com"), ("", "/", "/x", "/x/", "/x/y", "/x/yy/z")) if hash((v, h, p)) % 3]
+    r = random.Random(7)
+    rules = [(v, h, p) for v, h, p in itertools.product(("allow", "block"), ("com", "b.com", "a.b.com"), ("", "/", "/x", "/x/", "/x/y", "/x/yy/z")) if r.random() < 0.67]
     t = m.UrlTrie(rules)
     for host in ("com", "b.com", "xb.com", "a.b.com", "q.a.b.com", "", ".com", "com."):
         for path in ("", "/", "/x", "/xx", "/x/", "/x/y", "/x/yyy", "/x/yy/z", "//", "/x//y"):
