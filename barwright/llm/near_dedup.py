@@ -13,15 +13,15 @@ are confirmed on full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bloom, keep_rows, store, table
+from .common import bloom, discard, keep_rows, store, table
 from .components import components
 
 #: 24 bands of 4 slots: of pairs at a similarity of 0.85, a share of 2e-8 meets in no bucket; of pairs at 0.8, 5e-6.
@@ -50,12 +50,12 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         return h
 
 
 def shingle_sets(texts: list[str | None], width: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, starts): document i has the distinct sorted shingle hashes hashes[starts[i]:starts[i + 1]], of 52 bits.
+    """(hashes, starts): document i has the distinct sorted shingle hashes hashes[starts[i]:starts[i + 1]], of 52 bits; these are the full sets that links are confirmed on.
 
     A-Z are lower-cased; words are [^\\x20\\x09-\\x0D]+ (bytes.split). Fewer than width words are one shingle, none is none.
     At most 4096 texts.
@@ -230,13 +230,17 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(turned, F.col("ca")).otherwise(F.col("cb")).alias("cb"))
         pairs = store(pairs.distinct(), "near-pairs")
         comps = components(_verified(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        discard(pairs)
         comps = comps.select(F.col("node").alias("was"), F.col("root").alias("now"))
         labels = labels.join(comps, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
         labels = store(labels.coalesce(-(-labels.count() // FILE_ROWS)), "near-labels")
         if last:
             return labels
+        before = at
         at = others.join(comps, F.col("comp") == F.col("was"), "left").select("key", "sid", "n", "c", "degree", F.coalesce("now", "comp").alias("comp"))
         at = store(at.coalesce(-(-active // FILE_ROWS)), "near-at")
+        discard(before)
+        discard(still)
         turn += 1
 
 
@@ -268,7 +272,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each near-duplicate group, whatever its doc_ids, all its columns as they are."""
+    """docs with one row of each near-duplicate group, whatever its doc_ids, all its columns as they are.
+
+    Null, empty and blank texts are in no group and stay; of repeated rows one stays; rows with a null doc_id stay where
+    their group has no other. An empty table gives no rows; clashing names of columns do no harm.
+    """
     made = groups(docs, id_col, text_col, width, percent).where("stays")
     keys = {"__id": F.col(id_col).cast("long"), "__row": F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))}
     kept = made.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.count(F.lit(1)).alias("copies"))
