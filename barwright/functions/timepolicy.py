@@ -47,6 +47,19 @@ def dst_cell(ts: Column) -> Column:
     return F.when(uk & us, "both_summer").when(us, "uk_winter_us_summer").when(uk, "uk_summer_us_winter").otherwise("both_winter")
 
 
+def local_view(ts: Column, zone: str) -> Column:
+    """A UTC timestamp as text in a zone, to the minute."""
+    return F.date_format(F.from_utc_timestamp(ts.cast("timestamp"), zone), "yyyy-MM-dd HH:mm")
+
+
+def hour_classes(ts: Column) -> Column:
+    """The classes that a bar's hour is in, one or more: all, flat (8 to 15), rollover_ny and adjacent_ny (around 17:00 in New York, by its daylight-saving cell), utc21_legacy."""
+    hour, winter = F.hour(ts), dst_cell(ts).isin("both_winter", "uk_summer_us_winter")
+    off = F.pmod(hour - F.when(winter, 22).otherwise(21), F.lit(24))
+    named = [F.lit("all"), F.when(hour.between(8, 15), "flat"), F.when(off == 0, "rollover_ny"), F.when(off.isin(1, 23), "adjacent_ny"), F.when(hour == 21, "utc21_legacy")]
+    return F.filter(F.array(*named), lambda x: x.isNotNull())
+
+
 def weekend_gap(a: Column, b: Column) -> Column:
     """Whether the bars a and b (UTC) stand exactly at either end of a scheduled weekend."""
     la, lb = (F.from_utc_timestamp(x.cast("timestamp"), NEW_YORK).cast("timestamp_ntz") for x in (a, b))
@@ -74,8 +87,10 @@ def add_months(d: datetime, n: int) -> datetime:
 
 def calendar_years(start: datetime, end: datetime, most: int = 200) -> list[tuple[str, datetime, datetime]]:
     """(label, start, end) of each calendar year from start to end, both inclusive; a period ends a second before the next."""
+    if end.year - start.year >= most:
+        raise ValueError(f"more than {most} years")
     out = []
-    for y in range(start.year, end.year + 1)[:most]:
+    for y in range(start.year, end.year + 1):
         out.append((str(y), max(start, datetime(y, 1, 1)), min(end, datetime(y + 1, 1, 1) - timedelta(seconds=1))))
     return out
 

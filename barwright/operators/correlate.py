@@ -76,7 +76,7 @@ def winsorised_mean(rows: DataFrame, by: Sequence[str], value: str, share: float
     """by, n, mean of the values cut at the percentiles share and 1 - share."""
     cut = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(share), F.lit(1 - share))).alias("__c"))
     c = F.least(F.greatest(F.col(value), F.col("__c")[0]), F.col("__c")[1])
-    return rows.join(F.broadcast(cut), list(by)).groupBy(*by).agg(F.count(value).alias("n"), F.avg(c).alias("mean"))
+    return rows.join(cut, list(by)).groupBy(*by).agg(F.count(value).alias("n"), F.avg(c).alias("mean"))
 
 
 def regression(rows: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
@@ -87,7 +87,7 @@ def regression(rows: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
 def mad_sigma(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """by, n, sigma = 1.4826 times the median distance from the median."""
     med = rows.groupBy(*by).agg(F.percentile(value, 0.5).alias("__m"))
-    return rows.join(F.broadcast(med), list(by)).groupBy(*by).agg(F.count(value).alias("n"), (1.4826 * F.percentile(F.abs(F.col(value) - F.col("__m")), 0.5)).alias("sigma"))
+    return rows.join(med, list(by)).groupBy(*by).agg(F.count(value).alias("n"), (1.4826 * F.percentile(F.abs(F.col(value) - F.col("__m")), 0.5)).alias("sigma"))
 
 
 def tail_stats(rows: DataFrame, by: Sequence[str], value: str, least: int = 30) -> DataFrame:

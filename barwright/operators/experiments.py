@@ -25,12 +25,12 @@ QUANTILES = (5, 25, 50, 75, 95)
 SHAPES = ("flat", "ramp", "decay", "pulse", "expdecay")
 
 
-def shape(name: str, k: Column, n: int, magnitude: float | None = None, steps: int | None = None, plateau: float | None = None) -> Column:
+def shape(name: str, k: Column, n: int | Column, magnitude: float | None = None, steps: int | None = None, plateau: float | None = None) -> Column:
     """Unit shape of a fault at bar k of n. step_plateau: steps bars at 1, then plateau / magnitude, 1 at most."""
     if name == "step_plateau":
         return F.when(k < steps, 1.0).otherwise(min(plateau / magnitude, 1.0))
     return {
-        "flat": F.lit(1.0), "ramp": (k + 1.0) / n, "decay": (n - k) / float(n), "pulse": F.sin(math.pi * (k + 0.5) / n), "expdecay": F.exp(-3.0 * k / n),
+        "flat": F.lit(1.0), "ramp": (k + 1.0) / n, "decay": (n - k) / (F.lit(1.0) * n), "pulse": F.sin(math.pi * (k + 0.5) / n), "expdecay": F.exp(-3.0 * k / n),
     }[name]
 
 

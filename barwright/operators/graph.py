@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BPS = 1e4
@@ -59,12 +60,13 @@ def simple_cycles(edges: DataFrame, length: int = 4, least: int = 3) -> DataFram
     """
     if not 2 <= length <= MAX_LENGTH:
         raise ValueError(f"length must be 2..{MAX_LENGTH}")
-    step = arcs(edges)
+    checkpoints(edges.sparkSession)
+    step = arcs(edges).checkpoint()  # once, not for each length
     legs = F.array(F.struct("edge", "d"))
     path = step.where("tail < head").select(F.col("tail").alias("start"), F.col("head").alias("at"), F.array("tail", "head").alias("nodes"), legs.alias("legs"))
     out = None
     for n in range(2, length + 1):
-        grown = path.join(F.broadcast(step), F.col("at") == F.col("tail"))
+        grown = path.join(step, F.col("at") == F.col("tail"))
         grown = grown.withColumn("legs", F.concat("legs", F.array(F.struct("edge", "d"))))
         first, last = F.element_at("legs", 1)["edge"], F.element_at("legs", -1)["edge"]
         if n >= least:
@@ -78,7 +80,7 @@ def simple_cycles(edges: DataFrame, length: int = 4, least: int = 3) -> DataFram
 def cycle_numbers(quotes: DataFrame, legs: DataFrame) -> DataFrame:
     """cycle, ts, resid, gain_fwd, gain_rev, spread (bps) of every bar that has all legs of a cycle. legs: cycle, a, b, d."""
     n = legs.groupBy("cycle").agg(F.count(F.lit(1)).alias("need"))
-    q = observations(quotes).join(F.broadcast(legs.join(n, "cycle")), ["a", "b"])
+    q = observations(quotes).join(legs.join(n, "cycle"), ["a", "b"])
     up = F.col("d") > 0
     bid, ask = F.log("bid") * BPS, -F.log("ask") * BPS
     g = q.groupBy("cycle", "ts").agg(
@@ -104,7 +106,7 @@ def verdict(multi_venue: Column, rated: Column, gain: Column, cost: Column, prep
 def evaluate(quotes: DataFrame, legs: DataFrame, preposition: bool = False) -> DataFrame:
     """cycle_numbers with tier, rated, multi_venue, cost, net_gain and verdict. quotes also have venue, spread_known and taker_bps (null: unknown)."""
     numbers = cycle_numbers(quotes, legs)
-    q = quotes.join(F.broadcast(legs), ["a", "b"]).groupBy("cycle", "ts").agg(
+    q = quotes.join(legs, ["a", "b"]).groupBy("cycle", "ts").agg(
         F.bool_and("spread_known").alias("rated"), (F.count_distinct("venue") > 1).alias("multi_venue"), F.when(F.count("taker_bps") == F.count(F.lit(1)), F.sum("taker_bps")).alias("cost")
     )
     out = numbers.join(q, ["cycle", "ts"]).withColumn("gain", F.greatest("gain_fwd", "gain_rev"))
@@ -114,13 +116,20 @@ def evaluate(quotes: DataFrame, legs: DataFrame, preposition: bool = False) -> D
     )
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """See to it that checkpoint() has a folder that all executors share; only a local session gets one of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="barwright-"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (its least node) of nodes (node) and edges (a, b), by least labels that hop along edges and labels."""
-    spark = nodes.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barwright-"))
+    checkpoints(nodes.sparkSession)
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
     label = nodes.select("node", F.col("node").alias("component")).checkpoint()
     while True:
@@ -142,11 +151,17 @@ def hub_and_arms(pairs: DataFrame) -> tuple[str, str]:
     return first["node"], second["node"]
 
 
-def negative_cycles(quotes: DataFrame, most: int = 10, eps: float = 1e-12) -> DataFrame:
+def negative_cycles(quotes: DataFrame, most: int = 10, eps: float = 1e-12, require_rated: bool = True) -> DataFrame:
     """ts, cycle (nodes), gain_bps of cycles with a gain, found one after another by Bellman-Ford on -ln(rate) with the costliest arc of each banned.
 
-    The arcs of one bar, some tens of them, are one group.
+    The arcs of one bar, some tens of them, are one group. require_rated: of quotes with the columns kind or spread_known,
+    those alone count that are QUOTED and whose spread is known.
     """
+    if require_rated:
+        if "kind" in quotes.columns:
+            quotes = quotes.where("kind = 'QUOTED'")
+        if "spread_known" in quotes.columns:
+            quotes = quotes.where("spread_known")
 
     def find(n: int, tail: np.ndarray, head: np.ndarray, cost: np.ndarray) -> list[int] | None:
         dist, by = np.zeros(n), np.full(n, -1)

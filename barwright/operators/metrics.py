@@ -23,7 +23,7 @@ def trade_metrics(trades: DataFrame, by: Sequence[str], start: float = 10_000.0)
         F.sum("commission").alias("commission"), F.avg(held).alias("avg_hours"), cut.alias("p5"), F.percentile("pnl", 0.95).alias("p95"),
         F.avg("pnl").alias("mean"), F.stddev_samp("pnl").alias("sd"), F.stddev_pop("pnl").alias("sd_pop"), F.skewness("pnl").alias("skew"), F.kurtosis("pnl").alias("kurt"),
     )
-    tail = trades.join(F.broadcast(g.select(*by, "p5")), list(by)).where("pnl <= p5").groupBy(*by).agg(F.avg("pnl").alias("tail"))
+    tail = trades.join(g.select(*by, "p5"), list(by)).where("pnl <= p5").groupBy(*by).agg(F.avg("pnl").alias("tail"))
     g = g.join(tail, list(by), "left")
     losses = F.col("n") - F.col("wins")
     avg_win = F.when(F.col("wins") > 0, F.try_divide("gain", "wins")).otherwise(0.0)
@@ -95,6 +95,14 @@ def curve_metrics(curve: DataFrame, by: Sequence[str], per_year: int = 252, star
     )
 
 
+def downsample(curve: DataFrame, by: Sequence[str], points: int) -> DataFrame:
+    """Every k-th point of each curve, k so that points or up to twice as many are left, and its last one."""
+    i, n = F.row_number().over(in_order(by)) - 1, F.count(F.lit(1)).over(Window.partitionBy(*by))
+    c = curve.withColumns({"__i": i, "__n": n})
+    step = F.greatest(F.floor(F.col("__n") / points), F.lit(1))
+    return c.where((F.col("__i") % step == 0) | (F.col("__i") == F.col("__n") - 1)).drop("__i", "__n")
+
+
 def exposure(curve: DataFrame, by: Sequence[str]) -> DataFrame:
     return curve.groupBy(*by).agg((F.count_if("in_market") / F.count(F.lit(1)) * 100).alias("exposure_pct"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,29 +10,32 @@ from pyspark.sql import functions as F
 from . import validate
 from .backtest import FREE, Costs, equity_curve, trades
 from .metrics import drawdowns, trade_metrics
-from .resample import resample, sampled_metrics, summary
+from .resample import returns, resample, summary
 
 LOSS_CEILING_PCT = 40.0
 #: Share of its metric that a strategy weighs by the tier it reached.
 TIER_MULTIPLIER = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
-def tiers(bars: DataFrame, by: Sequence[str], fast: Sequence[int], slow: Sequence[int], in_sample: int, out_sample: int, costs: Costs = FREE, start: float = 10_000.0, iterations: int = 200) -> DataFrame:
+def tiers(bars: DataFrame, by: Sequence[str], signals_of: Callable[[DataFrame, list[str]], DataFrame], params: DataFrame, axes: Sequence[str], in_sample: int, out_sample: int, costs: Costs = FREE, start: float = 10_000.0, iterations: int = 2_000) -> DataFrame:
     """by, param_id, score, tier: 0 fails the gates, 1 passes them, 2 stands on a plateau, 3 wins a walk-forward window of its
-    series (with a positive return over all windows), 4 has a 90 % bootstrap interval over 0 and loses in under 40 % of samples."""
+    series (with a positive return over all windows), 4 has a 90 % bootstrap interval over 0 and loses in under 40 % of samples.
+
+    signals_of(bars, key) gives the signals of all parameters, with param_id; params, of grid(), has axes and their places.
+    """
     by = list(by)
     key = [*by, "param_id"]
-    s = validate.sma_grid(bars, by, fast, slow)
-    scored = validate.neighbour_gap(validate.sensitivity(s, validate.grid(bars.sparkSession, fast=fast, slow=slow), by, costs, start), by, ["fast", "slow"])
+    s = signals_of(bars, by)
+    scored = validate.neighbour_gap(validate.sensitivity(s, params, by, costs, start), by, axes)
     t = trades(s, key, costs)
     m = trade_metrics(t, key, start).select(*key, "total_trades", "total_return_pct", "profit_factor")
     dd = drawdowns(equity_curve(s, key, costs, start=start), key).groupBy(*key).agg(F.max("dd").alias("max_drawdown_pct"))
     one = validate.gates(m.join(dd, key)).where("passed").select(*key)
     two = validate.plateau(scored, by).select(*key).join(one, key, "left_semi")
-    wf = validate.walk_forward(bars, by, fast, slow, in_sample, out_sample, costs=costs, start=start, allowed=two)
+    wf = validate.walk_forward(bars, by, signals_of, params, in_sample, out_sample, costs=costs, start=start, allowed=two)
     good = wf.groupBy(*by).agg(F.max_by("balance", "window").alias("b")).where(F.col("b") > start).select(*by)
     three = wf.join(good, by, "left_semi").select(*key).distinct()
-    boot = summary(sampled_metrics(resample(t.join(three, key, "left_semi"), key, ["entry_ts"], iterations), key, start), key, "total_return_pct")
+    boot = summary(returns(resample(t.join(three, key, "left_semi"), key, ["entry_ts"], iterations), key, start), key, "total_return_pct")
     four = boot.where((F.col("low") > 0) & (F.col("below_zero") < LOSS_CEILING_PCT)).select(*key)
     out = scored.where("score IS NOT NULL").select(*key, "score")
     for n, part in enumerate((one, two, three, four), 1):
@@ -40,6 +43,38 @@ def tiers(bars: DataFrame, by: Sequence[str], fast: Sequence[int], slow: Sequenc
     return out.select(*key, "score", sum((F.coalesce(F.col(f"__{n}"), F.lit(0)) for n in (2, 3, 4)), F.coalesce(F.col("__1"), F.lit(0))).alias("tier"))
 
 
+#: Gates of a replay.
+LEAST_TRADES, MOST_DRAWDOWN_PCT = 20, 20.0
+
+
+def replay(signals: DataFrame, key: Sequence[str], costs: Costs = FREE, start: float = 10_000.0, iterations: int = 2_000, seed: int = 42) -> DataFrame:
+    """key, trades, return_pct, drawdown_pct, low, prob_loss, verdict, reason of frozen candidates on windows they weren't chosen on.
+
+    The first gate that fails is the reason: trades, return, drawdown, bootstrap.
+    """
+    key = list(key)
+    t = trades(signals, key, costs)
+    m = trade_metrics(t, key, start).select(*key, F.col("total_trades").alias("trades"), F.col("total_return_pct").alias("return_pct"))
+    dd = drawdowns(equity_curve(signals, key, costs, start=start), key).groupBy(*key).agg(F.max("dd").alias("drawdown_pct"))
+    x = dd.join(m, key, "left").withColumns({"trades": F.coalesce("trades", F.lit(0)), "return_pct": F.coalesce("return_pct", F.lit(0.0))})
+    gate = F.when(F.col("trades") < LEAST_TRADES, "trades").when(F.col("return_pct") <= 0, "return").when(F.col("drawdown_pct") >= MOST_DRAWDOWN_PCT, "drawdown")
+    x = x.withColumn("__gate", gate)
+    open_ = t.join(x.where("__gate IS NULL").select(*key), key, "left_semi")
+    boot = summary(returns(resample(open_, key, ["entry_ts"], iterations, seed), key, start), key, "total_return_pct").select(*key, "low", F.col("below_zero").alias("prob_loss"))
+    out = x.join(boot, key, "left")
+    passed = F.col("__gate").isNull() & F.coalesce((F.col("low") > 0) & (F.col("prob_loss") < LOSS_CEILING_PCT), F.lit(False))
+    return out.select(*key, "trades", "return_pct", "drawdown_pct", "low", "prob_loss", F.when(passed, "PASS").otherwise("FAIL").alias("verdict"), F.when(passed, "").otherwise(F.coalesce("__gate", F.lit("bootstrap"))).alias("reason"))
+
+
+def sweep(bars: DataFrame, by: Sequence[str], strategies: dict[str, tuple], in_sample: int, out_sample: int, costs: Costs = FREE, start: float = 10_000.0, iterations: int = 2_000) -> DataFrame:
+    """strategy, by, param_id, score, tier, weight of every combination of every strategy: name to (signals_of, params, axes), as tiers takes them."""
+    out = None
+    for name, (signals_of, params, axes) in strategies.items():
+        t = weigh(tiers(bars, by, signals_of, params, axes, in_sample, out_sample, costs, start, iterations)).withColumn("strategy", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out.select("strategy", *by, "param_id", "score", "tier", "weight")
+
+
 def weigh(reached: DataFrame, metric: str = "score") -> DataFrame:
     """reached (with tier) and weight: the metric, 0 at least, times its tier's multiplier."""
     return reached.withColumn("weight", F.greatest(F.col(metric), F.lit(0.0)) * F.get(F.array(*map(F.lit, TIER_MULTIPLIER)), F.col("tier")))

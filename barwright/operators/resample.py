@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.numbers import ratio
+from . import metrics
+
 
 def draw(seed: int, *parts: Column) -> Column:
     """A number of 48 bits that follows from the seed and the parts."""
@@ -40,6 +43,11 @@ def shuffle(rows: DataFrame, by: Sequence[str], order: Sequence[str], iterations
     return rows.withColumn("k", k)
 
 
+def returns(samples: DataFrame, by: Sequence[str], start: float = 10_000.0) -> DataFrame:
+    """by, iter, total_return_pct of samples with pnl: all that an interval of returns needs, without an order of the draws."""
+    return samples.groupBy(*by, "iter").agg((F.sum("pnl") / start * 100).alias("total_return_pct"))
+
+
 def sampled_metrics(samples: DataFrame, by: Sequence[str], start: float = 10_000.0) -> DataFrame:
     """by, iter, total_return_pct, win_rate_pct, profit_factor, max_drawdown_pct (over the curve that begins with start) of samples with pnl."""
     w = Window.partitionBy(*by, "iter").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
@@ -53,6 +61,47 @@ def sampled_metrics(samples: DataFrame, by: Sequence[str], start: float = 10_000
     )
 
 
+#: The metrics that a bootstrap follows.
+TRACKED = "total_return_pct max_drawdown_pct win_rate_pct profit_factor ending_balance trade_expectancy trade_expectancy_pct payoff_ratio recovery_factor ulcer_index max_drawdown_duration avg_drawdown_duration var_95 cvar_95 tail_ratio skewness kurtosis kelly_fraction cost_drag_pct avg_trade_duration_hours max_consecutive_wins max_consecutive_losses".split()
+#: Iterations of a bootstrap are no more.
+MAX_ITERATIONS = 50_000
+
+
+def tracked_metrics(samples: DataFrame, by: Sequence[str], start: float = 10_000.0) -> DataFrame:
+    """by, iter and all TRACKED metrics of samples (k, pnl, commission, entry_ts, exit_ts): the equity curve has a point a trade, after one of the start."""
+    key = [*by, "iter"]
+    w = Window.partitionBy(*key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    after = samples.select(*key, (F.col("k") + 1).alias("ts"), (F.lit(start) + F.sum("pnl").over(w)).alias("equity"))
+    curve = after.unionByName(samples.select(*key).distinct().select(*key, F.lit(0).cast("long").alias("ts"), F.lit(start).alias("equity")))
+    t = metrics.trade_metrics(samples, key, start).withColumnsRenamed({"expectancy": "trade_expectancy", "expectancy_pct": "trade_expectancy_pct", "avg_hours": "avg_trade_duration_hours"})
+    c = metrics.drawdowns(curve, key).groupBy(*key).agg(F.max("dd").alias("max_drawdown_pct"), F.sqrt(F.avg(F.col("dd") * F.col("dd"))).alias("ulcer_index"), F.max_by("equity", "ts").alias("ending_balance"))
+    d = metrics.drawdown_durations(curve, key).select(*key, F.col("max_duration").alias("max_drawdown_duration"), F.col("avg_duration").alias("avg_drawdown_duration"))
+    runs = metrics.streaks(samples, key, ["k"]).withColumnsRenamed({"max_wins": "max_consecutive_wins", "max_losses": "max_consecutive_losses"})
+    out = t.join(c, key).join(d, key).join(runs, key)
+    return out.withColumn("recovery_factor", ratio("total_return_pct", "max_drawdown_pct")).select(*key, *TRACKED)
+
+
+def bootstrap(trades: DataFrame, by: Sequence[str], order: Sequence[str], method: str = "resample", iterations: int = 5_000, seed: int = 42, start: float = 10_000.0, size: int | None = None) -> DataFrame:
+    """by, metric, observed, rank (percent of iterations under the observed value), low, high, median, mean, sd, below_zero of every TRACKED metric.
+
+    Groups of fewer than two trades have no row. rank is null where the observed metric isn't defined.
+    """
+    if not 0 < iterations <= MAX_ITERATIONS:
+        raise ValueError(f"iterations must be 1..{MAX_ITERATIONS}")
+    if method not in ("resample", "shuffle"):
+        raise ValueError("method must be resample or shuffle")
+    enough = trades.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where("__n >= 2").drop("__n")
+    rows = trades.join(enough, list(by), "left_semi")
+    drawn = resample(rows, by, order, iterations, seed, size) if method == "resample" else shuffle(rows, by, order, iterations, seed)
+    own = tracked_metrics(numbered(rows, by, order).withColumnRenamed("ix", "k").withColumn("iter", F.lit(-1)), by, start).drop("iter")
+    long = lambda df, *keep: df.select(*by, *keep, *[F.col(c).cast("double").alias(c) for c in TRACKED]).unpivot([*by, *keep], TRACKED, "metric", "value")
+    observed = long(own).withColumnRenamed("value", "observed")
+    draws = long(tracked_metrics(drawn, by, start), "iter").join(observed, [*by, "metric"])
+    key = [*by, "metric"]
+    rank = draws.groupBy(*key).agg(F.when(F.max("observed").isNotNull(), F.count_if(F.col("value") < F.col("observed")) * 100.0 / F.nullif(F.count("value"), F.lit(0))).alias("rank"))
+    return observed.join(rank, key).join(summary(draws, key, "value"), key)
+
+
 def summary(samples: DataFrame, by: Sequence[str], metric: str, level: float = 0.9) -> DataFrame:
     """by, low, high (percentile interval), median, mean, sd (population), below_zero (percent under 0) of a metric over iterations; nulls don't count."""
     m = F.col(metric)

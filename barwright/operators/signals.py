@@ -16,6 +16,8 @@ def _signal(buy: Column, sell: Column, go_short: bool = True) -> Column:
 
 def sma_cross(bars: DataFrame, fast: int, slow: int, by: Sequence[str], go_short: bool = True) -> DataFrame:
     """The fast mean rises over the slow one, or falls to it or below; equal counts as not above."""
+    if fast >= slow:
+        raise ValueError("fast must be less than slow")
     out = sma(sma(bars, fast, by, out="sma_fast"), slow, by, out="sma_slow")
     out = out.withColumn("__above", F.when(F.col("sma_slow").isNotNull(), F.col("sma_fast") > F.col("sma_slow")))
     buy, sell = crossed(F.col("__above"), in_order(by))

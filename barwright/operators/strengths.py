@@ -88,6 +88,57 @@ def fit(quotes: DataFrame, scheme: str = "unweighted", by: tuple[str, ...] = ("t
     return _bars(quotes, by).mapInPandas(run, f"{_types(quotes, by)}, kind string, a string, b string, value double, hat double, loo double, weight double")
 
 
+def loo_exact(quotes: DataFrame, scheme: str = "unweighted") -> DataFrame:
+    """ts, a, b, exact: the residual of each pair under a fit of the others, made anew for each; null if they fall apart."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for row, names, a, b, y, s in _each(df):
+                w = weights(scheme, s)
+                for i in range(len(y)):
+                    keep = np.arange(len(y)) != i
+                    try:
+                        c, _, _ = solve(len(names), a[keep], b[keep], y[keep], w[keep])
+                        rows.append((row.ts, names[a[i]], names[b[i]], float(y[i] - c[a[i]] + c[b[i]])))
+                    except np.linalg.LinAlgError:
+                        rows.append((row.ts, names[a[i]], names[b[i]], None))
+            yield pd.DataFrame(rows, columns=["ts", "a", "b", "exact"])
+
+    return _bars(quotes, ("ts",)).mapInPandas(run, "ts timestamp_ntz, a string, b string, exact double")
+
+
+def fast_against_exact(quotes: DataFrame, scheme: str = "unweighted", tolerance: float = 1e-9) -> DataFrame:
+    """compared, max_diff, mismatches (null in one alone) and whether max_diff, by the size of the residual, is within tolerance."""
+    fast = fit(quotes, scheme).where("kind = 'pair'").select("ts", "a", "b", "loo")
+    both = fast.join(loo_exact(quotes, scheme), ["ts", "a", "b"])
+    off = F.abs(F.col("loo") - F.col("exact")) / F.greatest(F.abs("exact"), F.lit(1.0))
+    return both.agg(F.count(off).alias("compared"), F.max(off).alias("max_diff"), F.count_if(F.col("loo").isNull() != F.col("exact").isNull()).alias("mismatches")).withColumn("within", F.col("max_diff") <= tolerance)
+
+
+def scheme_differences(quotes: DataFrame, schemes: tuple[str, ...] = SCHEMES[1:]) -> DataFrame:
+    """ts, scheme, node, diff: how far a weighted strength stands from the unweighted one, in bps."""
+    base = fit(quotes).where("kind = 'node'").select("ts", F.col("a").alias("node"), F.col("value").alias("c"))
+    out = None
+    for s in schemes:
+        own = fit(quotes, s).where("kind = 'node'").select("ts", F.col("a").alias("node"), "value")
+        d = base.join(own, ["ts", "node"]).select("ts", F.lit(s).alias("scheme"), "node", F.abs(F.col("value") - F.col("c")).alias("diff"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def bar_metrics(quotes: DataFrame, pairs: int, fault: float, schemes: tuple[str, ...] = SCHEMES) -> DataFrame:
+    """ts, scheme, max_loo, max_diff (to the unweighted strengths), dispersion (widest spread over the narrowest), mean_spread, full (has so many pairs), fault: max_loo of the unweighted fit over a limit."""
+    out = None
+    for s in schemes:
+        m = fit(quotes, s).where("kind = 'pair'").groupBy("ts").agg(F.max(F.abs("loo")).alias("max_loo")).select("ts", F.lit(s).alias("scheme"), "max_loo")
+        out = m if out is None else out.unionByName(m)
+    d = scheme_differences(quotes, tuple(s for s in schemes if s != "unweighted")).groupBy("ts", "scheme").agg(F.max("diff").alias("max_diff"))
+    o = observations(quotes).groupBy("ts").agg((F.max("s") / F.min("s")).alias("dispersion"), F.avg("s").alias("mean_spread"), (F.count(F.lit(1)) == pairs).alias("full"))
+    base = out.where("scheme = 'unweighted'").select("ts", F.coalesce(F.col("max_loo") > fault, F.lit(False)).alias("fault"))
+    return out.join(d, ["ts", "scheme"], "left").join(o, "ts").join(base, "ts")
+
+
 def residual_map(nodes: list[str]) -> list[tuple[str, str, str, str, float]]:
     """(a, b, from a, from b, coefficient): residual and pairs of the complete graph, where the unweighted fit is one constant linear map."""
     pairs = [(x, y) for i, x in enumerate(nodes) for y in nodes[i + 1 :]]
@@ -157,10 +208,13 @@ def huber(quotes: DataFrame, k: float = 1.345, scheme: str = "unweighted", scale
                     if scale == "spread":
                         sigma = noise_ratio * s
                     else:
-                        pool = np.abs(e[h < 1 - 1e-6])
+                        pool = np.abs(e[1 - h >= BRIDGE_TOL])
                         sigma = np.full(len(y), max(1.4826 * float(np.median(pool)), MAD_FLOOR_BPS) if len(pool) else MAD_FLOOR_BPS)
                     psi = np.minimum(1.0, k * sigma / np.maximum(np.abs(e), 1e-300))
-                    new, e, h = solve(len(names), a, b, y, w * psi)
+                    try:
+                        new, e, h = solve(len(names), a, b, y, w * psi)
+                    except np.linalg.LinAlgError:  # weights too far apart to go on: what there is hasn't converged
+                        break
                     done = bool(np.abs(new - c).max() < HUBER_TOL)
                     c = new
                 rows += [(row.ts, "node", names[i], None, float(c[i]), None, it, done) for i in range(len(names))]

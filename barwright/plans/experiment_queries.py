@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timepolicy import dst_cell
-from ..operators import experiments, graph, orchestrate, runlevel, strengths
+from ..operators import experiments, graph, orchestrate, runlevel, strengths, validate
 from ..sources.views import BARS, QUOTES, bars, quotes
 from .candle_queries import COSTS, gaps, rounds
 
@@ -162,5 +162,6 @@ def top_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def validation_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    t = orchestrate.tiers(bars(spark, sf), ["instrument"], (3, 5, 8), (10, 20, 30), 60, 30, COSTS)
+    fast, slow = (3, 5, 8), (10, 20, 30)
+    t = orchestrate.tiers(bars(spark, sf), ["instrument"], lambda b, key: validate.sma_grid(b, key, fast, slow), validate.grid(spark, fast=fast, slow=slow), ["fast", "slow"], 60, 30, COSTS)
     return rounds(orchestrate.weigh(t), [], 4)

@@ -134,6 +134,48 @@ def strengths_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return rounds(strengths.fit(quotes(spark, sf), "inv_spread"), [])
 
 
+#: Strengths by weights 1 / spread, by 200 rounds in which every node takes the mean of what its pairs say.
+_INV = f"""{_FULL}, sg AS (SELECT ts, a AS p, b AS q, y AS v, 1 / s AS w FROM full_ UNION ALL SELECT ts, b, a, -y, 1 / s FROM full_),
+ it AS (SELECT 0 AS k, ts, node, 0.0::DOUBLE AS x FROM c UNION ALL SELECT any_value(it.k) + 1, sg.ts, sg.p, sum(w * (v + it.x)) / sum(w) FROM it JOIN sg ON it.ts = sg.ts AND it.node = sg.q WHERE it.k < 200 GROUP BY sg.ts, sg.p),
+ ci AS (SELECT ts, node, x - avg(x) OVER (PARTITION BY ts) AS c FROM it WHERE k = 200)"""
+
+
+@query(f"WITH RECURSIVE {_INV} SELECT ts, node, round(c, 3) AS c FROM ci")
+def strengths_inv_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted strengths of the bars with all pairs."""
+    f = strengths.fit(_full(spark, sf), "inv_spread").where("kind = 'node'")
+    return f.select("ts", F.col("a").alias("node"), r("value", 3).alias("c"))
+
+
+@query(f"WITH RECURSIVE {_INV}, d AS (SELECT node, abs(ci.c - c.c) AS diff FROM ci JOIN c USING (ts, node)) SELECT 'inv_spread' AS scheme, node, count(*) AS n, round(quantile_cont(diff, 0.5), 3) AS p50, round(quantile_cont(diff, 0.99), 3) AS p99, round(max(diff), 3) AS most FROM d GROUP BY node")
+def scheme_differences(spark: SparkSession, sf: str) -> DataFrame:
+    d = strengths.scheme_differences(_full(spark, sf), ("inv_spread",))
+    return rounds(d.groupBy("scheme", "node").agg(F.count(F.lit(1)).alias("n"), F.percentile("diff", 0.5).alias("p50"), F.percentile("diff", 0.99).alias("p99"), F.max("diff").alias("most")), [], 3)
+
+
+@query(f"""WITH RECURSIVE {_INV}, l AS (SELECT ts, max(abs(loo)) AS max_loo, max(s) / min(s) AS dispersion FROM loo GROUP BY 1), d AS (SELECT ts, max(abs(ci.c - c.c)) AS max_diff FROM ci JOIN c USING (ts, node) GROUP BY 1)
+ SELECT month(ts)::INT AS month, count(*) AS n, count(*) FILTER (max_loo > 300) AS n_fault, round(quantile_cont(max_diff, 0.5) FILTER (max_loo <= 300), 3) AS max_diff_p50, round(quantile_cont(dispersion, 0.5), 6) AS dispersion_p50 FROM l JOIN d USING (ts) GROUP BY 1""")
+def scheme_dependence(spark: SparkSession, sf: str) -> DataFrame:
+    """By month (bars are months here, as hours are elsewhere): how far weights move the strengths of bars without a fault."""
+    m = strengths.bar_metrics(_full(spark, sf), PAIRS, 300.0, ("unweighted", "inv_spread")).where("scheme = 'inv_spread'")
+    g = m.groupBy(F.month("ts").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.count_if("fault").alias("n_fault"), F.percentile(F.when(~F.col("fault"), F.col("max_diff")), 0.5).alias("max_diff_p50"), F.percentile("dispersion", 0.5).alias("dispersion_p50"))
+    return g.select("month", "n", "n_fault", r("max_diff_p50", 3).alias("max_diff_p50"), r("dispersion_p50").alias("dispersion_p50"))
+
+
+@query(f"WITH {_OBS}, g AS (SELECT ts, count(*) AS n FROM obs GROUP BY 1), k AS (SELECT CASE WHEN n = {PAIRS} THEN 'B_full' ELSE 'D_degraded' END AS grp FROM g), e AS (SELECT grp FROM k UNION ALL SELECT 'D_all' FROM k) SELECT grp, count(*) AS bars FROM e GROUP BY 1")
+def strength_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars with all pairs, bars without some, and both."""
+    g = graph.observations(quotes(spark, sf)).groupBy("ts").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("n") == PAIRS, "B_full").otherwise("D_degraded")
+    return g.select(F.explode(F.array(own, F.lit("D_all"))).alias("grp")).groupBy("grp").agg(F.count(F.lit(1)).alias("bars"))
+
+
+@query(f"WITH {_FULL} SELECT count(*) AS compared, 0::BIGINT AS mismatches, true AS within FROM loo")
+def fast_against_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Leave-one-out residuals from hat values against fits made anew, on the bars with all pairs."""
+    return strengths.fast_against_exact(_full(spark, sf)).select("compared", "mismatches", "within")
+
+
 @query(f"WITH {_FULL} SELECT ts, a, b, round(resid, 6) AS resid, round(loo, 6) AS loo FROM loo")
 def loo_residuals(spark: SparkSession, sf: str) -> DataFrame:
     return rounds(_loo(spark, sf).select("ts", "a", "b", "resid", "loo"), [])

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded as r
-from ..operators import audit, backtest, correlate, indicators, metrics, resample, validate
+from ..operators import audit, backtest, correlate, indicators, metrics, orchestrate, resample, signals, validate
 from ..sources import candles
 from ..sources.views import BARS, CLOSING, TRADES, bars, trades
-from .candle_queries import COSTS, rounds, trades_sql
+from .candle_queries import _RN, COSTS, _smooth_sql, rounds, trades_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -161,6 +161,10 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return validate.sensitivity(validate.sma_grid(bars(spark, sf), BY, FAST, SLOW), params, BY, COSTS)
 
 
+def _sma(b: DataFrame, key: list[str]) -> DataFrame:
+    return validate.sma_grid(b, key, FAST, SLOW)
+
+
 @query(f"WITH {_GRID} SELECT instrument, param_id, fast, slow, trades, round(score, 4) AS score FROM sens")
 def grid_sensitivity_sma(spark: SparkSession, sf: str) -> DataFrame:
     return rounds(_scored(spark, sf).select("instrument", "param_id", "fast", "slow", "trades", "score"), [], 4)
@@ -193,6 +197,43 @@ def best_points(spark: SparkSession, sf: str) -> DataFrame:
     return rounds(validate.best(_scored(spark, sf), BY, 3).select("instrument", "param_id", "rank", "score"), [], 4)
 
 
+_LENGTHS, _WIDTHS = (10, 20), (1.0, 1.5, 2.0)
+_BANDS = f"""{BARS}, prm AS (SELECT (i * {len(_WIDTHS)} + j)::BIGINT AS param_id, {list(_LENGTHS)}[i + 1] AS n, {list(_WIDTHS)}[j + 1]::DOUBLE AS width FROM range({len(_LENGTHS)}) f(i), range({len(_WIDTHS)}) s(j)),
+ mn AS (SELECT instrument, ts, bid_close, ask_close, mid, row_number() OVER (PARTITION BY instrument ORDER BY ts) AS rn, {', '.join(f'avg(mid) OVER (PARTITION BY instrument ORDER BY ts ROWS {p - 1} PRECEDING) AS m{p}, stddev_pop(mid) OVER (PARTITION BY instrument ORDER BY ts ROWS {p - 1} PRECEDING) AS s{p}' for p in _LENGTHS)} FROM bars),
+ bd AS (SELECT instrument, param_id, ts, bid_close, ask_close, mid, width, CASE WHEN rn >= n THEN CASE n {' '.join(f'WHEN {p} THEN m{p}' for p in _LENGTHS)} END END AS m, CASE n {' '.join(f'WHEN {p} THEN s{p}' for p in _LENGTHS)} END AS sd FROM mn, prm),
+ zn AS (SELECT *, CASE WHEN m IS NOT NULL THEN CASE WHEN mid < m - width * sd THEN 'below' WHEN mid > m + width * sd THEN 'above' ELSE 'inside' END END AS zone FROM bd),
+ sig AS (SELECT *, CASE WHEN lag(zone) OVER w = 'below' AND zone <> 'below' THEN 'BUY' WHEN lag(zone) OVER w = 'above' AND zone <> 'above' THEN 'SELL' END AS signal FROM zn WINDOW w AS (PARTITION BY instrument, param_id ORDER BY ts)),
+ {trades_sql('instrument, param_id')}, sc AS (SELECT instrument, param_id, count(*) AS trades, sum(pnl) / 100 AS score FROM tr GROUP BY ALL)"""
+
+
+@query(f"WITH {_BANDS} SELECT i.instrument, prm.param_id, n, width, coalesce(trades, 0) AS trades, round(coalesce(score, 0), 4) AS score FROM (SELECT DISTINCT instrument FROM bars) i CROSS JOIN prm LEFT JOIN sc ON sc.instrument = i.instrument AND sc.param_id = prm.param_id")
+def grid_sensitivity_bollinger(spark: SparkSession, sf: str) -> DataFrame:
+    """A grid of a strategy given as a function: every combination of its parameters."""
+    s = validate.strategy_grid(bars(spark, sf), BY, signals.bollinger_reversal, n=_LENGTHS, width=_WIDTHS)
+    out = validate.sensitivity(s, validate.grid(spark, n=_LENGTHS, width=_WIDTHS), BY, COSTS)
+    return rounds(out.select("instrument", "param_id", "n", "width", "trades", "score"), ["width"], 4)
+
+
+def _rsi_of(n: int) -> str:
+    return f"""{_smooth_sql(f'u{n}', 'ups', n, f'(1.0::DOUBLE / {n})')}, {_smooth_sql(f'd{n}', 'downs', n, f'(1.0::DOUBLE / {n})')},
+ r{n} AS (SELECT instrument, rn + 1 AS rn, CASE WHEN d.s = 0 THEN 100 ELSE 100 - 100 / (1 + u.s / d.s) END AS rsi FROM u{n} u JOIN d{n} d USING (instrument, rn))"""
+
+
+_RSI_N, _RSI_LOW = (7, 14), (40.0, 45.0)
+_RSI_GRID = f"""{BARS}, {_RN}, chg AS (SELECT instrument, rn - 1 AS rn, mid - lag(mid) OVER (PARTITION BY instrument ORDER BY rn) AS d FROM num), ups AS (SELECT instrument, rn, greatest(d, 0) AS x FROM chg WHERE rn > 0), downs AS (SELECT instrument, rn, greatest(-d, 0) AS x FROM chg WHERE rn > 0),
+ {', '.join(map(_rsi_of, _RSI_N))}, prm AS (SELECT (i * {len(_RSI_LOW)} + j)::BIGINT AS param_id, {list(_RSI_N)}[i + 1] AS n, {list(_RSI_LOW)}[j + 1]::DOUBLE AS low FROM range({len(_RSI_N)}) f(i), range({len(_RSI_LOW)}) s(j)),
+ rsis AS ({' UNION ALL '.join(f'SELECT b.instrument, b.ts, bid_close, ask_close, {n} AS n, rsi FROM bars b JOIN num USING (instrument, ts) LEFT JOIN r{n} USING (instrument, rn)' for n in _RSI_N)}),
+ sig AS (SELECT instrument, param_id, ts, bid_close, ask_close, CASE WHEN lag(rsi) OVER w <= low AND rsi > low THEN 'BUY' WHEN lag(rsi) OVER w >= 70 AND rsi < 70 THEN 'SELL' END AS signal FROM rsis JOIN prm USING (n) WINDOW w AS (PARTITION BY instrument, param_id ORDER BY ts)),
+ {trades_sql('instrument, param_id')}, sc AS (SELECT instrument, param_id, count(*) AS trades, sum(pnl) / 100 AS score FROM tr GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_RSI_GRID} SELECT i.instrument, prm.param_id, n, low, coalesce(trades, 0) AS trades, round(coalesce(score, 0), 4) AS score FROM (SELECT DISTINCT instrument FROM bars) i CROSS JOIN prm LEFT JOIN sc ON sc.instrument = i.instrument AND sc.param_id = prm.param_id")
+def grid_sensitivity_rsi(spark: SparkSession, sf: str) -> DataFrame:
+    s = validate.strategy_grid(bars(spark, sf), BY, signals.rsi_reversal, n=_RSI_N, low=_RSI_LOW)
+    out = validate.sensitivity(s, validate.grid(spark, n=_RSI_N, low=_RSI_LOW), BY, COSTS)
+    return rounds(out.select("instrument", "param_id", "n", "low", "trades", "score"), ["low"], 4)
+
+
 _WF_IN, _WF_OUT = 60, 30
 
 
@@ -209,17 +250,37 @@ _WF_IN, _WF_OUT = 60, 30
  f AS (SELECT p.instrument, p.win, p.param_id, fast, slow, score, coalesce(o, 0) AS o FROM pick p JOIN prm USING (param_id) LEFT JOIN oo ON oo.instrument = p.instrument AND oo.win = p.win AND oo.param_id = p.param_id WHERE rk = 1)
  SELECT instrument, win AS "window", param_id, fast, slow, round(score, 4) AS score, round(o, 4) AS oos_return_pct, round(10000 * exp(sum(ln(greatest(1 + o / 100, 1e-12))) OVER (PARTITION BY instrument ORDER BY win)), 2) AS balance FROM f""")
 def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    w = validate.walk_forward(bars(spark, sf), BY, FAST, SLOW, _WF_IN, _WF_OUT, costs=COSTS)
+    w = validate.walk_forward(bars(spark, sf), BY, _sma, validate.grid(spark, fast=FAST, slow=SLOW), _WF_IN, _WF_OUT, costs=COSTS)
     return rounds(w.withColumn("balance", r("balance", 2)), [], 4)
 
 
+@query(f"""WITH {BARS}, ib AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY instrument) AS n FROM bars),
+ wb AS (SELECT ib.*, k AS win, i - k * {_WF_OUT} >= {_WF_IN} AS oos FROM ib JOIN range(1000000) r(k) ON i >= k * {_WF_OUT} AND i < k * {_WF_OUT} + {_WF_IN + _WF_OUT} AND k * {_WF_OUT} + {_WF_IN + _WF_OUT} <= ib.n),
+ prm AS (SELECT j::BIGINT AS param_id, 10 AS n, {list(_WIDTHS)}[j + 1]::DOUBLE AS width FROM range({len(_WIDTHS)}) s(j)),
+ mn AS (SELECT instrument, win, ts, oos, bid_close, ask_close, mid, row_number() OVER w AS rn, avg(mid) OVER (w ROWS 9 PRECEDING) AS m, stddev_pop(mid) OVER (w ROWS 9 PRECEDING) AS sd FROM wb WINDOW w AS (PARTITION BY instrument, win ORDER BY ts)),
+ zn AS (SELECT *, CASE WHEN rn >= 10 THEN CASE WHEN mid < m - width * sd THEN 'below' WHEN mid > m + width * sd THEN 'above' ELSE 'inside' END END AS zone FROM mn, prm),
+ sig AS (SELECT *, CASE WHEN lag(zone) OVER w = 'below' AND zone <> 'below' THEN 'BUY' WHEN lag(zone) OVER w = 'above' AND zone <> 'above' THEN 'SELL' END AS signal FROM zn WINDOW w AS (PARTITION BY instrument, win, param_id ORDER BY ts)),
+ {trades_sql('instrument, win, param_id')}, bg AS (SELECT instrument, win, min(ts) AS b FROM wb WHERE oos GROUP BY ALL),
+ isc AS (SELECT instrument, win, param_id, (arg_max(equity, ts) / 10000 - 1) * 100 AS score FROM eq JOIN bg USING (instrument, win) WHERE ts < b GROUP BY ALL),
+ pick AS (SELECT *, row_number() OVER (PARTITION BY instrument, win ORDER BY round(score, 9) DESC, param_id) AS rk FROM isc),
+ oo AS (SELECT instrument, win, param_id, sum(pnl) / 100 AS o FROM tr JOIN bg USING (instrument, win) WHERE exit_ts >= b GROUP BY ALL),
+ f AS (SELECT p.instrument, p.win, p.param_id, n, width, score, coalesce(o, 0) AS o FROM pick p JOIN prm USING (param_id) LEFT JOIN oo ON oo.instrument = p.instrument AND oo.win = p.win AND oo.param_id = p.param_id WHERE rk = 1)
+ SELECT instrument, win AS "window", param_id, n, width, round(score, 4) AS score, round(o, 4) AS oos_return_pct, round(10000 * exp(sum(ln(greatest(1 + o / 100, 1e-12))) OVER (PARTITION BY instrument ORDER BY win)), 2) AS balance FROM f""")
+def walk_forward_bollinger(spark: SparkSession, sf: str) -> DataFrame:
+    def of(b: DataFrame, key: list[str]) -> DataFrame:
+        return validate.strategy_grid(b, key, signals.bollinger_reversal, n=(10,), width=_WIDTHS)
+
+    w = validate.walk_forward(bars(spark, sf), BY, of, validate.grid(spark, n=(10,), width=_WIDTHS), _WF_IN, _WF_OUT, costs=COSTS)
+    return rounds(w.withColumn("balance", r("balance", 2)), ["width"], 4)
+
+
+#: Orders of shuffle_drawdown and samples of bootstrap_ci and bootstrap_metrics; the operators' default is 5,000.
+_SHUFFLES = 200
 _DAILY = f"{TRADES}, dt AS (SELECT grp, l_shipdate AS ts, sum(pnl) / 1000 AS pnl FROM trades GROUP BY ALL)"
 _DRAW = "('0x' || substr(md5({}), 1, 12))::BIGINT"
 _BOOT = f"""{_DAILY}, ix AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ts) - 1 AS ix, count(*) OVER (PARTITION BY grp) AS n FROM dt), g AS (SELECT grp, max(n) AS n FROM ix GROUP BY 1),
- d AS (SELECT grp, iter, k, {_DRAW.format("concat_ws('|', '42', iter::VARCHAR, k::VARCHAR)")} % n AS ix FROM g, range(20) i(iter), range(100) r(k)),
- sm AS (SELECT d.grp, iter, k, pnl FROM d JOIN ix ON ix.grp = d.grp AND ix.ix = d.ix), cv AS (SELECT *, 10000 + sum(pnl) OVER (PARTITION BY grp, iter ORDER BY k ROWS UNBOUNDED PRECEDING) AS e FROM sm),
- pk AS (SELECT *, greatest(10000, max(e) OVER (PARTITION BY grp, iter ORDER BY k ROWS UNBOUNDED PRECEDING)) AS p FROM cv),
- bm AS (SELECT grp, iter, sum(pnl) / 100 AS total_return_pct, max((p - e) / p * 100) AS max_drawdown_pct FROM pk GROUP BY ALL)"""
+ d AS (SELECT grp, iter, k, {_DRAW.format("concat_ws('|', '42', iter::VARCHAR, k::VARCHAR)")} % n AS ix FROM g, range({_SHUFFLES}) i(iter), range(100000) r(k) WHERE k < n),
+ bm AS (SELECT d.grp, iter, sum(pnl) / 100 AS total_return_pct FROM d JOIN ix ON ix.grp = d.grp AND ix.ix = d.ix GROUP BY ALL)"""
 
 
 def _daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,25 +290,33 @@ def _daily(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_BOOT} SELECT grp, round(quantile_cont(total_return_pct, 0.05), 4) AS low, round(quantile_cont(total_return_pct, 0.95), 4) AS high, round(quantile_cont(total_return_pct, 0.5), 4) AS median, round(avg(total_return_pct), 4) AS mean,
  round(stddev_pop(total_return_pct), 4) AS sd, round(count(*) FILTER (total_return_pct < 0) * 100.0::DOUBLE / count(*), 4) AS below_zero FROM bm GROUP BY 1""")
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    s = resample.resample(_daily(spark, sf), ["grp"], ["ts"], 20, 42, 100)
-    return rounds(resample.summary(resample.sampled_metrics(s, ["grp"]), ["grp"], "total_return_pct"), [], 4)
+    """Returns of samples of as many daily results as there are."""
+    s = resample.resample(_daily(spark, sf), ["grp"], ["ts"], _SHUFFLES)
+    return rounds(resample.summary(resample.returns(s, ["grp"]), ["grp"], "total_return_pct"), [], 4)
 
 
-@query(f"""WITH {_DAILY}, ix AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ts) - 1 AS ix FROM dt), sh AS (SELECT grp, iter, pnl, row_number() OVER (PARTITION BY grp, iter ORDER BY {_DRAW.format("concat_ws('|', '42', iter::VARCHAR, ix::VARCHAR)")}, ix) AS k FROM ix, range(10) i(iter)),
+@query(f"""WITH {_DAILY}, ix AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ts) - 1 AS ix FROM dt), sh AS (SELECT grp, iter, pnl, row_number() OVER (PARTITION BY grp, iter ORDER BY {_DRAW.format("concat_ws('|', '42', iter::VARCHAR, ix::VARCHAR)")}, ix) AS k FROM ix, range({_SHUFFLES}) i(iter)),
  cv AS (SELECT *, 1e6 + sum(pnl) OVER (PARTITION BY grp, iter ORDER BY k ROWS UNBOUNDED PRECEDING) AS e FROM sh), pk AS (SELECT *, greatest(1e6, max(e) OVER (PARTITION BY grp, iter ORDER BY k ROWS UNBOUNDED PRECEDING)) AS p FROM cv)
  SELECT grp, iter::INT AS iter, round(sum(pnl) / 1e6 * 100, 6) AS total_return_pct, round(max((p - e) / p * 100), 6) AS max_drawdown_pct FROM pk GROUP BY ALL""")
 def shuffle_drawdown(spark: SparkSession, sf: str) -> DataFrame:
-    s = resample.shuffle(_daily(spark, sf), ["grp"], ["ts"], 10)
+    s = resample.shuffle(_daily(spark, sf), ["grp"], ["ts"], _SHUFFLES)
     return rounds(resample.sampled_metrics(s, ["grp"], 1e6).select("grp", "iter", "total_return_pct", "max_drawdown_pct"), [])
 
 
+@query()
+def bootstrap_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """All tracked metrics of daily results by group: observed, their rank among samples, and the interval."""
+    t = trades(spark, sf).groupBy("grp", F.col("l_shipdate").alias("ts")).agg((F.sum("pnl") / 1000).alias("pnl"), (F.sum("commission") / 1000).alias("commission"), F.min("entry_ts").alias("entry_ts"), F.max("exit_ts").alias("exit_ts"))
+    return rounds(resample.bootstrap(t, ["grp"], ["ts"], iterations=_SHUFFLES), [], 4)
+
+
 @query(f"""WITH {_RET}, b AS (SELECT instrument, ts::DATE AS day, sum(ret) AS s, count(ret) AS c FROM ret GROUP BY ALL), ix AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY day) - 1 AS ix, count(*) OVER (PARTITION BY instrument) AS n FROM b),
- g AS (SELECT instrument, max(n) AS n FROM ix GROUP BY 1), d AS (SELECT instrument, iter, {_DRAW.format("concat_ws('|', '7', iter::VARCHAR, k::VARCHAR)")} % n AS ix FROM g, range(50) i(iter), range(10000) r(k) WHERE k < n),
+ g AS (SELECT instrument, max(n) AS n FROM ix GROUP BY 1), d AS (SELECT instrument, iter, {_DRAW.format("concat_ws('|', '7', iter::VARCHAR, k::VARCHAR)")} % n AS ix FROM g, range(1000) i(iter), range(10000) r(k) WHERE k < n),
  m AS (SELECT instrument, iter, sum(s) / sum(c) AS mean FROM d JOIN ix USING (instrument, ix) GROUP BY ALL), l AS (SELECT instrument, list_sort(list(mean)) AS v FROM m GROUP BY 1)
  SELECT instrument, round(v[floor((1 - 0.9::DOUBLE) / 2 * (len(v) - 1))::INT + 1], 6) AS low, round(v[floor((1 - (1 - 0.9::DOUBLE) / 2) * (len(v) - 1))::INT + 1], 6) AS high FROM l""")
 def day_block_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     s = _ret(spark, sf).withColumn("day", F.col("ts").cast("date"))
-    return rounds(resample.truncated_interval(resample.block_bootstrap(s, BY, "day", "ret", 50), BY, "mean"), [])
+    return rounds(resample.truncated_interval(resample.block_bootstrap(s, BY, "day", "ret", 1_000), BY, "mean"), [])
 
 
 @query(f"""WITH {BARS}, k AS (SELECT instrument, ts, volume, row_number() OVER (PARTITION BY instrument ORDER BY {_DRAW.format("concat_ws('|', '11', strftime(ts, '%Y-%m-%d %H:%M:%S'))")}, ts) AS rk FROM bars) SELECT instrument, ts, volume FROM k WHERE rk <= 20""")
@@ -267,11 +336,59 @@ def best_quote_route(spark: SparkSession, sf: str) -> DataFrame:
     return rounds(candles.best_quotes(v, ["instrument", "ts"]), [], 10)
 
 
-@query(f"""WITH {TRADES}, m AS (SELECT grp, count(*)::DOUBLE AS total_trades, sum(pnl) / 100 AS total_return_pct, count(*) FILTER (pnl > 0) * 100.0::DOUBLE / count(*) AS win_rate_pct, sum(pnl) FILTER (pnl > 0) / abs(sum(pnl) FILTER (pnl <= 0)) AS profit_factor FROM trades GROUP BY 1),
- l AS (UNPIVOT m ON total_trades, total_return_pct, win_rate_pct, profit_factor INTO NAME metric VALUE value) SELECT grp, metric, round(value, 4) AS value FROM l WHERE metric <> 'profit_factor'""")
+#: Service tiers (0 to 2) of the metrics that the query shows.
+_VISIBLE = "('total_return_pct', 0), ('total_trades', 0), ('win_rate_pct', 0), ('profit_factor', 0), ('avg_win', 0), ('avg_loss', 0), ('total_commission_paid', 0), ('trade_expectancy', 1), ('payoff_ratio', 1), ('kelly_fraction', 2), ('tail_ratio', 2)"
+
+
+@query(f"""WITH {TRADES}, m0 AS (SELECT grp, count(*)::DOUBLE AS total_trades, sum(pnl) / 100 AS total_return_pct, count(*) FILTER (pnl > 0)::DOUBLE / count(*) AS wr, sum(pnl) FILTER (pnl > 0) / abs(sum(pnl) FILTER (pnl <= 0)) AS profit_factor, avg(pnl) FILTER (pnl > 0) AS avg_win, avg(pnl) FILTER (pnl <= 0) AS avg_loss,
+ sum(commission) AS total_commission_paid, avg(pnl) AS trade_expectancy, avg(pnl) / stddev_samp(pnl) * sqrt(count(*)) AS t_stat, abs(quantile_cont(pnl, 0.95)) / abs(quantile_cont(pnl, 0.05)) AS tail_ratio FROM trades GROUP BY 1),
+ m AS (SELECT grp, total_trades, total_return_pct, wr * 100 AS win_rate_pct, profit_factor, avg_win, avg_loss, total_commission_paid, trade_expectancy, avg_win / abs(avg_loss) AS payoff_ratio, wr - (1 - wr) / (avg_win / abs(avg_loss)) AS kelly_fraction, tail_ratio, t_stat FROM m0),
+ l AS (UNPIVOT m ON COLUMNS(* EXCLUDE grp) INTO NAME metric VALUE value), t(metric, need) AS (VALUES {_VISIBLE}), s(tier, have) AS (VALUES ('BRONZE', 0), ('SILVER', 1), ('GOLD', 2))
+ SELECT tier, grp, metric, round(value, 4) AS value FROM l LEFT JOIN t USING (metric) JOIN s ON coalesce(need, 2) <= have""")
 def tier_visibility(spark: SparkSession, sf: str) -> DataFrame:
-    m = metrics.trade_metrics(trades(spark, sf), ["grp"]).select("grp", "total_trades", "total_return_pct", "win_rate_pct", "profit_factor", "kelly_fraction")
-    return rounds(validate.visible(m, ["grp"], "BASIC"), [], 4)
+    """What each tier shows; t_stat has no tier of its own, and so shows from GOLD on."""
+    m = metrics.trade_metrics(trades(spark, sf), ["grp"])
+    m = m.select("grp", "total_trades", "total_return_pct", "win_rate_pct", "profit_factor", "avg_win", "avg_loss", F.col("total_commission").alias("total_commission_paid"), F.col("expectancy").alias("trade_expectancy"), "payoff_ratio", "kelly_fraction", "tail_ratio", "t_stat")
+    out = None
+    for tier in validate.TIERS:
+        part = validate.visible(m, ["grp"], tier).select(F.lit(tier).alias("tier"), "grp", "metric", "value")
+        out = part if out is None else out.unionByName(part)
+    return rounds(out, [], 4)
+
+
+#: Two strategies as two values of a key beside the instrument.
+_TWO = f"""{BARS}, mn AS (SELECT instrument, ts, bid_close, ask_close, mid, row_number() OVER w AS rn, avg(mid) OVER (w ROWS 2 PRECEDING) AS f, avg(mid) OVER (w ROWS 9 PRECEDING) AS s, stddev_pop(mid) OVER (w ROWS 9 PRECEDING) AS sd FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY ts)),
+ st AS (SELECT *, CASE WHEN rn >= 10 THEN f > s END AS above, CASE WHEN rn >= 10 THEN CASE WHEN mid < s - sd THEN 'below' WHEN mid > s + sd THEN 'above' ELSE 'inside' END END AS zone FROM mn),
+ sig AS (SELECT instrument, 'sma' AS strategy, ts, bid_close, ask_close, CASE WHEN above AND NOT lag(above) OVER w THEN 'BUY' WHEN NOT above AND lag(above) OVER w THEN 'SELL' END AS signal FROM st WINDOW w AS (PARTITION BY instrument ORDER BY ts)
+  UNION ALL SELECT instrument, 'bollinger', ts, bid_close, ask_close, CASE WHEN lag(zone) OVER w = 'below' AND zone <> 'below' THEN 'BUY' WHEN lag(zone) OVER w = 'above' AND zone <> 'above' THEN 'SELL' END FROM st WINDOW w AS (PARTITION BY instrument ORDER BY ts)),
+ {trades_sql('instrument, strategy')}"""
+
+
+def _two(spark: SparkSession, sf: str) -> DataFrame:
+    b = bars(spark, sf)
+    keep = [*BY, "strategy", "ts", "bid_close", "ask_close", "signal"]
+    one = signals.sma_cross(b, 3, 10, BY).withColumn("strategy", F.lit("sma")).select(keep)
+    return one.unionByName(signals.bollinger_reversal(b, BY, 10, 1.0).withColumn("strategy", F.lit("bollinger")).select(keep))
+
+
+@query(f"""WITH {_TWO}, rt AS (SELECT instrument, strategy, ts, equity / nullif(lag(equity) OVER (PARTITION BY instrument, strategy ORDER BY ts), 0) - 1 AS ret FROM eq)
+ SELECT x.instrument, count(*) AS n, round(coalesce(covar_pop(x.ret, y.ret) / nullif(sqrt(var_pop(x.ret) * var_pop(y.ret)), 0), 0), 6) AS corr FROM rt x JOIN rt y ON x.instrument = y.instrument AND x.ts = y.ts AND x.strategy = 'bollinger' AND y.strategy = 'sma' WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1""")
+def strategy_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """How the returns of two strategies on the same bars go together."""
+    key = [*BY, "strategy"]
+    e = indicators.simple_return(backtest.equity_curve(_two(spark, sf), key, COSTS), key, "equity").where("ret IS NOT NULL").select(*key, "ts", "ret")
+    x = e.where("strategy = 'bollinger'").select(*BY, "ts", F.col("ret").alias("x")).join(e.where("strategy = 'sma'").select(*BY, "ts", F.col("ret").alias("y")), [*BY, "ts"])
+    return rounds(x.groupBy(*BY).agg(F.count(F.lit(1)).alias("n"), correlate.pearson("x", "y").alias("corr")), [])
+
+
+@query(f"""WITH {_TWO}, m AS (SELECT instrument, strategy, count(*) AS trades, sum(pnl) / 100 AS return_pct FROM tr GROUP BY ALL), pk AS (SELECT *, max(equity) OVER (PARTITION BY instrument, strategy ORDER BY ts ROWS UNBOUNDED PRECEDING) AS p FROM eq),
+ d AS (SELECT instrument, strategy, max(CASE WHEN p > 0 THEN (p - equity) / p * 100 ELSE 0 END) AS drawdown_pct FROM pk GROUP BY ALL)
+ SELECT instrument, strategy, coalesce(trades, 0) AS trades, round(coalesce(return_pct, 0), 4) AS return_pct, round(drawdown_pct, 4) AS drawdown_pct, CASE WHEN coalesce(trades, 0) < 20 THEN 'trades' WHEN return_pct <= 0 THEN 'return' WHEN drawdown_pct >= 20 THEN 'drawdown' ELSE 'later' END AS gate FROM d LEFT JOIN m USING (instrument, strategy)""")
+def replay_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Two candidates on every series, judged by the gates before the bootstrap."""
+    x = orchestrate.replay(_two(spark, sf), [*BY, "strategy"], COSTS)
+    gate = F.when(F.col("reason").isin("trades", "return", "drawdown"), F.col("reason")).otherwise("later")
+    return rounds(x.select(*BY, "strategy", "trades", "return_pct", "drawdown_pct", gate.alias("gate")), [], 4)
 
 
 _LOG = """lg AS (SELECT CASE WHEN event_id % 97 = 0 THEN 'end' WHEN event_type = 'signup' THEN 'start' ELSE 'item' END AS record_type, user_id::VARCHAR AS run_id, event_id // 2 AS seq, ts, value AS seconds, event_type AS status, event_id FROM events),

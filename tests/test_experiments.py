@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwright.operators import experiments as ex
-from barwright.operators import orchestrate
+from barwright.operators import orchestrate, validate
 from barwright.sources import runs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -76,7 +76,8 @@ def test_hierarchy_finds_a_wave(spark):
     """A slow wave without costs is a series that the crossover can live on."""
     rows = [("x", T0 + dt.timedelta(hours=i), 100 + 10 * math.sin(i / 12)) for i in range(1500)]
     b = spark.createDataFrame([(k, t, v, v, v) for k, t, v in rows], "instrument string, ts timestamp_ntz, mid double, bid_close double, ask_close double")
-    got = {r.param_id: r.tier for r in orchestrate.tiers(b, ["instrument"], (3, 5), (8, 12), 400, 200, iterations=50).collect()}
+    sma = lambda x, key: validate.sma_grid(x, key, (3, 5), (8, 12))
+    got = {r.param_id: r.tier for r in orchestrate.tiers(b, ["instrument"], sma, validate.grid(spark, fast=(3, 5), slow=(8, 12)), ["fast", "slow"], 400, 200, iterations=50).collect()}
     assert set(got) == {0, 1, 2, 3} and max(got.values()) == 4
     w = orchestrate.weigh(spark.createDataFrame([(8.0, 4), (8.0, 1), (-3.0, 4)], "score double, tier int")).collect()
     assert [r.weight for r in w] == [8.0, 2.0, 0.0]
@@ -99,3 +100,20 @@ def test_fault_starts_are_every_place_with_bars_enough(spark):
     bars = spark.createDataFrame([(s, i, x) for s, n in ((0, 100), (1, 16), (2, 17)) for i in range(n) for x in "ab"], "stretch long, pos int, path string")
     got = sorted((r.stretch, r.pos) for r in fault_starts(bars, 5, 12).collect())
     assert got == [(0, i) for i in range(5, 89)] + [(2, 5)]
+
+
+def test_replay_and_sweep(spark):
+    """A wave that the crossover lives on passes; a flat series has too few trades; a falling strategy fails by its return."""
+    from barwright.operators import signals
+
+    rows = [("wave", T0 + dt.timedelta(hours=i), 100 + 10 * math.sin(i / 8)) for i in range(1500)] + [("flat", T0 + dt.timedelta(hours=i), 100.0) for i in range(300)]
+    b = spark.createDataFrame([(k, t, v, v, v) for k, t, v in rows], "instrument string, ts timestamp_ntz, mid double, bid_close double, ask_close double")
+    s = signals.sma_cross(b, 3, 8, ["instrument"]).select("instrument", "ts", "bid_close", "ask_close", "signal").withColumn("candidate", F.lit("with"))
+    against = s.withColumn("candidate", F.lit("against")).withColumn("signal", F.when(F.col("signal") == "BUY", "SELL").when(F.col("signal") == "SELL", "BUY"))
+    got = {(r.instrument, r.candidate): (r.verdict, r.reason) for r in orchestrate.replay(s.unionByName(against), ["instrument", "candidate"], iterations=100).collect()}
+    assert got == {("wave", "with"): ("PASS", ""), ("wave", "against"): ("FAIL", "return"), ("flat", "with"): ("FAIL", "trades"), ("flat", "against"): ("FAIL", "trades")}
+    sma = (lambda x, key: validate.sma_grid(x, key, (3,), (8, 12)), validate.grid(spark, fast=(3,), slow=(8, 12)), ["fast", "slow"])
+    bands = (lambda x, key: validate.strategy_grid(x, key, signals.bollinger_reversal, n=(10,), width=(1.0, 2.0)), validate.grid(spark, n=(10,), width=(1.0, 2.0)), ["n", "width"])
+    w = orchestrate.sweep(b.where("instrument = 'wave'"), ["instrument"], {"sma": sma, "bollinger": bands}, 400, 200, iterations=30).collect()
+    assert {(r.strategy, r.param_id) for r in w} == {(s, i) for s in ("sma", "bollinger") for i in (0, 1)}
+    assert all(r.weight == max(r.score, 0) * orchestrate.TIER_MULTIPLIER[r.tier] for r in w) and max(r.tier for r in w if r.strategy == "sma") == 4

@@ -213,16 +213,41 @@ def test_constant_map_equals_solver(spark):
         assert sum(k * y[ts, p, q] for x1, x2, p, q, k in m if (x1, x2) == (a, b)) == pytest.approx(resid, abs=1e-6)
 
 
-def test_huber_bounds_a_fault(spark):
-    rows, _ = quotes(spark, 4, bars=1, drop=0.0)
-    rows[3] = (*rows[3][:3], rows[3][3] * 1.01, rows[3][4] * 1.01)
-    df = spark.createDataFrame(rows, "ts timestamp_ntz, a string, b string, bid double, ask double")
-    h = strengths.huber(df).where("kind = 'pair'").orderBy(F.desc(F.abs("value"))).collect()
-    assert (h[0].a, h[0].b) == rows[3][1:3] and h[0].psi < 0.2 and all(x.converged for x in h)
-    plain = strengths.huber(df, math.inf).where("kind = 'pair'").collect()
+def _faulty(spark, seed=4):
+    """A bar whose pair of the narrowest spread is off by a percent, and that pair."""
+    rows, _ = quotes(spark, seed, bars=1, drop=0.0)
+    i = min(range(len(rows)), key=lambda j: rows[j][4] / rows[j][3])
+    rows[i] = (*rows[i][:3], rows[i][3] * 1.01, rows[i][4] * 1.01)
+    return spark.createDataFrame(rows, "ts timestamp_ntz, a string, b string, bid double, ask double"), rows[i][1:3]
+
+
+@pytest.mark.parametrize("scale", ["spread", "mad"])
+def test_huber_bounds_a_fault(spark, scale):
+    """The fault stays with its pair, and at every node the bounded residuals balance."""
+    df, pair = _faulty(spark)
+    spread = {(r.a, r.b): math.log(r.ask / r.bid) * 1e4 for r in df.collect()}
+    for k in (1.0, 1.345, 2.0, 3.0):
+        h = strengths.huber(df, k, scale=scale).where("kind = 'pair'").orderBy(F.desc(F.abs("value"))).collect()
+        assert (h[0].a, h[0].b) == pair and h[0].psi == min(x.psi for x in h) and all(x.converged for x in h)
+        if scale == "spread" or k < 2:  # the MAD is one scale for ten pairs, which the fault's own residuals widen
+            assert h[0].psi < (0.2 if scale == "spread" else 0.7)
+        net = {}
+        for x in h:
+            if scale == "spread":  # psi times the residual is the residual within k sigma
+                bound = k * strengths.NOISE_RATIO * spread[x.a, x.b]
+                assert x.psi * x.value == pytest.approx(max(-bound, min(bound, x.value)), abs=1e-4)
+            net[x.a], net[x.b] = net.get(x.a, 0) + x.psi * x.value, net.get(x.b, 0) - x.psi * x.value
+        assert all(abs(v) < 1e-3 for v in net.values())
+    plain = strengths.huber(df, math.inf, scale=scale).where("kind = 'pair'").collect()
     assert {x.psi for x in plain} == {1.0} and {x.iterations for x in plain} == {0}
 
 
+def test_service_tiers():
+    n = {t: sum(v == t for v in validate.METRIC_TIER.values()) for t in validate.TIERS}
+    assert n == {"BRONZE": 8, "SILVER": 13, "GOLD": 13} and sum(n.values()) == 34
+    assert validate.METRIC_TIER["profit_factor"] == "BRONZE" and validate.METRIC_TIER["payoff_ratio"] == "SILVER" and validate.METRIC_TIER["kelly_fraction"] == "GOLD"
+
+
 def test_cycles_of_k5(spark):
     e = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(itertools.combinations("ABCDE", 2))], "edge int, a string, b string")
     n = {r.n: r["count"] for r in graph.simple_cycles(e, 5).groupBy("n").count().collect()}
@@ -287,6 +312,105 @@ def test_resampling(spark):
     assert tuple(resample.truncated_interval(t, ["grp"], "v").first())[1:] == (4.0, 94.0)
 
 
+def brute_tracked(trades, start):
+    """The tracked metrics of trades (pnl, commission, hours) in order, in plain Python."""
+    pnl = [t[0] for t in trades]
+    n, wins, losses = len(pnl), [x for x in pnl if x > 0], [x for x in pnl if x <= 0]
+    e = [start]
+    for x in pnl:
+        e.append(e[-1] + x)
+    dd, peak, runs, run = [], e[0], [], 0
+    for x in e:
+        peak = max(peak, x)
+        dd.append((peak - x) / peak * 100 if peak > 0 else 0.0)
+        if dd[-1] > 0:
+            run += 1
+        elif run:
+            runs.append(run)
+            run = 0
+    runs += [run] if run else []
+
+    def pct(q):
+        s = sorted(pnl)
+        k = q * (n - 1)
+        lo = int(k)
+        return s[lo] + (s[min(lo + 1, n - 1)] - s[lo]) * (k - lo)
+
+    def longest(win):
+        best = now = 0
+        for x in pnl:
+            now = now + 1 if (x > 0) == win else 0
+            best = max(best, now)
+        return best
+
+    aw, al = sum(wins) / len(wins) if wins else 0.0, sum(losses) / len(losses) if losses else 0.0
+    wr, mean = len(wins) / n, sum(pnl) / n
+    sd = math.sqrt(sum((x - mean) ** 2 for x in pnl) / n)
+    payoff = aw / abs(al) if al else None
+    ret = sum(pnl) / start * 100
+    p5 = pct(0.05)
+    tail = [x for x in pnl if x <= p5]
+    gross = sum(pnl) + sum(t[1] for t in trades)
+    expectancy = wr * aw + (1 - wr) * al
+    return {
+        "total_return_pct": ret, "max_drawdown_pct": max(dd), "win_rate_pct": wr * 100, "profit_factor": sum(wins) / abs(sum(losses)) if sum(losses) else None, "ending_balance": e[-1],
+        "trade_expectancy": expectancy, "trade_expectancy_pct": expectancy / start * 100, "payoff_ratio": payoff, "recovery_factor": ret / max(dd) if max(dd) else None, "ulcer_index": math.sqrt(sum(x * x for x in dd) / len(dd)),
+        "max_drawdown_duration": max(runs, default=0), "avg_drawdown_duration": sum(runs) / len(runs) if runs else 0.0, "var_95": max(-p5, 0.0), "cvar_95": max(-sum(tail) / len(tail), 0.0),
+        "tail_ratio": abs(pct(0.95)) / abs(p5) if p5 else None, "skewness": sum((x - mean) ** 3 for x in pnl) / n / sd**3 if n >= 3 and sd else None, "kurtosis": sum((x - mean) ** 4 for x in pnl) / n / sd**4 - 3 if n >= 3 and sd else None,
+        "kelly_fraction": wr - (1 - wr) / payoff if payoff else None, "cost_drag_pct": sum(t[1] for t in trades) / abs(gross) * 100 if gross else None, "avg_trade_duration_hours": sum(t[2] for t in trades) / n,
+        "max_consecutive_wins": longest(True), "max_consecutive_losses": longest(False),
+    }
+
+
+def test_bootstrap_of_all_tracked_metrics(spark):
+    r = random.Random(8)
+    rows = [("g", i, round(r.gauss(3, 40), 2), 0.5, T0, T0 + dt.timedelta(hours=r.randint(1, 9))) for i in range(25)] + [("one", 0, 1.0, 0.5, T0, T0)]
+    df = spark.createDataFrame(rows, "grp string, k0 int, pnl double, commission double, entry_ts timestamp_ntz, exit_ts timestamp_ntz")
+    drawn = resample.resample(df.where("grp = 'g'"), ["grp"], ["k0"], 6)
+    got = {x["iter"]: x.asDict() for x in resample.tracked_metrics(drawn, ["grp"], 1000.0).collect()}
+    by = {}
+    for x in drawn.orderBy("iter", "k").collect():
+        by.setdefault(x["iter"], []).append((x.pnl, x.commission, (x.exit_ts - x.entry_ts).seconds / 3600))
+    assert len(got) == 6 and len(resample.TRACKED) == 22
+    for it, t in by.items():
+        want = brute_tracked(t, 1000.0)
+        assert want.keys() == set(resample.TRACKED)
+        for name, v in want.items():
+            assert got[it][name] == (None if v is None else pytest.approx(v, rel=1e-9, abs=1e-9)), name
+    b = {x.metric: x for x in resample.bootstrap(df, ["grp"], ["k0"], iterations=40, start=1000.0).collect()}
+    assert len(b) == 22 and {x.grp for x in b.values()} == {"g"}
+    own = brute_tracked([(x[2], x[3], (x[5] - x[4]).seconds / 3600) for x in rows[:25]], 1000.0)
+    assert b["total_return_pct"].observed == pytest.approx(own["total_return_pct"]) and 0 <= b["total_return_pct"].rank <= 100
+    s = {x.metric: x for x in resample.bootstrap(df, ["grp"], ["k0"], "shuffle", 40, start=1000.0).collect()}
+    assert s["total_return_pct"].high - s["total_return_pct"].low < 1e-9 and s["max_drawdown_pct"].sd > 0 and s["ending_balance"].sd < 1e-9
+    for bad in (dict(iterations=50_001), dict(method="other")):
+        with pytest.raises(ValueError):
+            resample.bootstrap(df, ["grp"], ["k0"], **bad)
+
+
+def test_grid_of_any_strategy(spark):
+    from barwright.operators import signals
+
+    rows = [("x", T0 + dt.timedelta(hours=i), 100 + 10 * math.sin(i / 5)) for i in range(300)]
+    b = spark.createDataFrame([(k, t, v, v, v) for k, t, v in rows], "instrument string, ts timestamp_ntz, mid double, bid_close double, ask_close double")
+    any_ = validate.strategy_grid(b, ["instrument"], signals.sma_cross, fast=(3, 5, 9), slow=(8, 12))
+    one = validate.sma_grid(b, ["instrument"], (3, 5, 9), (8, 12))
+    rows_of = lambda d: sorted((r.param_id, r.ts, r.signal) for r in d.where("signal is not null").select("param_id", "ts", "signal").collect())
+    assert rows_of(any_) == rows_of(one)
+    params = validate.grid(spark, fast=(3, 5, 9), slow=(8, 12))
+    scored = {r.param_id: (r.score, r.trades) for r in validate.sensitivity(any_, params, ["instrument"]).collect()}
+    assert set(scored) == set(range(6)) and scored[4] == (None, None)
+    sharpe = validate.sensitivity(any_, params, ["instrument"], metric=F.col("sharpe_ratio"))
+    assert {r.param_id for r in sharpe.where("score is null").collect()} == {4} and sharpe.where("param_id = 0").first().trades == scored[0][1]
+    of = lambda x, key: validate.strategy_grid(x, key, signals.sma_cross, fast=(3, 5, 9), slow=(8, 12))
+    a = validate.walk_forward(b, ["instrument"], of, params, 100, 50).orderBy("window").collect()
+    assert [r.window for r in a] == [0, 1, 2, 3] and all(r.fast < r.slow for r in a)
+    c = validate.walk_forward(b, ["instrument"], of, params, 100, 50, metric=-F.col("max_drawdown_pct")).collect()
+    assert len(c) == 4 and all(r.score <= 0 for r in c)
+    with pytest.raises(ValueError):
+        validate.strategy_grid(b, ["instrument"], signals.sma_cross, fast=(9,), slow=(8,))
+
+
 def test_report_comparer(spark):
     g = [("a", 1.0, None), ("b_count", 10.0, None), ("c", 2.0, None), ("d", None, "x"), ("e", None, "y"), ("f", 1.0, None), ("h", 3.0, None)]
     f = [("a", 1.0, None), ("b_count", 12.0, None), ("c", 2.0001, None), ("d", None, "x"), ("e", None, "z"), ("g", 1.0, None), ("h", 3.1, None)]
