@@ -13,17 +13,16 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import discard, store, table
 
 HIDDEN, EMBED = 32, 16
 #: Words with a weight vector of their own, in so many classes of so many words; classes of all other words.
@@ -46,9 +45,20 @@ COUNT_WORDS = 300_000
 END = b""
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased, then END."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+#: Texts that are split into words at once.
+CHUNK_ROWS = 1000
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words [^\\x20\\x09-\\x0D]+ of all texts after A-Z are lower-cased, as binary; number of each text's). Null has none."""
+    texts = texts.take(pa.array(np.arange(len(texts))))  # a slice of its own: kernels misread offsets that don't begin at 0
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, n = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype("int64")
+    full = pc.greater(pc.binary_length(flat), 0)
+    there = full.to_numpy(zero_copy_only=False)
+    ends = np.cumsum(n)
+    sums = np.concatenate([[0], np.cumsum(there)])
+    return flat.filter(full).cast(pa.large_binary()), sums[ends] - sums[ends - n]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,25 +66,45 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def tail_class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % TAIL_CLASSES
+_CRC = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], "uint32")  # the table of crc32's step
+
+
+def tail_class(words: pa.Array) -> np.ndarray:
+    """crc32 of the last three bytes of words (large_binary), mod TAIL_CLASSES."""
+    offsets = np.frombuffer(words.buffers()[1], "int64")[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"\0", "uint8")
+    crc = np.full(len(words), 0xFFFFFFFF, "uint32")
+    for back in (3, 2, 1):
+        on = np.flatnonzero(np.diff(offsets) >= back)
+        crc[on] = _CRC[(crc[on] ^ data[offsets[on + 1] - back]) & 0xFF] ^ (crc[on] >> 8)
+    return ((crc ^ 0xFFFFFFFF) % TAIL_CLASSES).astype("int64")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held, rows, ends = [], 0, 0
+    schema = pa.schema([("token", pa.large_binary()), ("c", pa.int64())])
 
-    def flushed() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
-        counts.clear()
-        return out
+    def added() -> pa.Table:
+        return pa.concat_tables(held).group_by("token").aggregate([("c", "sum")]).rename_columns(["token", "c"]).cast(schema)
+
+    def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        return iter(t.cast(pa.schema([("token", pa.binary()), ("c", pa.int64())])).to_batches())
 
     for b in batches:
-        for t in b.column("text"):
-            counts.update(tokens(t.as_py()))
-            if len(counts) >= COUNT_WORDS:
-                yield flushed()
-    if counts:
-        yield flushed()
+        for at in range(0, b.num_rows, CHUNK_ROWS):
+            texts = b.column("text").slice(at, CHUNK_ROWS)
+            c = pc.value_counts(words_of(texts)[0])
+            held.append(pa.table([c.field("values"), c.field("counts")], schema=schema))
+            ends, rows = ends + len(texts), rows + len(c)
+            if rows >= 4 * COUNT_WORDS:
+                held = [added()]
+                rows = held[0].num_rows
+                if rows >= COUNT_WORDS:
+                    yield from made(held[0])
+                    held, rows = [], 0
+    if ends:
+        held.append(pa.table([pa.array([END], pa.large_binary()), pa.array([ends], pa.int64())], schema=schema))
+        yield from made(added())
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -95,7 +125,6 @@ class Vocabulary:
     tail_v: np.ndarray
 
     def __post_init__(self):
-        self.rank = {w: i for i, w in enumerate(self.words)}
         n = len(self.words)
         short = min(SHORT, n)
         mass = np.cumsum(np.sqrt(self.counts[:short] + 1.0))
@@ -108,7 +137,7 @@ class Vocabulary:
                 k = (k + 1) % CLASSES
             self.cls[i], self.slot[i] = k, used[k]
             used[k] += 1
-        self.cls[short:] = [CLASSES + tail_class(w) for w in self.words[short:]]
+        self.cls[short:] = CLASSES + tail_class(pa.array(self.words[short:], pa.large_binary()))
         self.feed = np.where(self.slot >= 0, self.cls * CLASS_WORDS + self.slot, SHORT + self.cls - CLASSES).astype("uint16")
         self.log_denominator = np.log10(self.tail_n + self.tail_v + 1.0)
         self.base_denominator = np.log10(self.total + self.distinct + 1.0)
@@ -130,10 +159,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     by = counts.groupBy((F.crc32(F.substring("token", -3, 3)) % TAIL_CLASSES).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
     tail_n, tail_v = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
     tail_n[by["k"].astype(int)], tail_v[by["k"].astype(int)] = by["n"], by["v"]
-    for w, c in head[:SHORT]:  # these are predicted one by one
-        if c:
-            tail_n[zlib.crc32(w[-3:]) % TAIL_CLASSES] -= c
-            tail_v[zlib.crc32(w[-3:]) % TAIL_CLASSES] -= 1
+    there = [(w, c) for w, c in head[:SHORT] if c]  # these are predicted one by one
+    own = tail_class(pa.array([w for w, _ in there], pa.large_binary()))
+    np.subtract.at(tail_n, own, [c for _, c in there])
+    np.subtract.at(tail_v, own, 1)
     return Vocabulary([w for w, _ in head], np.array([c for _, c in head], float), int(total), int(distinct), tail_n, tail_v)
 
 
@@ -174,23 +203,29 @@ class Encoder:
 
     def __init__(self, v: Vocabulary):
         self.v = v
+        self.head = pa.array(v.words, pa.large_binary())
         self.log_c1 = np.log10(v.counts + 1.0)
         self.known = v.counts > 0
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, int, float, float, list[bytes]]:
-        """(symbols, known words, base score, score of tail words inside their classes, words outside the head); both scores leave out what the last have by their counts."""
-        v = self.v
-        rank = np.fromiter(map(v.rank.get, words, repeat(-1)), "int32", len(words))
+    def encode(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """By text: symbols with the end's, known words, base score, score of tail words inside their classes, words outside the head; both scores leave out what the last have by their counts."""
+        v, rows = self.v, len(texts)
+        words, n = words_of(texts)
+        rank = pc.fill_null(pc.index_in(words, value_set=self.head), -1).to_numpy(zero_copy_only=False)
+        owner, deep = np.repeat(np.arange(rows), n), rank < 0
+        rare = words.filter(pa.array(deep))
         symbols = v.feed[rank]
-        deep = np.flatnonzero(rank < 0)
-        rare = [words[i] for i in deep]
-        if rare:
-            symbols[deep] = SHORT + np.fromiter(map(zlib.crc32, [w[-3:] for w in rare]), "int64", len(rare)) % TAIL_CLASSES
-            rank = rank[rank >= 0]
+        symbols[deep] = SHORT + tail_class(rare)
+        tail = symbols >= SHORT
         chance = self.log_c1[rank]
-        tail = symbols[symbols >= SHORT] - SHORT
-        more = chance[v.slot[rank] < 0].sum() - v.log_denominator[tail].sum()
-        return symbols, int(np.count_nonzero(self.known[rank])), float(chance.sum() - v.base_denominator * len(words)), float(more), rare
+        chance[deep] = 0.0
+        inner = chance - v.log_denominator[np.where(tail, symbols, SHORT) - SHORT]
+        by = lambda x, on: np.bincount(owner[on], x[on], rows).astype(float)
+        base = by(chance, slice(None)) + self.log_c1[0] - v.base_denominator * (n + 1)
+        known = by(self.known[rank].astype(float), ~deep).astype("int64") + int(self.known[0])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[deep], minlength=rows))])
+        parts = [np.append(x, v.feed[0]) for x in np.split(symbols, np.cumsum(n)[:-1])] if rows else []
+        return parts, known, base, by(inner, tail), pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), rare)
 
 
 #: Class and slot (-1: none) of each symbol.
@@ -198,8 +233,19 @@ CLASS_OF = np.concatenate([np.repeat(np.arange(CLASSES), CLASS_WORDS), CLASSES +
 SLOT_OF = np.concatenate([np.tile(np.arange(CLASS_WORDS), CLASSES), np.full(TAIL_CLASSES, -1)]).astype("int16")
 #: Logits below this need no shift before exp.
 SAFE = 80.0
-#: The gates r and z are sigmoids, taken as tanh of half their sums.
-HALF = np.repeat(np.array([0.5, 1.0]), [2 * HIDDEN, HIDDEN])
+
+
+def _squash(x: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|) in place, between -1 and 1: the unit's squashing function, at a sixth of the time of tanh."""
+    np.abs(x, out=room)
+    room += 1
+    x /= room
+    return x
+
+
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """3 x rows x HIDDEN: what the columns of a matrix are for r, z and the new state."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2))
 
 
 class Net:
@@ -214,7 +260,7 @@ class Net:
         p = self.p
         x = p["emb"] @ p["wx"] + p["bx"]
         x[:, : 2 * HIDDEN] += p["bh"][: 2 * HIDDEN]
-        self.x, self.w = x * HALF.astype(x.dtype), p["wh"] * HALF.astype(x.dtype)
+        self.x, self.w = _by_gate(x), _by_gate(p["wh"])
         # the parts of a state lie within -1 and 1
         self.safe = bool((np.abs(p["wc"]).sum(0) + np.abs(p["bc"])).max() < SAFE and np.abs(p["wo"]).sum(1).max() + np.abs(p["bo"]).max() < SAFE)
 
@@ -228,12 +274,18 @@ class Net:
         return np.take(rows, at, axis=0, out=self.room(name, len(at), rows.shape[1]), mode="clip")
 
     def states(self, feed: np.ndarray, fresh: np.ndarray, h: np.ndarray, trace: bool = False) -> np.ndarray:
-        """States that predict each step, steps x streams x HIDDEN; with a trace, what the gradient needs stays in its arrays."""
+        """States that predict each step, steps x streams x HIDDEN; with a trace, what the gradient needs stays in its arrays.
+
+        The gates r, z and what the new state has of the old one stand in arrays of their own, one after another.
+        """
         steps, n = feed.shape
-        x = self.take("x", self.x, feed.ravel()).reshape(steps, n, 3 * HIDDEN)
+        x = self.room("x", 3, steps * n, HIDDEN)
+        for k in range(3):
+            np.take(self.x[k], feed.ravel(), axis=0, out=x[k], mode="clip")
+        x = x.reshape(3, steps, n, HIDDEN)
         kept = steps if trace else 1
         out, before = self.room("out", steps, n, HIDDEN), self.room("before", kept, n, HIDDEN)
-        gates, news = self.room("gates", kept, n, 3 * HIDDEN), self.room("news", kept, n, HIDDEN)
+        gates, news, rest = self.room("gates", kept, 3, n, HIDDEN), self.room("news", kept, n, HIDDEN), self.room("rest", 2, n, HIDDEN)
         bias, starts, stays = self.p["bh"][2 * HIDDEN :], fresh.any(1), ~fresh[:, :, None]
         for t in range(steps):
             at = t if trace else 0
@@ -243,17 +295,17 @@ class Net:
             else:
                 b[:] = h
             np.matmul(b, self.w, out=g)
-            rz, inner = g[:, : 2 * HIDDEN], g[:, 2 * HIDDEN :]
-            rz += x[t, :, : 2 * HIDDEN]
-            np.tanh(rz, out=rz)
+            rz = g[:2]
+            rz += x[:2, t]
+            _squash(rz, rest)
             rz *= 0.5
             rz += 0.5
-            inner += bias
-            np.multiply(rz[:, :HIDDEN], inner, out=u)
-            u += x[t, :, 2 * HIDDEN :]
-            np.tanh(u, out=u)
+            g[2] += bias
+            np.multiply(g[0], g[2], out=u)
+            u += x[2, t]
+            _squash(u, rest[0])
             h = np.subtract(b, u, out=out[t])
-            h *= rz[:, HIDDEN:]
+            h *= g[1]
             h += u
         return out
 
@@ -327,40 +379,56 @@ class Net:
             up[:] = 0
         up[on] = dh
         up = up.reshape(steps, n, HIDDEN)
-        before, u, g = self.held["before"][: up.size].reshape(up.shape), self.held["news"][: up.size].reshape(up.shape), self.held["gates"][: 3 * up.size].reshape(steps, n, -1)
-        r, z, inner = g[:, :, :HIDDEN], g[:, :, HIDDEN : 2 * HIDDEN], g[:, :, 2 * HIDDEN :]
-        rest = np.subtract(1, z, out=self.room("rest", *up.shape))
-        to_u = np.multiply(u, u, out=self.room("to_u", *up.shape))
+        size, shape = up.size, up.shape
+        before, u = self.held["before"][:size].reshape(shape), self.held["news"][:size].reshape(shape)
+        g = self.held["gates"][: 3 * size].reshape(steps, 3, n, HIDDEN)
+        r, z, inner = g[:, 0], g[:, 1], g[:, 2]
+        rest = np.subtract(1, z, out=self.room("keep", *shape))
+        to_z = np.minimum(z, rest, out=self.room("to_z", *shape))  # a gate g has the slope 2 min(g, 1 - g)^2
+        to_z *= to_z
+        to_z *= 2
+        room = np.subtract(before, u, out=self.room("to_r", *shape))
+        to_z *= room
+        to_u = np.abs(u, out=self.room("to_u", *shape))  # and the new state the slope (1 - |u|)^2
         np.subtract(1, to_u, out=to_u)
+        to_u *= to_u
         to_u *= rest
-        to_z = np.subtract(before, u, out=self.room("to_z", *up.shape))
-        to_z *= z
-        to_z *= rest
-        to_r = np.subtract(1, r, out=rest)
-        to_r *= r
+        to_r = np.subtract(1, r, out=room)
+        np.minimum(r, to_r, out=to_r)
+        to_r *= to_r
+        to_r *= 2
         to_r *= inner
-        dg, dx = self.room("dg", steps, n, 3 * HIDDEN), self.room("dx", *up.shape)
-        carry, back, starts = np.zeros((n, HIDDEN), kind), np.ascontiguousarray(p["wh"].T), fresh.any(1)
+        dg = self.room("dg", 3, steps, n, HIDDEN)  # of the sums of r, z and, before r, the new state
+        dx = self.room("dx", steps, n, HIDDEN)
+        carry, parts, back, starts = np.zeros((n, HIDDEN), kind), self.room("parts", 3, n, HIDDEN), np.ascontiguousarray(self.w.transpose(0, 2, 1)), fresh.any(1)
         for t in range(steps - 1, -1, -1):
             dy = up[t]
             dy += carry
             du = np.multiply(dy, to_u[t], out=dx[t])
-            np.multiply(du, to_r[t], out=dg[t, :, :HIDDEN])
-            np.multiply(dy, to_z[t], out=dg[t, :, HIDDEN : 2 * HIDDEN])
-            np.multiply(du, r[t], out=dg[t, :, 2 * HIDDEN :])
-            np.matmul(dg[t], back, out=carry)
-            dy *= z[t]
-            carry += dy
+            np.multiply(du, to_r[t], out=dg[0, t])
+            np.multiply(dy, to_z[t], out=dg[1, t])
+            np.multiply(du, r[t], out=dg[2, t])
+            np.matmul(dg[:, t], back, out=parts)
+            np.multiply(dy, z[t], out=carry)
+            for k in range(3):
+                carry += parts[k]
             if starts[t]:
                 carry *= ~fresh[t][:, None]
-        flat = dg.reshape(-1, 3 * HIDDEN)
-        np.matmul(before.reshape(-1, HIDDEN).T, flat, out=d["wh"])
-        d["bh"][:] = ones[: len(flat)] @ flat
-        dg[:, :, 2 * HIDDEN :] = dx
+        flat, old = dg.reshape(3, -1, HIDDEN), before.reshape(-1, HIDDEN)
+        wh, bh = d["wh"].reshape(HIDDEN, 3, HIDDEN), d["bh"].reshape(3, HIDDEN)
+        for k in range(3):
+            wh[:, k] = old.T @ flat[k]
+            bh[k] = ones[: len(old)] @ flat[k]
+        flat[2] = dx.reshape(-1, HIDDEN)
         e = self.take("e", p["emb"], feed.ravel())
-        np.matmul(e.T, flat, out=d["wx"])
-        d["bx"][:] = ones[: len(flat)] @ flat
-        de = np.matmul(flat, p["wx"].T, out=e)
+        wx, bx = d["wx"].reshape(EMBED, 3, HIDDEN), d["bx"].reshape(3, HIDDEN)
+        for k in range(3):
+            wx[:, k] = e.T @ flat[k]
+            bx[k] = ones[: len(old)] @ flat[k]
+        ws = _by_gate(p["wx"])
+        de = np.matmul(flat[0], ws[0].T, out=e)
+        for k in (1, 2):
+            de += flat[k] @ ws[k].T
         order = np.argsort(feed.ravel(), kind="stable")
         of = feed.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
@@ -471,16 +539,11 @@ def _encode(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Encoder(sent.value)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                made = []
-                for t in part.column("text"):
-                    words = tokens(t.as_py())
-                    symbols, known, base, more, rare = code.encode(words)
-                    made.append((len(words), known, base, more, symbols.tobytes(), rare))
-                c = list(zip(*made))
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, c, kinds)], [x.split()[0] for x in ENCODED.split(", ")])
+            for at in range(0, b.num_rows, CHUNK_ROWS):
+                part = b.slice(at, CHUNK_ROWS)
+                symbols, known, base, more, rare = code.encode(part.column("text"))
+                made = [pa.array(list(map(len, symbols)), pa.int64()), pa.array(known), pa.array(base), pa.array(more), pa.array([x.tobytes() for x in symbols], pa.binary()), rare.cast(pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [x.split()[0] for x in ENCODED.split(", ")])
 
     return run
 
@@ -529,8 +592,10 @@ def fit(encoded: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
             made = made.repartition(n).mapInArrow(_added, MOVED)
             if n == 1:
                 break
-        for r in store(made, "lm-moves").collect():  # one row, or none where no row has this turn
+        moved = store(made, "lm-moves")
+        for r in moved.collect():  # one row, or none where no row has this turn
             weights = np.frombuffer(r["moved"], "float32").reshape(3, SIZE).copy()
+        discard(moved)
     return weights[0]
 
 

@@ -4,10 +4,18 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barwright.llm import language_model as m
 
+
+
+def tokens(text):
+    """Words [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased, then the end."""
+    return [*(text or "").encode().lower().split(), b""]
+
+
 SCHEMA = "doc_id long, text string, tag int, token string"
 
 
@@ -26,11 +34,11 @@ def test_counts_and_base(scored):
     rows = corpus()
     out = sorted(scored, key=lambda r: (r.doc_id is None, r.doc_id, r.n_tokens))
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    counts = Counter(t for i, text, *_ in rows if not held(i) for t in m.tokens(text))
+    counts = Counter(t for i, text, *_ in rows if not held(i) for t in tokens(text))
     total, distinct = sum(counts.values()), len(counts)
     want = []
     for i, text, *_ in rows:
-        ts = m.tokens(text)
+        ts = tokens(text)
         want.append((i, held(i), len(ts), sum(counts[t] > 0 for t in ts), total, sum(math.log10((counts[t] + 1) / (total + distinct + 1)) for t in ts)))
     want.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
     assert len(out) == len(want)
@@ -45,8 +53,9 @@ def vocabulary(words):
     rows = sorted(((w, n) for w, n in c.items() if w), key=lambda x: (-x[1], x[0]))
     tail_n, tail_v = np.zeros(m.TAIL_CLASSES), np.zeros(m.TAIL_CLASSES)
     for w, n in rows[m.SHORT - 1 :]:
-        tail_n[m.tail_class(w)] += n
-        tail_v[m.tail_class(w)] += 1
+        k = zlib.crc32(w[-3:]) % m.TAIL_CLASSES
+        tail_n[k] += n
+        tail_v[k] += 1
     return m.Vocabulary([b"", *(w for w, _ in rows)], np.array([c[b""], *(n for _, n in rows)], float), sum(c.values()), len(c), tail_n, tail_v)
 
 
@@ -70,14 +79,30 @@ def test_chances_add_up():
 def test_symbols_and_base():
     """Words of the shortlist, of the tail and outside the head; the base score is that of the words of the head."""
     v = vocabulary([b"a"] * 5 + [b"b"] * 3 + [b""] * 2)
-    symbols, known, base, more, rare = m.Encoder(v).encode([b"b", b"xyz", b"a", b""])
+    (symbols, none), known, base, more, rare = m.Encoder(v).encode(pa.array(["B\txyz a ", None]))
     assert [m.SLOT_OF[x] >= 0 for x in symbols] == [True, False, True, True] and symbols[1] == m.SHORT + zlib.crc32(b"xyz") % m.TAIL_CLASSES
-    assert known == 3 and rare == [b"xyz"] and base == pytest.approx(math.log10(4) + math.log10(6) + math.log10(3) - 4 * math.log10(10 + 3 + 1))
-    assert more == pytest.approx(-v.log_denominator[symbols[1] - m.SHORT])
+    assert none.tolist() == [v.feed[0]] and known.tolist() == [3, 1] and rare.to_pylist() == [[b"xyz"], []]
+    assert base.tolist() == pytest.approx([math.log10(4) + math.log10(6) + math.log10(3) - 4 * math.log10(14), math.log10(3) - math.log10(14)])
+    assert more.tolist() == pytest.approx([-v.log_denominator[symbols[1] - m.SHORT], 0])
+
+
+def test_words_and_tail_classes():
+    r = random.Random(9)
+    texts = ["".join(r.choices("aBcÉ \t\n\x0b\x0c\r\x1c\u00a0\u2003", k=r.randint(0, 40))) for _ in range(300)] + ["", None, " ", "x" * 100_000]
+    flat, n = m.words_of(pa.array(texts))
+    want = [tokens(t)[:-1] for t in texts]
+    assert flat.to_pylist() == [w for t in want for w in t] and n.tolist() == list(map(len, want))
+    for kind in (pa.string(), pa.large_string()):  # slices as well
+        flat, n = m.words_of(pa.array(texts, kind).slice(100, 150))
+        assert flat.to_pylist() == [w for t in want[100:250] for w in t] and n.tolist() == list(map(len, want[100:250]))
+    words = sorted({w for t in want for w in t} | {b"\xff", b"ab", b"\x00\x01\x02\x03"})
+    assert m.tail_class(pa.array(words, pa.large_binary())).tolist() == [zlib.crc32(w[-3:]) % m.TAIL_CLASSES for w in words]
+    assert m.tail_class(pa.array([], pa.large_binary())).tolist() == []
 
 
 def some(r, code, lengths):
-    return [(k, code.encode([b"w%d" % i for i in r.integers(0, 300, n)] + [b""])[0]) for k, n in enumerate(lengths)]
+    texts = [" ".join(f"w{i}" for i in r.integers(0, 300, n)) for n in lengths]
+    return list(enumerate(code.encode(pa.array(texts))[0]))
 
 
 def test_gradient_by_differences():
@@ -160,6 +185,7 @@ def test_every_training_document_is_trained_on(spark, monkeypatch):
     encoded = m.encode(docs, v)
     seen, moves = [], m.store
     monkeypatch.setattr(m, "store", lambda df, name, **more: seen.append(moves(df, name, **more)) or seen[-1])
+    monkeypatch.setattr(m, "discard", lambda df: None)
     flat = m.fit(encoded, v)
     assert sum(r["seen"] for df in seen for r in df.select("seen").collect()) == sum(3 + i % 5 for i in mine) == v.total
     assert np.abs(flat - m.initial(v)).max() > 0
@@ -175,7 +201,7 @@ def test_a_word_of_one_document_in_sixteen_is_learnt(spark):
     flat = m.fit(m.encode(docs, v), v)
     before, after = m.unpack(m.initial(v))["emb"], m.unpack(flat)["emb"]
     for k in range(16):
-        s = v.feed[v.rank[b"mark%d" % k]]
+        s = v.feed[v.words.index(b"mark%d" % k)]
         assert np.abs(after[s] - before[s]).max() > 1e-3
 
 

@@ -54,3 +54,29 @@ def test_mix(stages):
 
 def test_run_equals_stages(spark, stages):
     assert sorted(tuple(r) for r in pipeline.run(spark, SF).collect()) == sorted(tuple(r) for r in stages[-1].collect())
+
+
+def tables(spark, folder, docs, labels, items):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_nulls_repeats_and_empty_texts(spark, tmp_path):
+    """Nulls in any column, empty and very long texts and repeated rows pass through all stages; each group of copies keeps one."""
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [(1, words, "en", "a", 5), (1, words, "en", "a", 5), (2, words + " ", "en", "a", 5), (3, None, None, None, None), (4, "", "en", None, 0), (None, "other words that are here once and no other place has them", "en", "b", 3)]
+    docs += [(5, "leaked " + " ".join(f"b{i}" for i in range(12)), "en", "a", 9), (6, "long " + " ".join(f"w{i}" for i in range(60_000)), "en", "b", 9)]
+    folder = tables(spark, tmp_path, docs, [(1, 1, 0), (None, None, None)], [(1, " ".join(f"b{i}" for i in range(12))), (2, None), (3, "")])
+    got = pipeline.run(spark, folder).collect()
+    ids = sorted((r.doc_id for r in got), key=str)
+    assert 5 not in ids and ids.count(1) + ids.count(2) <= 1 and len(ids) == len(set(ids)) and all(r.copies >= 1 and r.taken > 0 for r in got)
+    kept = [pipeline.good(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)]
+    for _, stage in pipeline.STAGES[1:4]:
+        kept.append(stage(spark, kept[-1], folder))
+    assert kept[0].count() >= 6 and kept[3].columns == kept[0].columns and kept[3].where("doc_id = 5").count() == 0 and kept[3].where("text = '' or text is null").count() <= 1
+
+
+def test_empty_tables(spark, tmp_path):
+    assert pipeline.run(spark, tables(spark, tmp_path, [], [], [])).count() == 0
