@@ -26,8 +26,8 @@ from .components import components
 
 #: 24 bands of 4 slots: of pairs at a similarity of 0.85, a share of 2e-8 meets in no bucket; of pairs at 0.8, 5e-6.
 BANDS, ROWS = 24, 4
-#: Words whose hashes a task keeps at hand, and words that it handles at once.
-CACHE_WORDS, CHUNK_WORDS = 400_000, 200_000
+#: Words whose hashes a task keeps at hand; words and rows that it handles at once (4096 rows at most).
+CACHE_WORDS, CHUNK_WORDS, CHUNK_ROWS = 100_000, 200_000, 500
 #: Rounds of comparing a bucket with some members: its most connected one first, then about HEADS, then four times as many in
 #: each round, until the pairs left, of members in different components, are no more than REST times the rows of their buckets.
 STARS, HEADS, REST = 2, 16, 200
@@ -120,15 +120,17 @@ def _parity(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of 4000 rows at most, cut after about CHUNK_WORDS words."""
+    """Slices of CHUNK_ROWS at most, cut after about CHUNK_WORDS words; a batch's texts become Python's a slice at a time."""
     for b in batches:
-        texts = b.column("text").to_pylist()
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "") // 6 + 1
-            if size >= CHUNK_WORDS or i + 1 - start == 4000 or i == len(texts) - 1:
-                yield b.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
+        for at in range(0, b.num_rows, CHUNK_ROWS):
+            part = b.slice(at, CHUNK_ROWS)
+            texts = part.column("text").to_pylist()
+            start = size = 0
+            for i, t in enumerate(texts):
+                size += len(t or "") // 6 + 1
+                if size >= CHUNK_WORDS or i == len(texts) - 1:
+                    yield part.slice(start, i + 1 - start), texts[start : i + 1]
+                    start, size = i + 1, 0
 
 
 def _sketches(width: int, bands: int, rows: int):
