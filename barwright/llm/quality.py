@@ -14,6 +14,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ _DIGITS = bytes(range(48, 58))
 _PLAIN = b".,;:'\"-?()"
 _SYMBOLS = bytes(c for c in range(33, 127) if c not in _LETTERS + _DIGITS + _PLAIN)
 FEATURES = 11
+#: Texts that a task holds as Python's at once.
+CHUNK_ROWS = 500
 
 
 def features(text: str | None) -> list[float]:
@@ -92,9 +95,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def chance(model: np.ndarray, text: Column) -> Column:
     """The classifier's chance that the text is good."""
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(_chance(model, np.array([features(t) for t in texts]).reshape(-1, FEATURES)))
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:  # texts become Python's some at a time
+        rows = [features(t) for at in range(0, len(texts), CHUNK_ROWS) for t in texts.slice(at, CHUNK_ROWS).to_pylist()]
+        return pa.array(_chance(model, np.array(rows).reshape(-1, FEATURES)), pa.float64())
 
     return run(text)
 
