@@ -46,7 +46,7 @@ END = b""
 
 
 #: Texts that are split into words at once.
-CHUNK_ROWS = 1000
+CHUNK_ROWS = 500
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -96,7 +96,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = pc.value_counts(words_of(texts)[0])
             held.append(pa.table([c.field("values"), c.field("counts")], schema=schema))
             ends, rows = ends + len(texts), rows + len(c)
-            if rows >= 4 * COUNT_WORDS:
+            if rows >= 2 * COUNT_WORDS:
                 held = [added()]
                 rows = held[0].num_rows
                 if rows >= COUNT_WORDS:
