@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, html_text, language_model, line_dedup, mixing, near_dedup, quality, url_filter
+from . import chat_format, decontaminate, exact_dedup, html_text, language_model, lexical_search, line_dedup, mixing, near_dedup, quality, url_filter
 
-MODULES = [mixing, html_text, quality, line_dedup, chat_format, url_filter, decontaminate, exact_dedup, language_model, near_dedup]
+MODULES = [mixing, html_text, quality, line_dedup, chat_format, url_filter, decontaminate, exact_dedup, language_model, near_dedup, lexical_search]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
