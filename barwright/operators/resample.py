@@ -118,6 +118,24 @@ def block_bootstrap(rows: DataFrame, by: Sequence[str], block: str, value: str,
     return d.groupBy(*by, "iter").agg((F.sum("s") / F.sum("c")).alias("mean"))
 
 
+def clustered_intervals(trials: DataFrame, by: Sequence[str], cells: Sequence[str], cluster: str, first: str, iterations: int, seed: int = 31337, level: float = 0.95) -> DataFrame:
+    """by, cells, rate, rate_low, rate_high, latency, latency_low, latency_high of trials (first: how long until detection, null if never).
+
+    Clusters (stretches) are drawn with replacement, as many as the group by has, the same draws for all its cells. They
+    are summed once, and an iteration has a row for each cluster it draws, with how often, not one for each draw. The
+    latency is the mean over detected trials; iterations without any don't count for its interval.
+    """
+    key = [*by, *cells]
+    sums = trials.groupBy(*key, cluster).agg(F.count(F.lit(1)).alias("__n"), F.count(first).alias("__d"), F.coalesce(F.sum(first), F.lit(0)).alias("__l"))
+    drawn = resample(sums.select(*by, cluster).distinct(), by, [cluster], iterations, seed).groupBy(*by, "iter", cluster).agg(F.count(F.lit(1)).alias("__times"))
+    total = lambda c: F.sum(F.col(c) * F.col("__times"))
+    each = drawn.join(sums, [*by, cluster]).groupBy(*key, "iter").agg((total("__d") / total("__n")).alias("r"), ratio(total("__l"), total("__d")).alias("t"))
+    tail = F.array(F.lit((1 - level) / 2), F.lit(1 - (1 - level) / 2))
+    ends = each.groupBy(*key).agg(F.percentile("r", tail).alias("r"), F.percentile("t", tail).alias("t"))
+    own = sums.groupBy(*key).agg((F.sum("__d") / F.sum("__n")).alias("rate"), ratio(F.sum("__l"), F.sum("__d")).alias("latency"))
+    return own.join(ends, key).select(*key, "rate", F.col("r")[0].alias("rate_low"), F.col("r")[1].alias("rate_high"), "latency", F.get("t", F.lit(0)).alias("latency_low"), F.get("t", F.lit(1)).alias("latency_high"))
+
+
 def truncated_interval(means: DataFrame, by: Sequence[str], value: str, level: float = 0.9) -> DataFrame:
     """by, low, high at the places floor(q * (n - 1)) of the sorted values, without interpolation."""
     v = F.array_sort(F.collect_list(value))

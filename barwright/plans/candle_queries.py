@@ -68,8 +68,10 @@ def ohlc_format_check(spark: SparkSession, sf: str) -> DataFrame:
     return candles.format_check(bars(spark, sf))
 
 
-_MANIFEST = """man AS (SELECT instrument, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts,
- sum(('0x' || substr(md5(concat_ws('|', instrument, strftime(ts, '%Y-%m-%d %H:%M:%S'), printf('%.6f', bid_close), printf('%.6f', ask_close), printf('%.0f', volume))), 1, 12))::BIGINT)::BIGINT AS digest FROM {} GROUP BY 1)"""
+_ROW = "concat_ws('|', instrument, strftime(ts, '%Y-%m-%d %H:%M:%S'), printf('%.6f', bid_close), printf('%.6f', ask_close), printf('%.0f', volume))"
+_MANIFEST = f"""man AS (SELECT instrument, sum(n)::BIGINT AS n, min(f) AS first_ts, max(l) AS last_ts, sha256(string_agg(month || '|' || g, chr(10) ORDER BY month)) AS digest FROM (
+ SELECT instrument, month, sum(n) AS n, min(f) AS f, max(l) AS l, sha256(string_agg(day || '|' || g, chr(10) ORDER BY day)) AS g FROM (
+ SELECT instrument, strftime(ts, '%Y-%m') AS month, strftime(ts, '%d') AS day, count(*) AS n, min(ts) AS f, max(ts) AS l, sha256(string_agg({_ROW}, chr(10) ORDER BY {_ROW})) AS g FROM {{}} GROUP BY ALL) GROUP BY ALL) GROUP BY 1)"""
 
 
 @query(f"WITH {BARS}, {_MANIFEST.format('bars')} SELECT * FROM man")

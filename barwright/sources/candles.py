@@ -105,10 +105,18 @@ def format_check(candles: DataFrame, by: Sequence[str] = ("instrument",)) -> Dat
 
 
 def manifest(candles: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
-    """rows, first, last and a digest of each series. The digest is the sum (mod 2^61) of a hash of each row, so that it needs no order and no group is gathered."""
+    """rows, first, last and a digest of each series that depends on the order of its rows in time (rows of one stamp: of their text).
+
+    The digest is a hash tree: the rows of a day, in order, are hashed to one digest, the days of a month to one, the months
+    to the series', so that no task gathers more than a day's rows, 31 days or a series' months.
+    """
     row = F.concat_ws("|", *by, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), *[F.format_string("%.6f", F.col(p)) for p in ("bid_close", "ask_close")], F.format_string("%.0f", F.col("volume")))
-    part = F.conv(F.substring(F.md5(row.cast("binary")), 1, 12), 16, 10).cast("long")
-    return candles.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum(part).alias("digest"))
+    hashed = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n").cast("binary"), 256)
+    part = lambda name: F.concat_ws("|", F.col(name), "digest")
+    days = candles.groupBy(*by, F.date_format("ts", "yyyy-MM").alias("month"), F.date_format("ts", "dd").alias("day"))
+    days = days.agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), hashed(row).alias("digest"))
+    up = lambda df, key, name: df.groupBy(*key).agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), hashed(part(name)).alias("digest"))
+    return up(up(days, [*by, "month"], "day"), by, "month")
 
 
 def manifest_diff(expected: DataFrame, actual: DataFrame, key: str = "instrument") -> DataFrame:
