@@ -50,6 +50,20 @@ class Costs:
 
 FREE = Costs()
 
+#: Units of a trade: a number for all series, or the name of a column of the signals (see sized).
+Units = float | str
+
+
+def _units(units: Units) -> tuple[Column, list[str]]:
+    """(units as a column, the columns that it needs)."""
+    return (F.col(units), [units]) if isinstance(units, str) else (F.lit(units), [])
+
+
+def sized(bars: DataFrame, by: Sequence[str], notional: float) -> DataFrame:
+    """by, units: how many units of each series the notional buys at its first mid price. Null where that isn't positive."""
+    first = F.min_by("mid", "ts")
+    return bars.groupBy(*by).agg(F.when(first > 0, notional / first).alias("units"))
+
 
 def positions(signals: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adds pos (1, -1 or 0 after the bar's signal), was (before it) and trade_no (null when flat)."""
@@ -62,15 +76,16 @@ def positions(signals: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.withColumn("trade_no", F.when(F.col("pos") != 0, number))
 
 
-def trades(signals: DataFrame, by: Sequence[str], costs: Costs = FREE, units: float = 1000.0) -> DataFrame:
-    """by, trade_no, side, units, entry_ts, entry_price, exit_ts, exit_price, commission, pnl, reason_close."""
+def trades(signals: DataFrame, by: Sequence[str], costs: Costs = FREE, units: Units = 1000.0) -> DataFrame:
+    """by, trade_no, side, units, entry_ts, entry_price, exit_ts, exit_price, commission, pnl, reason_close. A column of units counts as it is when a trade opens."""
     w = in_order(by)
-    p = positions(signals.select(*by, "ts", "bid_close", "ask_close", "signal"), by)
+    n, needed = _units(units)
+    p = positions(signals.select(*by, "ts", "bid_close", "ask_close", "signal", *needed), by)
     end = F.max(F.struct("ts", "bid_close", "ask_close")).over(Window.partitionBy(*by))
     p = p.withColumn("__end", end).where("pos <> was")
     shut = F.coalesce(F.lead(F.struct("ts", "bid_close", "ask_close")).over(w), F.col("__end"))
     p = p.withColumn("__shut", shut).withColumn("reason_close", F.when(F.lead("ts").over(w).isNull(), "end of backtest").otherwise("signal")).where("pos <> 0")
-    side, n = F.col("pos"), F.lit(units)
+    side = F.col("pos")
     p = p.withColumn("entry_price", costs.entry(side, F.col("bid_close"), F.col("ask_close"))).withColumn("exit_price", costs.exit(side, F.col("__shut.bid_close"), F.col("__shut.ask_close")))
     paid = costs.commission(F.col("entry_price"), n) + costs.commission(F.col("exit_price"), n)
     p = p.withColumn("commission", paid)
@@ -81,15 +96,16 @@ def trades(signals: DataFrame, by: Sequence[str], costs: Costs = FREE, units: fl
     )
 
 
-def equity_curve(signals: DataFrame, by: Sequence[str], costs: Costs = FREE, units: float = 1000.0, start: float = 10_000.0) -> DataFrame:
+def equity_curve(signals: DataFrame, by: Sequence[str], costs: Costs = FREE, units: Units = 1000.0, start: float = 10_000.0) -> DataFrame:
     """by, ts, equity, in_market: the balance after closed trades plus what the open trade would bring, exit costs included.
 
-    The last bar's equity marks its open trade to market; closing it adds no further point.
+    The last bar's equity marks its open trade to market; closing it adds no further point. A column of units must not
+    change along a series.
     """
     w = in_order(by)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    p = positions(signals.select(*by, "ts", "bid_close", "ask_close", "signal"), by)
-    n = F.lit(units)
+    n, needed = _units(units)
+    p = positions(signals.select(*by, "ts", "bid_close", "ask_close", "signal", *needed), by)
     opened = (F.col("pos") != 0) & (F.col("pos") != F.col("was"))
     p = p.withColumn("__price", F.when(opened, costs.entry(F.col("pos"), F.col("bid_close"), F.col("ask_close"))))
     p = p.withColumn("__entry", F.last("__price", ignorenulls=True).over(run))

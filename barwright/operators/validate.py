@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .backtest import FREE, Costs, equity_curve, trades
+from .backtest import FREE, Costs, Units, equity_curve, trades
 from .indicators import crossed, in_order
 from .metrics import curve_metrics, trade_metrics
 
@@ -71,23 +71,23 @@ def sma_grid(bars: DataFrame, by: Sequence[str], fast: Sequence[int], slow: Sequ
     return out.withColumn("signal", F.when(buy, "BUY").when(sell, "SELL")).drop("x", "y", "above")
 
 
-def scores(signals: DataFrame, key: Sequence[str], costs: Costs = FREE, start: float = 10_000.0, metric: Column | None = None) -> DataFrame:
+def scores(signals: DataFrame, key: Sequence[str], costs: Costs = FREE, start: float = 10_000.0, metric: Column | None = None, units: Units = 1000.0) -> DataFrame:
     """key, trades, score of the series that trade. score: total return in percent, or metric, a column over what trade_metrics and curve_metrics give."""
-    t = trades(signals, key, costs)
+    t = trades(signals, key, costs, units)
     if metric is None:
         return t.groupBy(*key).agg(F.count(F.lit(1)).alias("trades"), (F.sum("pnl") / start * 100).alias("score"))
-    c = curve_metrics(equity_curve(signals, key, costs, start=start), key, start=start).drop("total_return_pct")
+    c = curve_metrics(equity_curve(signals, key, costs, units, start), key, start=start).drop("total_return_pct")
     return trade_metrics(t, key, start).join(c, list(key)).select(*key, F.col("total_trades").alias("trades"), metric.alias("score"))
 
 
-def sensitivity(signals: DataFrame, params: DataFrame, by: Sequence[str], costs: Costs = FREE, start: float = 10_000.0, metric: Column | None = None) -> DataFrame:
+def sensitivity(signals: DataFrame, params: DataFrame, by: Sequence[str], costs: Costs = FREE, start: float = 10_000.0, metric: Column | None = None, units: Units = 1000.0) -> DataFrame:
     """by, param_id and its columns, trades, score; combinations without signals' rows keep a row with a null score.
 
     Trades of a combination that never trades are 0, and so is its score where that is the total return.
     """
     key = [*by, "param_id"]
     valid = signals.groupBy(*key).agg(F.lit(True).alias("__valid"))  # the scan and the exchange are those of the trades
-    done = valid.join(scores(signals, key, costs, start, metric), key, "left")
+    done = valid.join(scores(signals, key, costs, start, metric, units), key, "left")
     none = F.lit(0.0) if metric is None else F.lit(None).cast("double")
     done = done.select(*key, F.coalesce("trades", F.lit(0)).alias("trades"), F.coalesce("score", none).alias("score"))
     every = valid.select(*by).distinct().crossJoin(F.broadcast(params))  # params has MAX_GRID rows at most
@@ -136,7 +136,7 @@ def best(scored: DataFrame, by: Sequence[str], n: int = 1, worst: bool = False)
     return scored.where("score IS NOT NULL").withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, "param_id"))).where(F.col("rank") <= n)
 
 
-def walk_forward(bars: DataFrame, by: Sequence[str], signals_of: Callable[[DataFrame, list[str]], DataFrame], params: DataFrame, in_sample: int, out_sample: int, step: int | None = None, costs: Costs = FREE, start: float = 10_000.0, allowed: DataFrame | None = None, metric: Column | None = None) -> DataFrame:
+def walk_forward(bars: DataFrame, by: Sequence[str], signals_of: Callable[[DataFrame, list[str]], DataFrame], params: DataFrame, in_sample: int, out_sample: int, step: int | None = None, costs: Costs = FREE, start: float = 10_000.0, allowed: DataFrame | None = None, metric: Column | None = None, units: Units = 1000.0) -> DataFrame:
     """by, window, param_id and the parameters, score (in-sample return, percent), oos_return_pct, balance (compounded over windows).
 
     signals_of(bars, key) gives the signals of all parameters, with param_id, as sma_grid and strategy_grid do; params is of
@@ -159,13 +159,13 @@ def walk_forward(bars: DataFrame, by: Sequence[str], signals_of: Callable[[DataF
         s = s.join(allowed, [*by, "param_id"], "left_semi")
     p = [*key, "param_id"]
     begin = b.where("__oos").groupBy(*key).agg(F.min("ts").alias("__begin"))
-    curve = equity_curve(s, p, costs, start=start).join(begin, key).where(F.col("ts") < F.col("__begin"))
+    curve = equity_curve(s, p, costs, units, start).join(begin, key).where(F.col("ts") < F.col("__begin"))
     if metric is None:
         score = curve.groupBy(*p).agg(((F.max_by("equity", "ts") / start - 1) * 100).alias("score"))
     else:
         score = curve_metrics(curve, p, start=start).select(*p, metric.alias("score"))
     pick = score.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc_nulls_last("score"), "param_id"))).where("__r = 1").drop("__r")
-    t = trades(s, p, costs).join(begin, key).where(F.col("exit_ts") >= F.col("__begin")).groupBy(*p).agg((F.sum("pnl") / start * 100).alias("oos_return_pct"))
+    t = trades(s, p, costs, units).join(begin, key).where(F.col("exit_ts") >= F.col("__begin")).groupBy(*p).agg((F.sum("pnl") / start * 100).alias("oos_return_pct"))
     names = params.drop(*[c for c in params.columns if c.endswith("_ix")])
     out = pick.join(t, p, "left").withColumn("oos_return_pct", F.coalesce("oos_return_pct", F.lit(0.0))).join(F.broadcast(names), "param_id")  # MAX_GRID rows at most
     grown = F.exp(F.sum(F.log(F.greatest(1 + F.col("oos_return_pct") / 100, F.lit(1e-12)))).over(Window.partitionBy(*by).orderBy("window").rowsBetween(Window.unboundedPreceding, 0)))

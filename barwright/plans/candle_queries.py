@@ -206,24 +206,25 @@ def confluence_signals(spark: SparkSession, sf: str) -> DataFrame:
     return signals.confluence(bars(spark, sf).select("instrument", "ts", "mid"), BY, 12, 14, 45.0, 55.0).where("signal IS NOT NULL").select("instrument", "ts", "signal")
 
 
-def trades_sql(by: str = "instrument", c: backtest.Costs = COSTS, units: float = 1000.0) -> str:
-    """CTEs from sig (by, ts, bid_close, ask_close, signal) to was and tr, the closed trades."""
+def trades_sql(by: str = "instrument", c: backtest.Costs = COSTS, units: float | str = 1000.0) -> str:
+    """CTEs from sig (by, ts, bid_close, ask_close, signal; units if it names a column) to was and tr, the closed trades."""
+    more, units = (f", {units}", units) if isinstance(units, str) else ("", repr(units))
     w = f"PARTITION BY {by} ORDER BY ts"
     slip = f"{c.slippage_pips * c.pip_size!r}::DOUBLE + {{0}} * {c.slippage_pct!r}::DOUBLE"
     buy, sell = (f"ask_close + ({slip.format('ask_close')})", f"bid_close - ({slip.format('bid_close')})")
-    fee = f"({c.commission_flat!r}::DOUBLE + {c.commission_per_unit * units!r}::DOUBLE + {c.commission_pct * units!r}::DOUBLE * {{0}})"
+    fee = f"({c.commission_flat!r}::DOUBLE + {c.commission_per_unit!r}::DOUBLE * {units} + {c.commission_pct!r}::DOUBLE * {units} * {{0}})"
     return f"""pos AS (SELECT *, coalesce(last_value(CASE signal WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 WHEN 'CLOSE' THEN 0 END IGNORE NULLS) OVER ({w} ROWS UNBOUNDED PRECEDING), 0) AS pos, {buy} AS buy, {sell} AS sell FROM sig),
  was AS (SELECT *, coalesce(lag(pos) OVER ({w}), 0) AS was FROM pos),
  fin AS (SELECT {by}, max(ts) AS f_ts, arg_max(buy, ts) AS f_buy, arg_max(sell, ts) AS f_sell FROM was GROUP BY ALL),
  ch AS (SELECT *, lead(ts) OVER ({w}) AS x_ts, lead(buy) OVER ({w}) AS x_buy, lead(sell) OVER ({w}) AS x_sell FROM was WHERE pos <> was),
- tr0 AS (SELECT {by}, pos, row_number() OVER ({w}) AS trade_no, ts AS entry_ts, CASE WHEN pos > 0 THEN buy ELSE sell END AS entry_price, coalesce(x_ts, f_ts) AS exit_ts,
+ tr0 AS (SELECT {by}{more}, pos, row_number() OVER ({w}) AS trade_no, ts AS entry_ts, CASE WHEN pos > 0 THEN buy ELSE sell END AS entry_price, coalesce(x_ts, f_ts) AS exit_ts,
   CASE WHEN pos > 0 THEN coalesce(x_sell, f_sell) ELSE coalesce(x_buy, f_buy) END AS exit_price, CASE WHEN x_ts IS NULL THEN 'end of backtest' ELSE 'signal' END AS reason_close FROM ch JOIN fin USING ({by}) WHERE pos <> 0),
  tr1 AS (SELECT *, {fee.format('entry_price')} + {fee.format('exit_price')} AS commission FROM tr0),
- tr AS (SELECT *, (exit_price - entry_price) * pos * {units!r} - commission AS pnl FROM tr1),
+ tr AS (SELECT *, (exit_price - entry_price) * pos * {units} - commission AS pnl FROM tr1),
  eq0 AS (SELECT *, last_value(CASE WHEN pos <> 0 AND pos <> was THEN CASE WHEN pos > 0 THEN buy ELSE sell END END IGNORE NULLS) OVER ({w} ROWS UNBOUNDED PRECEDING) AS entry FROM was),
  eq1 AS (SELECT *, lag(entry) OVER ({w}) AS before, CASE WHEN pos > 0 THEN sell ELSE buy END AS px, CASE WHEN was > 0 THEN sell ELSE buy END AS wx FROM eq0),
- eq AS (SELECT {by}, ts, pos <> 0 AS in_market, 10000.0 + sum(CASE WHEN was <> 0 AND pos <> was THEN (wx - before) * was * {units!r} - {fee.format('before')} - {fee.format('wx')} ELSE 0 END) OVER ({w} ROWS UNBOUNDED PRECEDING)
-  + CASE WHEN pos <> 0 THEN (px - entry) * pos * {units!r} - {fee.format('entry')} - {fee.format('px')} ELSE 0 END AS equity FROM eq1)"""
+ eq AS (SELECT {by}, ts, pos <> 0 AS in_market, 10000.0 + sum(CASE WHEN was <> 0 AND pos <> was THEN (wx - before) * was * {units} - {fee.format('before')} - {fee.format('wx')} ELSE 0 END) OVER ({w} ROWS UNBOUNDED PRECEDING)
+  + CASE WHEN pos <> 0 THEN (px - entry) * pos * {units} - {fee.format('entry')} - {fee.format('px')} ELSE 0 END AS equity FROM eq1)"""
 
 
 _TRADE_COLS = "trade_no, CASE WHEN pos > 0 THEN 'LONG' ELSE 'SHORT' END AS side, entry_ts, round(entry_price, 6) AS entry_price, exit_ts, round(exit_price, 6) AS exit_price, round(commission, 6) AS commission, round(pnl, 6) AS pnl, reason_close"

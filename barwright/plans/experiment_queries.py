@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timepolicy import dst_cell
-from ..operators import experiments, graph, orchestrate, runlevel, strengths, validate
+from ..operators import experiments, graph, runlevel, strengths
 from ..sources.views import BARS, QUOTES, bars, quotes
-from .candle_queries import COSTS, gaps, rounds
+from .candle_queries import gaps, rounds
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -158,10 +158,3 @@ def top_events(spark: SparkSession, sf: str) -> DataFrame:
     """The ten widest quotes: a sort with a limit keeps ten rows a task."""
     q = quotes(spark, sf).withColumn("size", F.abs(F.log(F.col("bid") / F.col("ask"))) * 1e4)
     return rounds(q.orderBy(F.desc("size"), F.desc("ts"), "a", "b").limit(10).select("ts", "a", "b", "size"), [])
-
-
-@query()
-def validation_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    fast, slow = (3, 5, 8), (10, 20, 30)
-    t = orchestrate.tiers(bars(spark, sf), ["instrument"], lambda b, key: validate.sma_grid(b, key, fast, slow), validate.grid(spark, fast=fast, slow=slow), ["fast", "slow"], 60, 30, COSTS)
-    return rounds(orchestrate.weigh(t), [], 4)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded as r
-from ..operators import audit, backtest, correlate, indicators, metrics, orchestrate, resample, signals, validate
+from ..operators import audit, backtest, correlate, indicators, metrics, resample, signals, validate
 from ..sources import candles
 from ..sources.views import BARS, CLOSING, TRADES, bars, trades
 from .candle_queries import _RN, COSTS, _smooth_sql, rounds, trades_sql
@@ -381,16 +381,6 @@ def strategy_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return rounds(x.groupBy(*BY).agg(F.count(F.lit(1)).alias("n"), correlate.pearson("x", "y").alias("corr")), [])
 
 
-@query(f"""WITH {_TWO}, m AS (SELECT instrument, strategy, count(*) AS trades, sum(pnl) / 100 AS return_pct FROM tr GROUP BY ALL), pk AS (SELECT *, max(equity) OVER (PARTITION BY instrument, strategy ORDER BY ts ROWS UNBOUNDED PRECEDING) AS p FROM eq),
- d AS (SELECT instrument, strategy, max(CASE WHEN p > 0 THEN (p - equity) / p * 100 ELSE 0 END) AS drawdown_pct FROM pk GROUP BY ALL)
- SELECT instrument, strategy, coalesce(trades, 0) AS trades, round(coalesce(return_pct, 0), 4) AS return_pct, round(drawdown_pct, 4) AS drawdown_pct, CASE WHEN coalesce(trades, 0) < 20 THEN 'trades' WHEN return_pct <= 0 THEN 'return' WHEN drawdown_pct >= 20 THEN 'drawdown' ELSE 'later' END AS gate FROM d LEFT JOIN m USING (instrument, strategy)""")
-def replay_gates(spark: SparkSession, sf: str) -> DataFrame:
-    """Two candidates on every series, judged by the gates before the bootstrap."""
-    x = orchestrate.replay(_two(spark, sf), [*BY, "strategy"], COSTS)
-    gate = F.when(F.col("reason").isin("trades", "return", "drawdown"), F.col("reason")).otherwise("later")
-    return rounds(x.select(*BY, "strategy", "trades", "return_pct", "drawdown_pct", gate.alias("gate")), [], 4)
-
-
 _LOG = """lg AS (SELECT CASE WHEN event_id % 97 = 0 THEN 'end' WHEN event_type = 'signup' THEN 'start' ELSE 'item' END AS record_type, user_id::VARCHAR AS run_id, event_id // 2 AS seq, ts, value AS seconds, event_type AS status, event_id FROM events),
  lo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, seq ORDER BY event_id) AS k FROM lg) WHERE k = 1)"""
 

@@ -79,8 +79,11 @@ def test_hierarchy_finds_a_wave(spark):
     sma = lambda x, key: validate.sma_grid(x, key, (3, 5), (8, 12))
     got = {r.param_id: r.tier for r in orchestrate.tiers(b, ["instrument"], sma, validate.grid(spark, fast=(3, 5), slow=(8, 12)), ["fast", "slow"], 400, 200, iterations=50).collect()}
     assert set(got) == {0, 1, 2, 3} and max(got.values()) == 4
-    w = orchestrate.weigh(spark.createDataFrame([(8.0, 4), (8.0, 1), (-3.0, 4)], "score double, tier int")).collect()
-    assert [r.weight for r in w] == [8.0, 2.0, 0.0]
+    rows = [("a", 9.0, 2.0, 4), ("a", 30.0, 5.0, 3), ("b", 8.0, None, 1), ("b", 50.0, None, 0), ("c", 4.0, -3.0, 3), ("d", -1.0, None, 0), ("e", 7.0, None, 3)]
+    w = {r.i: (r.grid_size, r.tier1, r.tier3, r.tier4, r.tier, r.base, r.weight) for r in orchestrate.weigh(spark.createDataFrame(rows, "i string, return_pct double, low double, tier int"), ["i"]).collect()}
+    assert w["a"] == (2, 2, 2, 1, 4, 5.0, 5.0)  # the best bound of a finalist, though another one passed the last gate
+    assert w["b"] == (2, 1, 0, 0, 1, 8.0, 2.0) and w["c"] == (1, 1, 1, 0, 3, -3.0, 0.0)
+    assert w["d"] == (1, 0, 0, 0, 0, None, 0.0) and w["e"] == (1, 1, 1, 0, 3, None, 0.0)
 
 
 def test_runs_table(spark, tmp_path):
@@ -114,6 +117,42 @@ def test_replay_and_sweep(spark):
     assert got == {("wave", "with"): ("PASS", ""), ("wave", "against"): ("FAIL", "return"), ("flat", "with"): ("FAIL", "trades"), ("flat", "against"): ("FAIL", "trades")}
     sma = (lambda x, key: validate.sma_grid(x, key, (3,), (8, 12)), validate.grid(spark, fast=(3,), slow=(8, 12)), ["fast", "slow"])
     bands = (lambda x, key: validate.strategy_grid(x, key, signals.bollinger_reversal, n=(10,), width=(1.0, 2.0)), validate.grid(spark, n=(10,), width=(1.0, 2.0)), ["n", "width"])
-    w = orchestrate.sweep(b.where("instrument = 'wave'"), ["instrument"], {"sma": sma, "bollinger": bands}, 400, 200, iterations=30).collect()
-    assert {(r.strategy, r.param_id) for r in w} == {(s, i) for s in ("sma", "bollinger") for i in (0, 1)}
-    assert all(r.weight == max(r.score, 0) * orchestrate.TIER_MULTIPLIER[r.tier] for r in w) and max(r.tier for r in w if r.strategy == "sma") == 4
+    w = {r.strategy: r for r in orchestrate.sweep(b.where("instrument = 'wave'"), ["instrument"], {"sma": sma, "bollinger": bands}, 400, 200, iterations=30, notional=5_000.0).collect()}
+    assert set(w) == {"sma", "bollinger"} and w["sma"].grid_size == w["bollinger"].grid_size == 2
+    assert w["sma"].tier == 4 and w["sma"].weight == w["sma"].base > 0 and all(r.weight == max(r.base or 0, 0) * orchestrate.TIER_MULTIPLIER[r.tier] for r in w.values())
+
+
+def test_units_by_notional(spark):
+    from barwright.operators import backtest, signals
+
+    rows = [(k, T0 + dt.timedelta(hours=i), p * (10 + math.sin(i / 3))) for k, p in (("cheap", 1.0), ("dear", 100.0)) for i in range(200)]
+    b = spark.createDataFrame([(k, t, v, v, v) for k, t, v in rows], "instrument string, ts timestamp_ntz, mid double, bid_close double, ask_close double")
+    s = signals.sma_cross(b, 3, 8, ["instrument"]).join(backtest.sized(b, ["instrument"], 2_000.0), "instrument")
+    t = {(r.instrument, r.trade_no): (r.units, r.pnl) for r in backtest.trades(s, ["instrument"], units="units").collect()}
+    assert {round(u, 9) for (k, _), (u, _) in t.items() if k == "cheap"} == {200.0} and {round(u, 9) for (k, _), (u, _) in t.items() if k == "dear"} == {2.0}
+    assert all(math.isclose(p, t["dear", n][1], rel_tol=1e-9) for (k, n), (_, p) in t.items() if k == "cheap")
+    e = backtest.equity_curve(s, ["instrument"], units="units").groupBy("instrument").agg(F.max_by("equity", "ts").alias("e")).collect()
+    assert math.isclose(e[0].e, e[1].e, rel_tol=1e-12)
+
+
+def test_month_windows(spark):
+    """Windows before and after a training span against a loop; a begin on the 31st stays cut once it was cut."""
+    from barwright.functions.timepolicy import add_months
+
+    spans = {"a": (dt.datetime(2020, 1, 31, 5), dt.datetime(2023, 3, 3)), "late": (dt.datetime(2022, 8, 1), dt.datetime(2022, 9, 15)), "inside": (dt.datetime(2021, 7, 2), dt.datetime(2021, 9, 1)), "pre": (dt.datetime(2021, 1, 1), dt.datetime(2021, 6, 20))}
+    b = spark.createDataFrame([(k, t) for k, v in spans.items() for t in v], "instrument string, ts timestamp_ntz")
+    first, last = dt.datetime(2021, 7, 1), dt.datetime(2021, 12, 31, 23, 59, 59)
+    second, want = dt.timedelta(seconds=1), []
+    for k, (low, high) in spans.items():
+        sides = [("pre_", low, min(first, high))] * (low < first) + [("post_", max(last + second, low), high)] * (high > last + second)
+        for name, a, e in sides:
+            n = 0
+            while a < e:
+                after = add_months(a, 4)
+                stop = min(after - second, e)
+                want += [(k, f"{name}{n}", a, stop)] * ((stop - a).days >= 30)
+                a, n = after, n + 1
+    w = orchestrate.month_windows(b, ["instrument"], 4, (first, last))
+    assert sorted(map(tuple, w.collect())) == sorted(want)
+    got = orchestrate.in_windows(b, w, ["instrument"]).groupBy("instrument").count().collect()
+    assert {r["instrument"]: r["count"] for r in got} == {"a": 2, "late": 2, "pre": 2}
