@@ -28,7 +28,7 @@ from .common import join_groups, store, table
 #: Where the vocabularies lie; parameters of align().
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Units that a task remembers, and the longest of them; characters and rows that it takes at once.
-CACHE_UNITS, CACHE_LENGTH, CHUNK_CHARS, CHUNK_ROWS = 100_000, 64, 1_000_000, 500
+CACHE_UNITS, CACHE_LENGTH, CHUNK_CHARS, CHUNK_ROWS = 60_000, 64, 250_000, 200
 #: Pairs of linked tokens whose counts travel to all tasks (some 60 MB); vocabularies that can have more are joined by shuffle.
 MAX_PAIRS = 4_000_000
 
