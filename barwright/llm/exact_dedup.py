@@ -2,8 +2,9 @@
 
 Each task fills a memtable and flushes it twice: the log has an entry for every row, the run one entry for each digest, with
 the row that stays so far and the number of rows, sorted by digest. Compaction merges the runs by ranges of digests, each in
-order: of a digest the row with the most characters, then the smallest identifier stays. The files of the compacted level
-have disjoint ranges, so that lookups of later batches read the files whose range has one of their digests and no others.
+order: of a digest the row with the most characters, then the smallest identifier stays. For lookups of later batches the
+compacted level is laid out in folders by the leading bits of the digest, which are ranges of equal size: a digest names its
+folder by itself, and no other folder is read.
 Texts whose digest hits a group of two or more, found with a Bloom filter over the compacted index, are compared byte by byte
 with the text that stays.
 """
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bloom, keep_rows, store, table, without_space
@@ -84,22 +85,31 @@ def compact(level0: DataFrame) -> DataFrame:
     return store(merged.sortWithinPartitions("digest"), "lsm-level1", **_bloom_options(1 << 16))
 
 
-def hit_files(index: DataFrame, digests: DataFrame) -> list[str]:
-    """The files of a compacted index whose range has one of digests (digest). The driver gets the names of files, not keys."""
-    ranges = index.groupBy(F.input_file_name().alias("file")).agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
-    hit = ranges.join(digests.select("digest").distinct(), F.col("digest").between(F.col("low"), F.col("high")), "left_semi")
-    return [r["file"] for r in hit.select("file").collect()]
+def _part(digest: Column, bits: int) -> Column:
+    """The leading bits of a digest as a number."""
+    return F.shiftright(F.conv(F.hex(F.substring(digest, 1, 2)), 16, 10).cast("int"), 16 - bits).alias("part")
 
 
-def lookup(index: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
-    """The rows of docs whose text is in a compacted index, with the identifier that stays there: for batches that arrive later.
+def publish(index: DataFrame, rows_per_part: int = 1 << 22, most_bits: int = 12) -> tuple[DataFrame, int]:
+    """(the compacted index in folders by part, bits of a digest that name its part): one pass when an index is made, none when it is used."""
+    n = index.count()
+    bits = min(most_bits, max(0, (n - 1) // rows_per_part).bit_length())
+    rows = index.select("digest", "keep_id", _part(F.col("digest"), bits))
+    rows = rows.repartitionByRange("part", "digest").sortWithinPartitions("part", "digest")  # a part may be several files, each of a range
+    return store(rows, "lsm-published", by=["part"], **_bloom_options(1 << 16)), bits
 
-    Only the index files whose range has a digest of the batch are read. An empty batch or index gives no rows.
+
+def lookup(published: DataFrame, bits: int, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
+    """The rows of docs whose text is in a published index, with the identifier that stays there: for batches that arrive later.
+
+    Only the parts that the batch's digests name are read; the driver gets the parts' numbers, 2^12 at most. Null text is
+    empty. An empty batch or index gives no rows.
     """
-    batch = store(docs.select(F.col(id_col), _digest(F.col(text_col), digest_bytes).alias("digest")), "lsm-batch")
-    files = hit_files(index, batch)
-    found = docs.sparkSession.read.schema(index.schema).parquet(*files) if files else index.limit(0)
-    return batch.join(found.select("digest", "keep_id"), "digest").select(F.col(id_col), "keep_id")
+    batch = docs.select(F.col(id_col), _digest(F.col(text_col), digest_bytes).alias("digest"))
+    batch = store(batch.select("*", _part(F.col("digest"), bits)), "lsm-batch")
+    parts = [r["part"] for r in batch.select("part").distinct().collect()]
+    found = published.where(F.col("part").isin(parts))
+    return batch.join(found, ["part", "digest"]).select(F.col(id_col), "keep_id")
 
 
 def _verified(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, digest_bytes: int) -> DataFrame | None:

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -72,9 +73,14 @@ def test_runs_and_ranges(spark):
 def test_lookup(spark):
     old = spark.createDataFrame([(1, "a b", "", 0), (2, "c", "", 0), *((100 + i, f"t{i}", "", 0) for i in range(500))], SCHEMA)
     new = spark.createDataFrame([(11, "ab", "", 0), (12, "d", "", 0), (13, "a  b", "", 0)], SCHEMA)
-    index = m.store(m.compact(m.flush_runs(old)).repartitionByRange(8, "digest").sortWithinPartitions("digest"), "level1")
-    found = m.lookup(index, new)
+    published, bits = m.publish(m.compact(m.flush_runs(old)), rows_per_part=40)
+    assert bits == 4 and published.select("part").distinct().count() == 16
+    found = m.lookup(published, bits, new)
     assert sorted(tuple(r) for r in found.collect()) == [(11, 1), (13, 1)]
-    read = m.hit_files(index, new.select(m._digest(new.text, 32).alias("digest")))
-    assert len(index.inputFiles()) == 8 and 1 <= len(read) <= 2  # of eight runs those that may have one of two digests
-    assert m.lookup(index, new.limit(0)).count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    named = {r.part for r in new.select(m._part(m._digest(new.text, 32), bits)).collect()}
+    listed = re.search(r"PartitionFilters: \[part#\d+ IN \(([\d,]+)\)", plan)
+    assert {int(x) for x in listed[1].split(",")} == named and len(named) == 2  # of 16 parts those of two digests, and no others
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert m.lookup(published, bits, new.limit(0)).count() == 0
+    assert m.lookup(*m.publish(m.compact(m.flush_runs(old.limit(0)))), new).count() == 0
