@@ -41,12 +41,29 @@ RATE = 0.01
 #: Replicas whose weights one task adds up.
 FAN_IN = 16
 #: Distinct words that a task counts before it hands them on.
-COUNT_WORDS = 300_000
+COUNT_WORDS = 150_000
 END = b""
 
 
-#: Texts that are split into words at once.
-CHUNK_ROWS = 500
+#: Texts that are split into words at once, and bytes of them (or one text that is longer).
+CHUNK_ROWS, CHUNK_BYTES = 500, 1_000_000
+
+
+def _chunks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of CHUNK_ROWS rows at most, cut before they have over CHUNK_BYTES of text; kernels make several copies of a slice."""
+    size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype("int64")
+    ends, at = np.cumsum(size), 0
+    while at < b.num_rows:
+        most = ends[at] - size[at] + CHUNK_BYTES
+        stop = min(at + CHUNK_ROWS, max(at + 1, int(np.searchsorted(ends, most, "right"))))
+        yield b.slice(at, stop - at)
+        at = stop
+
+
+def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; Arrow's free memory goes back when they have ended, as the worker lives on through later stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -90,9 +107,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
         return iter(t.cast(pa.schema([("token", pa.binary()), ("c", pa.int64())])).to_batches())
 
-    for b in batches:
-        for at in range(0, b.num_rows, CHUNK_ROWS):
-            texts = b.column("text").slice(at, CHUNK_ROWS)
+    for b in _released(batches):
+        for part in _chunks(b):
+            texts = part.column("text")
             c = pc.value_counts(words_of(texts)[0])
             held.append(pa.table([c.field("values"), c.field("counts")], schema=schema))
             ends, rows = ends + len(texts), rows + len(c)
@@ -538,9 +555,8 @@ ENCODED = "doc_id long, tag long, held_out boolean, seq long, turn int, n_tokens
 def _encode(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Encoder(sent.value)
-        for b in batches:
-            for at in range(0, b.num_rows, CHUNK_ROWS):
-                part = b.slice(at, CHUNK_ROWS)
+        for b in _released(batches):
+            for part in _chunks(b):
                 symbols, known, base, more, rare = code.encode(part.column("text"))
                 made = [pa.array(list(map(len, symbols)), pa.int64()), pa.array(known), pa.array(base), pa.array(more), pa.array([x.tobytes() for x in symbols], pa.binary()), rare.cast(pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [x.split()[0] for x in ENCODED.split(", ")])
@@ -560,9 +576,9 @@ def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
 
 def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
     n = 0
-    for b in batches:
+    for b in _released(batches):
         for x in b.column("symbols"):
-            yield n, np.frombuffer(x.as_buffer(), "uint16")
+            yield n, np.frombuffer(x.as_buffer(), "uint16").copy()  # a view would keep the whole batch as long as a stream runs through it
             n += 1
 
 
@@ -638,10 +654,10 @@ def _score(weights):
 
         def documents():
             n = 0
-            for b in batches:
+            for b in _released(batches):
                 for *row, x in zip(*(b.column(c).to_pylist() for c in names), b.column("symbols")):
                     facts[n] = tuple(row)
-                    yield n, np.frombuffer(x.as_buffer(), "uint16")
+                    yield n, np.frombuffer(x.as_buffer(), "uint16").copy()
                     n += 1
 
         done: list[tuple] = []
