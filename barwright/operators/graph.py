@@ -204,41 +204,41 @@ def negative_cycles(quotes: DataFrame, most: int = 10, eps: float = 1e-12, requi
     return quotes.select("ts", "a", "b", "bid", "ask").groupBy("ts").applyInPandas(bar, "ts timestamp_ntz, cycle string, gain_bps double")
 
 
-def fundamental_cycles(edges: Sequence[tuple[str, str]]) -> list[list[tuple[int, int]]]:
-    """A cycle basis of a topology given on the driver: for each edge outside a breadth-first forest, the cycle it closes, as (edge, direction)."""
-    near: dict[str, list[tuple[int, str, int]]] = {}
-    for i, (a, b) in enumerate(edges):
-        near.setdefault(a, []).append((i, b, 1))
-        near.setdefault(b, []).append((i, a, -1))
-    up: dict[str, tuple[int, str, int] | None] = {}
-    tree = set()
-    for root in sorted(near):
-        if root in up:
-            continue
-        up[root], queue = None, [root]
-        for x in queue:
-            for i, y, d in near[x]:
-                if y not in up:
-                    up[y] = (i, x, d)
-                    tree.add(i)
-                    queue.append(y)
-
-    def ancestry(x: str) -> list[str]:
-        out = [x]
-        while up[out[-1]]:
-            out.append(up[out[-1]][1])
-        return out
-
-    cycles = []
-    for i, (a, b) in enumerate(edges):
-        if i in tree:
-            continue
-        pa, pb = ancestry(a), ancestry(b)
-        meet = next(x for x in pb if x in set(pa))
-        legs = [(i, 1)]
-        for x in pb[: pb.index(meet)]:  # from b up to where both meet
-            legs.append((up[x][0], -up[x][2]))
-        for x in reversed(pa[: pa.index(meet)]):  # and down to a
-            legs.append((up[x][0], up[x][2]))
-        cycles.append(legs)
-    return cycles
+def forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root, depth, way (array<struct<edge, d, node>> from the root on) of a breadth-first forest: roots are the least nodes of components, and of several arcs to a node the one of the least edge is taken.
+
+    A round a level of depth, each a join of the level's nodes with the arcs; edges (edge, a, b) are a topology.
+    """
+    checkpoints(nodes.sparkSession)
+    step = arcs(edges).checkpoint()
+    kind = dict(step.dtypes)["edge"]
+    start = components(nodes, edges.select("a", "b")).where("node = component")
+    level = start.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array().cast(f"array<struct<edge:{kind},d:int,node:string>>").alias("way")).checkpoint()
+    seen = level
+    while not level.isEmpty():
+        new = level.join(step, F.col("node") == F.col("tail")).join(seen.select(F.col("node").alias("known")), F.col("head") == F.col("known"), "left_anti")
+        first = new.groupBy("head").agg(F.min(F.struct("edge", "d", "node", "root", "depth", "way")).alias("x"))
+        way = F.concat("x.way", F.array(F.struct(F.col("x.edge").alias("edge"), F.col("x.d").alias("d"), F.col("head").alias("node"))))
+        level = first.select(F.col("head").alias("node"), "x.root", (F.col("x.depth") + 1).alias("depth"), way.alias("way")).checkpoint()
+        seen = seen.unionByName(level).checkpoint()
+    return seen
+
+
+def cycle_basis(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """root, edge, legs (array<struct<edge, d>>): for each edge outside the forest the cycle that it closes with the ways to its ends, E - N + C in all.
+
+    The walk goes along the edge from a to b, up from b to where both ways part, and down to a. Loops are left out;
+    parallel edges close cycles of two legs. Nothing is gathered on the driver.
+    """
+    f = forest(nodes, edges)
+    tree = f.where("depth > 0").select(F.element_at("way", -1)["edge"].alias("in_tree"))
+    rest = edges.where("a <> b").join(tree, F.col("edge") == F.col("in_tree"), "left_anti")
+    end = lambda c: f.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("way").alias(f"way_{c}"))
+    x = rest.select("edge", "a", "b").join(end("a"), "a").join(end("b"), "b")
+    same = F.zip_with("way_a", "way_b", lambda p, q: F.coalesce(p["edge"] == q["edge"], F.lit(False)))
+    x = x.withColumn("shared", F.coalesce(F.array_position(same, F.lit(False)).cast("int") - 1, F.lit(0)))
+    x = x.withColumn("shared", F.when(F.col("shared") < 0, F.size(same)).otherwise(F.col("shared")))
+    own = lambda c: F.slice(f"way_{c}", F.col("shared") + 1, F.size(f"way_{c}"))
+    up = F.transform(F.reverse(own("b")), lambda s: F.struct(s["edge"].alias("edge"), (-s["d"]).alias("d")))
+    down = F.transform(own("a"), lambda s: F.struct(s["edge"].alias("edge"), s["d"].alias("d")))
+    return x.select(F.col("root_a").alias("root"), "edge", F.concat(F.array(F.struct(F.col("edge").alias("edge"), F.lit(1).alias("d"))), up, down).alias("legs"))

@@ -100,6 +100,64 @@ def classes(walks: DataFrame, edges: DataFrame) -> DataFrame:
     return g.select("cycle", "legs", kind.alias("class"), F.array_join(F.transform("named", lambda s: s["name"]), " ").alias("label"))
 
 
+def topology(instruments: DataFrame, venues: DataFrame, proxies: DataFrame, fx_venue: str = "fx", other_venue: str = "other") -> DataFrame:
+    """edge, kind, base, quote, venue, venue_b, instrument of instrument names (instrument): what there is to walk along, without prices.
+
+    Names with / are crypto pairs on the venue of their quote (venues: quote, venue; other_venue without one), others FX pairs
+    on fx_venue. proxies (proxy, usd): a BASIS edge for each proxy that a crypto pair is quoted in. Names that don't split
+    in two go. Edges are numbered by kind and name; the three tables are lists of names, not bars.
+    """
+    names = instruments.select("instrument", split_pair(F.col("instrument")).alias("p"), is_crypto(F.col("instrument")).alias("crypto")).where("p IS NOT NULL").distinct()
+    names = names.select("instrument", "crypto", "p.base", "p.quote").join(venues.select(F.col("quote").alias("q"), F.col("venue").alias("v")), F.col("quote") == F.col("q"), "left")
+    quoted = names.select(F.lit("QUOTED").alias("kind"), "base", "quote", F.when(F.col("crypto"), F.coalesce("v", F.lit(other_venue))).otherwise(fx_venue).alias("venue"), F.lit(None).cast("string").alias("venue_b"), "instrument")
+    used = proxies.join(names.where("crypto").select("quote", "v").distinct(), F.col("proxy") == F.col("quote"))
+    alias = used.select(F.lit("BASIS").alias("kind"), F.col("proxy").alias("base"), F.col("usd").alias("quote"), F.coalesce("v", F.lit(other_venue)).alias("venue"), F.lit(fx_venue).alias("venue_b"), F.concat_ws("~", "proxy", "usd").alias("instrument"))
+    number = F.row_number().over(Window.orderBy("kind", "instrument"))  # a row an instrument
+    return quoted.unionByName(alias).withColumn("edge", number)
+
+
+def canonical_walks(cycles: DataFrame, edges: DataFrame) -> DataFrame:
+    """cycle, class, path, label, key of cycles (cycle, legs: array<struct<edge, d>>), turned and begun as their class says.
+
+    Triangles walk their sorted assets; a basis cycle of the shape proxy, X, other, usd, with one alias leg, two crypto legs
+    of one base X and one FX leg, walks so, labelled 'X via proxy/other: ...'; other basis cycles keep their direction,
+    labelled 'basis: ...', and have no path; so do crypto_only and fx_other ones, plainly labelled. A leg is + where it is
+    walked from base to quote; the alias leg isn't named. key sorts the cycles of a class. Legs of a cycle are an array of
+    MAX_LENGTH entries at most, so that every step is a function of one row.
+    """
+    x = cycles.select("cycle", F.posexplode("legs").alias("at", "leg")).select("cycle", "at", "leg.edge", "leg.d").join(edges.select("edge", "kind", "base", "quote", "instrument"), "edge")
+    row = F.struct("at", "d", "kind", "base", "quote", "instrument", is_crypto(F.col("instrument")).alias("crypto"))
+    x = x.groupBy("cycle").agg(F.array_sort(F.collect_list(row)).alias("legs"))
+    of = lambda test: F.filter("legs", test)
+    quoted = lambda e: e["kind"] == "QUOTED"
+    x = x.withColumns({"alias": of(lambda e: e["kind"] == "BASIS"), "coins": of(lambda e: quoted(e) & e["crypto"]), "fx": of(lambda e: quoted(e) & ~e["crypto"]), "nodes": F.array_sort(F.array_distinct(F.flatten(F.transform("legs", lambda e: F.array(e["base"], e["quote"])))))})
+    kind = F.when(F.size("alias") > 0, "basis").when((F.size("coins") == 0) & (F.size("legs") == 3), "triangle").when(F.size("coins") > 0, "crypto_only").otherwise("fx_other")
+    one = lambda c, i=0: F.get(c, F.lit(i))
+    proxy, usd = one("alias")["base"], one("alias")["quote"]
+    other = one(F.filter(F.transform("coins", lambda e: e["quote"]), lambda q: q != proxy))
+    both = lambda a, b: F.array_sort(F.array(a, b))
+    shape = (F.size("legs") == 4) & (F.size("alias") == 1) & (F.size("coins") == 2) & (F.size("fx") == 1) & (one("coins")["base"] == one("coins", 1)["base"])
+    shape = shape & (both(one("coins")["quote"], one("coins", 1)["quote"]) == both(proxy, other)) & (both(one("fx")["base"], one("fx")["quote"]) == both(other, usd))
+    x = x.withColumn("class", kind)
+    x = x.withColumn("path", F.when(F.col("class") == "triangle", F.col("nodes")).when((F.col("class") == "basis") & F.coalesce(shape, F.lit(False)), F.array(proxy, one("coins")["base"], other, usd)))
+    named = lambda e, up: F.concat(F.when(up, "+").otherwise("-"), e["instrument"])
+
+    def step(y: Column, i: Column) -> Column:
+        """The leg from the asset before y to y, '' for the alias: of each pair of neighbours on the path there is one."""
+        before = F.element_at("path", F.when(i == 0, F.size("path")).otherwise(i))
+        hit = one(F.filter("legs", lambda e: both(e["base"], e["quote"]) == both(before, y)))
+        return F.when(quoted(hit), named(hit, hit["base"] == before)).otherwise("")
+
+    # the step into the first asset closes the walk, so it comes last
+    steps = F.transform("path", step)
+    walked = F.filter(F.concat(F.slice(steps, 2, F.size("path")), F.slice(steps, 1, 1)), lambda t: t != "")
+    kept = F.transform(of(quoted), lambda e: named(e, e["d"] > 0))
+    legs = F.array_join(F.when(F.col("path").isNotNull(), walked).otherwise(kept), " ")
+    label = F.when((F.col("class") == "basis") & F.col("path").isNotNull(), F.concat(one("path", 1), F.lit(" via "), one("path"), F.lit("/"), one("path", 2), F.lit(": "), legs)).when(F.col("class") == "basis", F.concat(F.lit("basis: "), legs)).otherwise(legs)
+    key = F.when(F.col("class") == "triangle", F.col("nodes")).when((F.col("class") == "basis") & F.col("path").isNotNull(), F.array(one("path", 1), one("path"), one("path", 2))).when(F.col("class") == "basis", F.concat(F.array(F.lit("~")), F.col("nodes"))).otherwise(F.array_sort(F.transform(of(quoted), lambda e: e["instrument"])))
+    return x.select("cycle", "class", "path", label.alias("label"), F.array_join(key, " ").alias("key"))
+
+
 def legs_of_label(label: Column) -> Column:
     """array<struct<instrument, d>> of '+A -B', a prefix up to ': ' left out; null where a leg has no sign or a name comes twice."""
     body = F.regexp_replace(label, r"^.*?: ", "")

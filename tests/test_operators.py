@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barwright.operators import audit, backtest, correlate, graph, indicators, metrics, resample, runlevel, strengths, validate
+from barwright.operators import audit, backtest, correlate, graph, indicators, market, metrics, resample, runlevel, strengths, validate
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -254,14 +254,6 @@ def test_cycles_of_k5(spark):
     assert n == {3: 10, 4: 15, 5: 12}
     two = spark.createDataFrame([(0, "A", "B"), (1, "A", "B"), (2, "A", "A")], "edge int, a string, b string")
     assert graph.simple_cycles(two, 3, least=2).count() == 1
-    basis = graph.fundamental_cycles(list(itertools.combinations("ABCDE", 2)))
-    edges = list(itertools.combinations("ABCDE", 2))
-    assert len(basis) == 10 - 5 + 1
-    for c in basis:
-        at = {}
-        for i, d in c:
-            at[edges[i][0]], at[edges[i][1]] = at.get(edges[i][0], 0) + d, at.get(edges[i][1], 0) - d
-        assert not any(at.values())
 
 
 def test_negative_cycles_have_gains(spark):
@@ -427,3 +419,36 @@ def test_run_log(spark, tmp_path):
     m = {r.run_id: (r.status, r["items"], r.total_s) for r in audit.merge_log(log).collect()}
     assert m == {"r": ("ok", 1, 2.0), "q": ("unfinished", 0, None)}
     assert audit.unseen(log.where("run_id IS NOT NULL"), log.where("seq = 0")).count() == 3
+
+
+def test_cycle_basis(spark):
+    """E - N + C closed walks that are independent: each has an edge of its own. Two components, parallel edges, a loop, a lone node."""
+    pairs = [*itertools.combinations("ABCDE", 2), ("A", "B"), ("A", "A"), *itertools.pairwise("PQRSTUVWP"), ("P", "T")]
+    e = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "edge int, a string, b string")
+    nodes = spark.createDataFrame([(c,) for c in "ABCDEPQRSTUVWZ"], "node string")
+    basis = graph.cycle_basis(nodes, e).collect()
+    assert len(basis) == (len(pairs) - 1) - 14 + 3 and {r.root for r in basis} == {"A", "P"}
+    own = [r.edge for r in basis]
+    for r in basis:
+        walk = [pairs[x.edge] if x.d > 0 else pairs[x.edge][::-1] for x in r.legs]
+        assert all(p[1] == q[0] for p, q in zip(walk, walk[1:] + walk[:1])) and len({x.edge for x in r.legs}) == len(r.legs)
+        assert sum(x.edge in own for x in r.legs) == 1  # its own; all others are of the forest
+    depth = {r.node: (r.root, r.depth, len(r.way)) for r in graph.forest(nodes, e).collect()}
+    assert depth["S"] == ("P", 2, 2) and depth["Z"] == ("Z", 0, 0) and len(depth) == 14  # S by way of T, which the chord joins with P
+
+
+def test_canonical_walks(spark):
+    names = ["GBP_USD", "EUR_USD", "EUR_GBP", "LTC/USDT", "LTC/GBP", "BTC/USDT", "BTC/EUR", "LTC/BTC", "bad", "x_y_z"]
+    inst = spark.createDataFrame([(n,) for n in names], "instrument string")
+    venues = spark.createDataFrame([("USDT", "one"), ("GBP", "two")], "quote string, venue string")
+    edges = market.topology(inst, venues, spark.createDataFrame([("USDT", "USD"), ("USDC", "USD")], "proxy string, usd string"))
+    got = {r.instrument: (r.kind, r.base, r.quote, r.venue, r.venue_b) for r in edges.collect()}
+    assert len(got) == 9 and got["USDT~USD"] == ("BASIS", "USDT", "USD", "one", "fx") and got["LTC/GBP"][3] == "two" and got["BTC/EUR"][3] == "other" and got["GBP_USD"][3:] == ("fx", None)
+    cycles = graph.simple_cycles(edges.select("edge", F.col("base").alias("a"), F.col("quote").alias("b")), 5)
+    w = market.canonical_walks(cycles, edges).collect()
+    by = lambda c: {r.label for r in w if r["class"] == c and (r.path is not None or c not in ("basis", "triangle"))}
+    assert by("triangle") == {"+EUR_GBP +GBP_USD -EUR_USD"}
+    assert by("basis") == {"LTC via USDT/GBP: -LTC/USDT +LTC/GBP +GBP_USD", "BTC via USDT/EUR: -BTC/USDT +BTC/EUR +EUR_USD"}
+    other = [r for r in w if r["class"] == "basis" and r.path is None]
+    assert other and all(r.label.startswith("basis: ") and "~" not in r.label and r.key.startswith("~ ") for r in other)
+    assert any("LTC/BTC" in x for x in by("crypto_only")) and not by("fx_other")
