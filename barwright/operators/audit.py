@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import tier
+from .market import legs_of_label
 
 
 def cycle_summary(numbers: DataFrame) -> DataFrame:
@@ -54,6 +55,51 @@ def compare_reports(golden: DataFrame, fresh: DataFrame, tolerance: float = 1e-9
     return j.select("path", kind.alias("kind"), text("gn", "gt").alias("golden"), text("fn", "ft").alias("fresh")).where("kind IS NOT NULL")
 
 
+def match_cycles(golden: DataFrame, fresh: DataFrame, fields: Sequence[str], signed: Sequence[str] = ("signed_mean",), tolerance: float = 1e-9, unit: float = 1e-4) -> DataFrame:
+    """section, cycle, kind, why: how the cycles of two reports differ. Reports: section, pos (place in the list), cycle (label '+A -B'), fields (numbers).
+
+    Cycles are matched by the set of their instruments, whatever their direction. FAIL: a label that can't be read, a second
+    cycle of the same set on one side, one that the other side lacks, shared legs that disagree in direction, and numbers
+    apart; FLIP: numbers apart by a rounding unit; INFO: another label, another order of the matched cycles. Signed fields
+    of a reversed cycle are compared with their sign turned. A set is a key of sorted names, so that the join is by equality.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        x = df.withColumn("legs", legs_of_label(F.col("cycle")))
+        names = F.array_sort(F.transform("legs", lambda e: e["instrument"]))
+        x = x.withColumns({"key": F.array_join(names, " "), "way": F.map_from_entries("legs")})
+        again = F.row_number().over(Window.partitionBy("section", "key").orderBy("pos"))
+        return x.withColumn("again", again).select("section", *[F.col(c).alias(f"{name}_{c}") for c in ("pos", "cycle", "legs", "way", "again", *fields)], F.col("key").alias("key"))
+
+    g, f = side(golden, "g"), side(fresh, "f")
+    said = lambda df, cycle, kind, why: df.select("section", F.col(cycle).alias("cycle"), F.lit(kind).alias("kind"), F.lit(why).alias("why"))
+    out = []
+    for df, n, name in ((g, "g", "golden"), (f, "f", "fresh")):
+        out.append(said(df.where(f"{n}_legs IS NULL"), f"{n}_cycle", "FAIL", f"unparseable cycle in {name}"))
+        out.append(said(df.where(f"{n}_legs IS NOT NULL AND {n}_again > 1"), f"{n}_cycle", "FAIL", f"duplicate cycle in {name}"))
+    once = lambda df, n: df.where(f"{n}_legs IS NOT NULL AND {n}_again = 1")
+    j = once(g, "g").join(once(f, "f"), ["section", "key"], "full_outer")
+    out.append(said(j.where("f_cycle IS NULL"), "g_cycle", "FAIL", "missing from fresh"))
+    out.append(said(j.where("g_cycle IS NULL"), "f_cycle", "FAIL", "not in golden"))
+    both = j.where("g_cycle IS NOT NULL AND f_cycle IS NOT NULL")
+    ways = F.array_distinct(F.transform(F.map_keys("g_way"), lambda k: F.element_at("g_way", k) * F.element_at("f_way", k)))
+    both = both.withColumn("sign", F.when(F.size(ways) == 1, F.get(ways, F.lit(0))))
+    out.append(said(both.where("sign IS NULL"), "g_cycle", "FAIL", "shared legs disagree in direction"))
+    ok = both.where("sign IS NOT NULL")
+    out.append(said(ok.where("g_cycle <> f_cycle"), "g_cycle", "INFO", "label differs"))
+    place = lambda c: F.row_number().over(Window.partitionBy("section").orderBy(c))  # noqa: E731  a report's cycles
+    moved = both.select("section", (place("g_pos") != place("f_pos")).alias("moved")).groupBy("section").agg(F.bool_or("moved").alias("moved")).where("moved")
+    out.append(moved.select("section", F.lit(None).cast("string").alias("cycle"), F.lit("INFO").alias("kind"), F.lit("order differs").alias("why")))
+    number = lambda n, c: (F.col(f"{n}_{c}") * (F.col("sign") if n == "f" and c in signed else 1)).cast("double")
+    entries = lambda n: ok.select(F.explode(F.array(*[F.struct(F.to_json(F.array("section", "g_cycle", F.lit(c))).alias("path"), number(n, c).alias("number"), F.lit(None).cast("string").alias("text")) for c in fields])).alias("e")).select("e.*")
+    apart = compare_reports(entries("g"), entries("f"), tolerance, unit).withColumn("p", F.from_json("path", "array<string>"))
+    out.append(apart.select(F.col("p")[0].alias("section"), F.col("p")[1].alias("cycle"), "kind", F.concat(F.col("p")[2], F.lit(" differs")).alias("why")))
+    all_ = out[0]
+    for x in out[1:]:
+        all_ = all_.unionByName(x)
+    return all_
+
+
 LOG_SCHEMA = "record_type string, run_id string, seq long, ts timestamp_ntz, label string, seconds double, status string, note string, _corrupt string"
 
 

@@ -6,7 +6,7 @@ A bar's pairs (some tens) are gathered into one row; batches of such rows are so
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -224,6 +224,113 @@ def huber(quotes: DataFrame, k: float = 1.345, scheme: str = "unweighted", scale
     return _bars(quotes, ("ts",)).mapInPandas(run, "ts timestamp_ntz, kind string, a string, b string, value double, psi double, iterations int, converged boolean")
 
 
+#: Tuning constants and scales of the Huber fits of a method grid.
+HUBER_KS, HUBER_SCALES = (1.0, 1.345, 2.0, 3.0), ("spread", "mad")
+
+
+def method_names(schemes: Sequence[str] = SCHEMES, ks: Sequence[float] = HUBER_KS, scales: Sequence[str] = HUBER_SCALES) -> list[tuple[str, str, float, str]]:
+    """(name, scheme, k, scale): least squares once a scheme, and Huber for every k and scale."""
+    return [(f"ls|{s}", s, math.inf, "spread") for s in schemes] + [(f"huber{k:g}|{x}|{s}", s, k, x) for s in schemes for k in ks for x in scales]
+
+
+def solve_stack(d: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """solve for many rows of y and w over one topology d (pairs x nodes): (strengths, residuals, hat values, whether the graph hangs together)."""
+    n = d.shape[1]
+    m = np.einsum("pi,kp,pj->kij", d, w, d, optimize=True)
+    ok = np.linalg.matrix_rank(m, tol=1e-9 * np.maximum(1.0, np.abs(m).max((1, 2)))) >= n - 1
+    inv = np.linalg.inv(np.where(ok[:, None, None], m, np.eye(n)) + 1.0 / n)
+    c = np.einsum("kij,kj->ki", inv, (w * y) @ d)
+    c = c + np.einsum("kij,kj->ki", inv, (w * (y - c @ d.T)) @ d)
+    return c - c.mean(1, keepdims=True), y - c @ d.T, w * np.einsum("pi,kij,pj->kp", d, inv, d, optimize=True), ok
+
+
+def _huber_stack(d: np.ndarray, y: np.ndarray, s: np.ndarray, w: np.ndarray, k: np.ndarray, by_mad: np.ndarray, noise_ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(strengths, iterations, converged, fitted at all) of rows of bars and methods; rows that are done leave the stack."""
+    c, e, h, fits = solve_stack(d, y, w)
+    done, its, live = np.isinf(k) | ~fits, np.zeros(len(y), int), np.flatnonzero(fits & ~np.isinf(k))
+    for _ in range(HUBER_ITERATIONS):
+        if not len(live):
+            break
+        its[live] += 1
+        sigma = noise_ratio * s[live]
+        if (mad := by_mad[live]).any():
+            pool = np.where(1 - h[live[mad]] >= BRIDGE_TOL, np.abs(e[live[mad]]), np.nan)
+            none = np.isnan(pool).all(1)
+            pool[none] = 0.0
+            sigma[mad] = np.maximum(1.4826 * np.nanmedian(pool, axis=1), MAD_FLOOR_BPS)[:, None]
+        psi = np.minimum(1.0, k[live, None] * sigma / np.maximum(np.abs(e[live]), 1e-300))
+        new, e_new, h_new, ok = solve_stack(d, y[live], w[live] * psi)
+        go = live[ok]  # of the others the weights are too far apart: what there is hasn't converged
+        done[go] = np.abs(new[ok] - c[go]).max(1) < HUBER_TOL
+        c[go], e[go], h[go] = new[ok], e_new[ok], h_new[ok]
+        live = go[~done[go]]
+    return c, its, done & fits, fits
+
+
+def method_grid(quotes: DataFrame, methods: Sequence[tuple[str, str, float, str]] | None = None, noise_ratio: float = NOISE_RATIO) -> DataFrame:
+    """ts, method, strengths (map of node to strength), iterations, converged: a row for each bar and method whose fit hangs together.
+
+    The bars of an Arrow batch that have the same pairs are one tensor of bars x methods, fitted together in one pass of
+    the data; agrees with fit and huber method by method.
+    """
+    methods = list(methods or method_names())
+    names = [m[0] for m in methods]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            groups: dict[tuple, list] = {}
+            for row in df.itertuples(index=False):
+                groups.setdefault(tuple((o["a"], o["b"]) for o in row.obs), []).append((row.ts, [o["y"] for o in row.obs], [o["s"] for o in row.obs]))
+            out = []
+            for pairs, bars in groups.items():
+                nodes = sorted({x for p in pairs for x in p})
+                no = {x: i for i, x in enumerate(nodes)}
+                d = np.zeros((len(pairs), len(nodes)))
+                for i, (a, b) in enumerate(pairs):
+                    d[i, no[a]], d[i, no[b]] = 1.0, -1.0
+                y, s = np.array([b[1] for b in bars], float), np.array([b[2] for b in bars], float)
+                w = np.stack([np.stack([weights(scheme, x) for x in s]) for _, scheme, _, _ in methods], 1).reshape(-1, len(pairs))
+                each = lambda x: np.repeat(x, len(methods), axis=0)
+                k, mad = (np.tile(np.array(x), len(bars)) for x in ([m[2] for m in methods], [m[3] == "mad" for m in methods]))
+                c, its, done, fits = _huber_stack(d, each(y), each(s), w, k, mad, noise_ratio)
+                for i in np.flatnonzero(fits):
+                    out.append((bars[i // len(methods)][0], names[i % len(methods)], dict(zip(nodes, c[i].tolist())), int(its[i]), bool(done[i])))
+            yield pd.DataFrame(out, columns=["ts", "method", "strengths", "iterations", "converged"])
+
+    return _bars(quotes, ("ts",)).mapInPandas(run, "ts timestamp_ntz, method string, strengths map<string,double>, iterations int, converged boolean")
+
+
+def corrected(quotes: DataFrame, corrections: DataFrame, scheme: str = "unweighted") -> DataFrame:
+    """ts, node, c, c_corrected: strengths as quoted, and after the estimates in corrections (ts, a, b, estimate) are taken off their pairs' ln-mids.
+
+    Only bars with a correction are fitted twice over, and not anew: weights and pairs stay, so the second fit is the kept
+    inverse times what changed. Elsewhere c_corrected is c. Corrections of pairs that a bar hasn't got are ignored.
+    """
+    o = observations(quotes)
+    d = corrections.groupBy("ts", "a", "b").agg(F.sum("estimate").alias("d"))
+    bars = o.join(d, ["ts", "a", "b"], "left").groupBy("ts").agg(F.array_sort(F.collect_list(F.struct("a", "b", "y", "s", F.coalesce("d", F.lit(0.0)).alias("d")))).alias("obs"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for row, names, a, b, y, s in _each(df):
+                w = weights(scheme, s)
+                try:
+                    c, _, _ = solve(len(names), a, b, y, w)
+                except np.linalg.LinAlgError:
+                    continue
+                delta, new = np.array([x["d"] for x in row.obs]), c
+                if delta.any():
+                    m = np.zeros((len(y), len(names)))
+                    m[np.arange(len(y)), a], m[np.arange(len(y)), b] = 1.0, -1.0
+                    new = c - np.linalg.inv(m.T @ (m * w[:, None]) + 1.0 / len(names)) @ (m.T @ (w * delta))
+                    new = new - new.mean()
+                rows += [(row.ts, names[i], float(c[i]), float(new[i])) for i in range(len(names))]
+            yield pd.DataFrame(rows, columns=["ts", "node", "c", "c_corrected"])
+
+    return bars.mapInPandas(run, "ts timestamp_ntz, node string, c double, c_corrected double")
+
+
 def incident_spread(obs: DataFrame) -> DataFrame:
     """ts, node, spread: mean spread of the node's pairs."""
     return obs.select("ts", F.explode(F.array("a", "b")).alias("node"), "s").groupBy("ts", "node").agg(F.avg("s").alias("spread"))

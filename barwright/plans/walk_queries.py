@@ -1,4 +1,4 @@
-"""Queries of walks on the market graph: cycles in canonical direction, a basis of all cycles."""
+"""Queries of the market graph: cycles in canonical direction, a basis of all cycles, two reports' cycles, fits by many methods, corrected fits."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import graph, market
+from ..operators import audit, graph, market, strengths
 from ..sources.views import QUOTES, quotes, table
 
 QUERIES: dict = {}
@@ -69,3 +69,49 @@ def cycle_basis(spark: SparkSession, sf: str) -> DataFrame:
     size = comp.groupBy(F.col("component").alias("root")).agg(F.count(F.lit(1)).alias("nodes"))
     edges = e.join(comp, F.col("a") == F.col("node")).groupBy(F.col("component").alias("root")).agg(F.count(F.lit(1)).alias("edges"))
     return size.join(edges, "root").join(by, "root").select("root", "nodes", "edges", "cycles", "closed")
+
+
+#: A month's triangles as a report: labels as quoted, and in the second one turned, doubled, left out, misread or moved ones.
+_REPORT = f"""{QUOTES}, pr AS (SELECT DISTINCT a, b FROM quotes), y AS (SELECT ts, a, b, ln((bid + ask) / 2) * 10000 AS y FROM quotes), tri AS (SELECT x.a AS p, x.b AS q, z.b AS r FROM pr x JOIN pr z ON x.b = z.a JOIN pr w ON w.a = x.a AND w.b = z.b),
+ nu AS (SELECT p, q, r, count(*) AS n, avg(u.y + v.y - t.y) AS m FROM tri JOIN y u ON u.a = p AND u.b = q JOIN y v ON v.a = q AND v.b = r AND v.ts = u.ts JOIN y t ON t.a = p AND t.b = r AND t.ts = u.ts GROUP BY ALL),
+ k AS (SELECT replace(p, ' ', '') AS p, replace(q, ' ', '') AS q, replace(r, ' ', '') AS r, n, m, row_number() OVER (ORDER BY p, q, r) AS pos FROM nu)"""
+
+
+def _reports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    q = quotes(spark, sf)
+    tri = graph.triangles(q)
+    n = graph.cycle_numbers(q, graph.triangle_legs(tri)).groupBy("cycle").agg(F.count(F.lit(1)).alias("n"), (F.avg("resid") / 1000).alias("signed_mean"))
+    k = n.join(tri, "cycle").withColumn("pos", F.row_number().over(Window.orderBy("a", "b", "c")))  # ten triangles
+    a, b, c = (F.replace(F.col(x), F.lit(" "), F.lit("")) for x in "abc")  # a label's legs are parted by spaces
+    label = lambda x, y, z: F.concat(F.lit(x), a, F.lit("_"), b, F.lit(f" {y}"), b, F.lit("_"), c, F.lit(f" {z}"), a, F.lit("_"), c)
+    golden = k.select(F.lit("cycles").alias("section"), "pos", label("+", "+", "-").alias("cycle"), "n", "signed_mean")
+    turned = F.when(F.col("pos") == 2, label("-", "-", "+")).when(F.col("pos") == 3, label("+", "-", "-")).when(F.col("pos") == 4, label("", "+", "-")).otherwise(label("+", "+", "-"))
+    mean = F.when(F.col("pos") == 2, -F.col("signed_mean")).when(F.col("pos") == 5, F.col("signed_mean") + 1).when(F.col("pos") == 6, F.col("signed_mean") + 0.00005).otherwise(F.col("signed_mean"))
+    place = F.when(F.col("pos") == 8, 20).otherwise(F.col("pos"))
+    fresh = k.where("pos <> 1").select(F.lit("cycles").alias("section"), place.alias("pos"), turned.alias("cycle"), "n", mean.alias("signed_mean"))
+    return golden, fresh.unionByName(fresh.where("pos = 7").withColumn("pos", F.lit(30)))
+
+
+@query(f"""WITH {_REPORT}, l AS (SELECT pos, '+' || p || '_' || q || ' +' || q || '_' || r || ' -' || p || '_' || r AS label, p || '_' || q || ' +' || q || '_' || r || ' -' || p || '_' || r AS odd FROM k), v(pos, kind, why) AS (VALUES (1, 'FAIL', 'missing from fresh'), (2, 'INFO', 'label differs'), (3, 'FAIL', 'shared legs disagree in direction'), (4, 'FAIL', 'missing from fresh'),
+ (5, 'FAIL', 'signed_mean differs'), (6, 'FLIP', 'signed_mean differs'), (7, 'FAIL', 'duplicate cycle in fresh'))
+ SELECT 'cycles' AS section, label AS cycle, kind, why FROM l JOIN v USING (pos) UNION ALL SELECT 'cycles', odd, 'FAIL', 'unparseable cycle in fresh' FROM l WHERE pos = 4 UNION ALL SELECT 'cycles', NULL, 'INFO', 'order differs' WHERE (SELECT count(*) FROM k) > 8""")
+def matched_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Two reports' cycles by the set of their instruments: what is missing, doubled, turned, moved or apart."""
+    return audit.match_cycles(*_reports(spark, sf), ["n", "signed_mean"])
+
+
+@query()
+def method_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Every bar's strengths by 27 methods, one pass of the quotes."""
+    g = strengths.method_grid(quotes(spark, sf))
+    return g.select("ts", "method", F.explode("strengths").alias("node", "value"), "converged").withColumn("value", F.round("value", 4) + 0.0)
+
+
+@query(f"""WITH {QUOTES}, f AS (SELECT *, ln((bid + ask) / 2) * 10000 AS y, count(*) OVER (PARTITION BY ts) AS k FROM quotes WHERE bid > 0 AND bid < ask), g AS (SELECT ts, a, b, y, y - CASE WHEN a = 'AFRICA' AND b = 'ASIA' AND volume % 2 = 0 THEN y / 100 ELSE 0 END AS z FROM f WHERE k = 10),
+ e AS (SELECT ts, a AS node, y, z FROM g UNION ALL SELECT ts, b, -y, -z FROM g) SELECT ts, node, round(sum(y) / 5, 6) + 0.0 AS c, round(sum(z) / 5, 6) + 0.0 AS c_corrected FROM e GROUP BY ALL""")
+def corrected_strengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Strengths of bars with all pairs, after a hundredth is taken off one pair where it is flagged."""
+    full = strengths.full_bars(quotes(spark, sf), 10)
+    flagged = full.where("a = 'AFRICA' AND b = 'ASIA' AND volume % 2 = 0").select("ts", "a", "b", (F.col("y") / 100).alias("estimate"))
+    c = strengths.corrected(full.select("ts", "a", "b", "bid", "ask"), flagged)
+    return c.select("ts", "node", *[(F.round(x, 6) + 0.0).alias(x) for x in ("c", "c_corrected")])

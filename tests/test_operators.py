@@ -452,3 +452,35 @@ def test_canonical_walks(spark):
     other = [r for r in w if r["class"] == "basis" and r.path is None]
     assert other and all(r.label.startswith("basis: ") and "~" not in r.label and r.key.startswith("~ ") for r in other)
     assert any("LTC/BTC" in x for x in by("crypto_only")) and not by("fx_other")
+
+
+def test_method_grid_agrees_with_single_fits(spark):
+    rows, _ = quotes(spark, 6, bars=7, drop=0.15)
+    rows[3] = (*rows[3][:3], rows[3][3] * 1.01, rows[3][4] * 1.01)
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, a string, b string, bid double, ask double")
+    grid = strengths.method_grid(df)
+    got = {(r.ts, r.method): (r.strengths, r.iterations, r.converged) for r in grid.collect()}
+    assert len({m for _, m in got}) == 27 == len(strengths.method_names()) and grid._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    for name, scheme, k, scale in [m for m in strengths.method_names() if m[2] in (math.inf, 1.345)]:
+        one = {}
+        for r in strengths.huber(df, k, scheme, scale).where("kind = 'node'").collect():
+            one.setdefault(r.ts, {})[r.a] = (r.value, r.iterations, r.converged)
+        assert {t for t, m in got if m == name} == set(one)
+        for t, nodes in one.items():
+            c, its, done = got[t, name]
+            assert all(math.isclose(c[x], v[0], rel_tol=1e-7, abs_tol=1e-7) and (its, done) == v[1:] for x, v in nodes.items()), (name, t)
+
+
+def test_corrected_equals_a_full_refit(spark):
+    rows, _ = quotes(spark, 6, bars=5, drop=0.2)
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, a string, b string, bid double, ask double")
+    first = df.join(df.agg(F.min("ts").alias("ts")), "ts")
+    fix = first.orderBy("a", "b").limit(2).select("ts", "a", "b", F.lit(25.0).alias("estimate")).unionByName(first.limit(1).select("ts", F.lit("no").alias("a"), F.lit("pair").alias("b"), F.lit(9.0).alias("estimate")))
+    keys = [(r.ts, r.a, r.b) for r in fix.collect()]
+    moved = spark.createDataFrame([(t, a, b, bid * math.exp(-25e-4), ask * math.exp(-25e-4)) if (t, a, b) in keys else (t, a, b, bid, ask) for t, a, b, bid, ask in rows], df.schema)
+    for scheme in strengths.SCHEMES:
+        want = {(r.ts, r.a): r.value for r in strengths.fit(moved, scheme).where("kind = 'node'").collect()}
+        plain = {(r.ts, r.a): r.value for r in strengths.fit(df, scheme).where("kind = 'node'").collect()}
+        got = {(r.ts, r.node): (r.c, r.c_corrected) for r in strengths.corrected(df, fix, scheme).collect()}
+        assert set(got) == set(want) and any(abs(want[k] - plain[k]) > 1 for k in want)
+        assert all(math.isclose(a, plain[k], abs_tol=1e-9) and math.isclose(b, want[k], abs_tol=1e-9) for k, (a, b) in got.items())
