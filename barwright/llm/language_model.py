@@ -41,12 +41,12 @@ RATE = 0.01
 #: Replicas whose weights one task adds up.
 FAN_IN = 16
 #: Distinct words that a task counts before it hands them on.
-COUNT_WORDS = 150_000
+COUNT_WORDS = 250_000
 END = b""
 
 
 #: Texts that are split into words at once, and bytes of them (or one text that is longer).
-CHUNK_ROWS, CHUNK_BYTES = 500, 1_000_000
+CHUNK_ROWS, CHUNK_BYTES = 500, 2_000_000
 
 
 def _chunks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
