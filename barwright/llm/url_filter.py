@@ -82,7 +82,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def judge(urls: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", default: str = "allow") -> DataFrame:
     """urls with host, path, rule and verdict; without a rule that fits, rule is null and the verdict the default.
 
-    Null, empty and malformed urls have an empty host and path. Columns of urls named as one of the four are replaced.
+    Null, empty and malformed urls have an empty host and path. Urls of any length are read whole, one label and segment
+    after another. Repeated rows are judged each by itself and alike. An empty table gives no rows; without rules all get
+    the default. Columns of urls named as one of the four are replaced, others stay.
     """
     trie = urls.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 

@@ -40,3 +40,11 @@ def test_urls(spark):
 
 def test_empty(spark):
     assert m.judge(spark.createDataFrame([], "url string"), RULES).count() == 0
+
+
+def test_repeats_long_urls_and_no_rules(spark):
+    long = "http://" + "a." * 20_000 + "example.com/x/" + "s/" * 50_000
+    df = spark.createDataFrame([(1, long, "v"), (1, long, "v"), (2, "http://example.org/", "v")], "page_id int, url string, verdict string")
+    got = m.judge(df, RULES).orderBy("page_id").collect()
+    assert len(got) == 3 and got[0] == got[1] and got[0].host.endswith(".a.example.com") and len(got[0].path) == 100_003 and got[0].rule is not None
+    assert {(r.rule, r.verdict) for r in m.judge(df, [], default="block").collect()} == {(None, "block")}
