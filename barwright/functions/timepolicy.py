@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Stamps are text of 30 characters in UTC.
@@ -110,3 +111,22 @@ def month_chunks(start: datetime, end: datetime, months: int, exclude: tuple[dat
 
 def quarter_end(year: int, quarter: int) -> datetime:
     return datetime(year + quarter // 4, quarter % 4 * 3 + 1, 1) - timedelta(seconds=1)
+
+
+def year_periods(rows: DataFrame, by: Sequence[str], most: int = 200) -> DataFrame:
+    """by, period, start, end: the calendar years of each series' coverage, both ends inclusive; a year ends a second before the next one. Of most years the first."""
+    g = rows.groupBy(*by).agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    last = F.least(F.year("high"), F.year("low") + (most - 1))
+    y = g.withColumn("y", F.explode(F.sequence(F.year("low"), last)))
+    begin = lambda n: F.make_timestamp_ntz(n, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    return y.select(*by, F.col("y").cast("string").alias("period"), F.greatest(begin(F.col("y")), F.col("low")).alias("start"), F.least(begin(F.col("y") + 1) - F.expr("INTERVAL 1 SECOND"), F.col("high")).alias("end"))
+
+
+def quarter_label(ts: Column) -> Column:
+    """24Q1 and the like."""
+    return F.concat(F.date_format(ts, "yy"), F.lit("Q"), F.quarter(ts).cast("string"))
+
+
+def quarter_last(ts: Column) -> Column:
+    """The last second of the quarter that a stamp lies in."""
+    return F.date_trunc("quarter", ts).cast("timestamp_ntz") + F.make_ym_interval(F.lit(0), F.lit(3)) - F.expr("INTERVAL 1 SECOND")
