@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def median_of(values: Column) -> Column:
     """Median of a sorted array; null if it is empty."""
     n = F.size(values)
@@ -45,16 +52,20 @@ def trimmed_mean(values: Column, den: int = 5) -> Column:
 def hodges_lehmann(values: Column) -> Column:
     """Median of the averages (x_i + x_j) / 2, i <= j."""
     pairs = F.flatten(F.transform(values, lambda x, i: F.transform(F.slice(values, i + 1, F.size(values)), lambda y: (x + y) / 2)))
-    return median_of(F.array_sort(pairs))
+    return let(F.sort_array(pairs), median_of)
 
 
 def huber_location(values: Column, c: float = 1.345, rounds: int = 20, mad_scale: float = 1.4826) -> Column:
     """Huber's M-estimate from the median, with a fixed scale (MAD) and a fixed number of steps; the median if the scale is 0."""
-    med = median_of(values)
-    scale = mad_scale * median_of(F.array_sort(F.transform(values, lambda x: F.abs(x - med))))
 
-    def step(mu: Column, _: Column) -> Column:
-        psi = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.greatest(F.lit(-c), F.least(F.lit(c), (x - mu) / scale)))
-        return mu + scale * psi / F.size(values)
+    def located(med: Column) -> Column:
+        return let(mad_scale * let(F.sort_array(F.transform(values, lambda x: F.abs(x - med))), median_of), lambda scale: F.when(scale > 0, steps(med, scale)).otherwise(med))
+
+    def steps(med: Column, scale: Column) -> Column:
+        def step(mu: Column, _: Column) -> Column:
+            psi = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.greatest(F.lit(-c), F.least(F.lit(c), (x - mu) / scale)))
+            return mu + scale * psi / F.size(values)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), med, step)
 
-    return F.when(scale > 0, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), med, step)).otherwise(med)
+    return let(median_of(values), located)

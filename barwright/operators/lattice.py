@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numbers import hodges_lehmann, huber_location, mean_of, median_of, sorted_window, trimmed_mean
+from ..functions.numbers import hodges_lehmann, huber_location, let, mean_of, median_of, sorted_window, trimmed_mean
 from .indicators import along, in_order
 from .runlevel import bounds, cusum, least_count
 
@@ -166,7 +166,7 @@ def flag_counts(long: DataFrame, by: Sequence[str], scales: dict[str, tuple[Colu
 
     A ratio is compared with its ladder once; rows are counted by how many thresholds they reach before anything is multiplied.
     """
-    one = lambda n, r, steps: F.struct(F.lit(n).alias("scale"), F.size(F.filter(F.array(*[F.lit(float(t)) for t in steps]), lambda t: t <= r)).alias("reached"))
+    one = lambda n, r, steps: F.struct(F.lit(n).alias("scale"), let(r, lambda v: F.size(F.filter(F.array(*[F.lit(float(t)) for t in steps]), lambda t: t <= v))).alias("reached"))
     entries = F.array(*[one(n, r, steps) for n, (r, steps) in scales.items()])
     g = long.withColumn("__x", F.explode(entries)).groupBy(*by, "__x.scale", "__x.reached").agg(F.count(F.lit(1)).alias("n"))
     ladder = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("at"), F.lit(float(t)).alias("threshold")) for n, (_, steps) in scales.items() for i, t in enumerate(steps, 1)])
