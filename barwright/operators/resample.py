@@ -15,6 +15,10 @@ from ..functions.numbers import ratio
 from . import metrics
 
 
+#: Rows that a bootstrap sends to all its tasks at most; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
 def draw(seed: int, *parts: Column) -> Column:
     """A number of 48 bits that follows from the seed and the parts."""
     text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
@@ -26,21 +30,33 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
     return rows.withColumn("ix", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
 
 
+def _draws(rows: DataFrame, by: Sequence[str], iterations: int, place: str, size: int | None = None) -> DataFrame:
+    """by, n, iter and place (0 up to n or size) of numbered rows, dealt by group and iteration: metrics of an iteration need no other exchange."""
+    groups = rows.groupBy(*by).agg(F.max("n").alias("n")).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: rows are few before the explode, and would be coalesced
+    many = F.lit(size).cast("long") if size else F.col("n")
+    return groups.repartition(parts, *by, "iter").withColumn(place, F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+
+
+def _picked(draws: DataFrame, rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows that draws name by ix; up to BROADCAST_ROWS rows (counted) go to the draws, so that draws stay where they are dealt."""
+    rows = rows.drop("n")
+    return draws.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("shuffle_hash"), [*by, "ix"])
+
+
 def resample(rows: DataFrame, by: Sequence[str], order: Sequence[str], iterations: int, seed: int = 42, size: int | None = None) -> DataFrame:
     """iter, k and the columns of rows: in each iteration n (or size) draws with replacement from each group."""
     rows = numbered(rows, by, order)
-    groups = rows.groupBy(*by).agg(F.max("n").alias("n"))
-    many = F.lit(size) if size else F.col("n")
-    d = groups.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
-    d = d.withColumn("ix", F.pmod(draw(seed, F.col("iter"), F.col("k")), F.col("n"))).drop("n")
-    return d.join(rows.drop("n"), [*by, "ix"])
+    ix = F.coalesce(F.pmod(draw(seed, F.col("iter"), F.col("k")), F.col("n")), F.lit(0))  # never null: the join needn't hash once more to see that
+    d = _draws(rows, by, iterations, "k", size).withColumn("ix", ix).drop("n")
+    return _picked(d, rows, by)
 
 
 def shuffle(rows: DataFrame, by: Sequence[str], order: Sequence[str], iterations: int, seed: int = 42) -> DataFrame:
     """iter, k and the columns of rows: in each iteration all rows of each group in another order k."""
-    rows = numbered(rows, by, order).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    rows = numbered(rows, by, order)
     k = F.row_number().over(Window.partitionBy(*by, "iter").orderBy(draw(seed, F.col("iter"), F.col("ix")), "ix")) - 1
-    return rows.withColumn("k", k)
+    return _picked(_draws(rows, by, iterations, "ix"), rows, by).withColumn("k", k)
 
 
 def returns(samples: DataFrame, by: Sequence[str], start: float = 10_000.0) -> DataFrame:

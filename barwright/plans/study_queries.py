@@ -274,12 +274,12 @@ def walk_forward_bollinger(spark: SparkSession, sf: str) -> DataFrame:
     return rounds(w.withColumn("balance", r("balance", 2)), ["width"], 4)
 
 
-#: Orders of shuffle_drawdown and samples of bootstrap_ci and bootstrap_metrics; the operators' default is 5,000.
-_SHUFFLES = 200
+#: Samples of bootstrap_ci, the operators' default; orders of shuffle_drawdown and samples of bootstrap_metrics are fewer.
+_SAMPLES, _SHUFFLES = 5_000, 200
 _DAILY = f"{TRADES}, dt AS (SELECT grp, l_shipdate AS ts, sum(pnl) / 1000 AS pnl FROM trades GROUP BY ALL)"
 _DRAW = "('0x' || substr(md5({}), 1, 12))::BIGINT"
 _BOOT = f"""{_DAILY}, ix AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ts) - 1 AS ix, count(*) OVER (PARTITION BY grp) AS n FROM dt), g AS (SELECT grp, max(n) AS n FROM ix GROUP BY 1),
- d AS (SELECT grp, iter, k, {_DRAW.format("concat_ws('|', '42', iter::VARCHAR, k::VARCHAR)")} % n AS ix FROM g, range({_SHUFFLES}) i(iter), range(100000) r(k) WHERE k < n),
+ d AS (SELECT grp, iter, k, {_DRAW.format("concat_ws('|', '42', iter::VARCHAR, k::VARCHAR)")} % n AS ix FROM (SELECT grp, iter, n, unnest(range(n)) AS k FROM g, range({_SAMPLES}) i(iter))),
  bm AS (SELECT d.grp, iter, sum(pnl) / 100 AS total_return_pct FROM d JOIN ix ON ix.grp = d.grp AND ix.ix = d.ix GROUP BY ALL)"""
 
 
@@ -291,7 +291,7 @@ def _daily(spark: SparkSession, sf: str) -> DataFrame:
  round(stddev_pop(total_return_pct), 4) AS sd, round(count(*) FILTER (total_return_pct < 0) * 100.0::DOUBLE / count(*), 4) AS below_zero FROM bm GROUP BY 1""")
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     """Returns of samples of as many daily results as there are."""
-    s = resample.resample(_daily(spark, sf), ["grp"], ["ts"], _SHUFFLES)
+    s = resample.resample(_daily(spark, sf), ["grp"], ["ts"], _SAMPLES)
     return rounds(resample.summary(resample.returns(s, ["grp"]), ["grp"], "total_return_pct"), [], 4)
 
 
