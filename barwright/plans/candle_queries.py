@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timepolicy
 from ..functions.numbers import rounded as r
-from ..operators import backtest, indicators, metrics, signals
+from ..operators import backtest, chained, indicators, metrics, signals
 from ..sources import candles
 from ..sources.views import BARS, CLOSING, EQUITY, TRADES, bars, equity, trades
 
@@ -147,6 +147,22 @@ def macd(spark: SparkSession, sf: str) -> DataFrame:
     return rounds(indicators.macd(bars(spark, sf).select("instrument", "ts", "mid"), BY).drop("mid"), BY)
 
 
+@query(ORACLES["ema"])
+def ema_chained(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from weeks of each series, chained."""
+    return chained.ema(bars(spark, sf).select("instrument", "ts", "mid"), 10, BY, chained.weeks("ts")).select("instrument", "ts", r("ema").alias("ema"))
+
+
+@query(ORACLES["rsi_wilder"])
+def rsi_chained(spark: SparkSession, sf: str) -> DataFrame:
+    return chained.rsi(bars(spark, sf).select("instrument", "ts", "mid"), 14, BY, chained.weeks("ts")).select("instrument", "ts", r("rsi").alias("rsi"))
+
+
+@query(ORACLES["macd"])
+def macd_chained(spark: SparkSession, sf: str) -> DataFrame:
+    return rounds(chained.macd(bars(spark, sf).select("instrument", "ts", "mid"), BY, chained.weeks("ts")).drop("mid"), BY)
+
+
 _BANDS = f"""bands AS (SELECT *, CASE WHEN row_number() OVER ({W}) >= 20 THEN avg(mid) OVER f END AS middle, CASE WHEN row_number() OVER ({W}) >= 20 THEN 2 * stddev_pop(mid) OVER f END AS d
  FROM bars WINDOW f AS ({W} ROWS 19 PRECEDING))"""
 
