@@ -78,7 +78,30 @@ def sampled_metrics(samples: DataFrame, by: Sequence[str], start: float = 10_000
 
 
 #: The metrics that a bootstrap follows.
-TRACKED = "total_return_pct max_drawdown_pct win_rate_pct profit_factor ending_balance trade_expectancy trade_expectancy_pct payoff_ratio recovery_factor ulcer_index max_drawdown_duration avg_drawdown_duration var_95 cvar_95 tail_ratio skewness kurtosis kelly_fraction cost_drag_pct avg_trade_duration_hours max_consecutive_wins max_consecutive_losses".split()
+TRACKED = [
+    "total_return_pct",
+    "max_drawdown_pct",
+    "win_rate_pct",
+    "profit_factor",
+    "ending_balance",
+    "trade_expectancy",
+    "trade_expectancy_pct",
+    "payoff_ratio",
+    "recovery_factor",
+    "ulcer_index",
+    "max_drawdown_duration",
+    "avg_drawdown_duration",
+    "var_95",
+    "cvar_95",
+    "tail_ratio",
+    "skewness",
+    "kurtosis",
+    "kelly_fraction",
+    "cost_drag_pct",
+    "avg_trade_duration_hours",
+    "max_consecutive_wins",
+    "max_consecutive_losses",
+]
 #: Iterations of a bootstrap are no more.
 MAX_ITERATIONS = 50_000
 

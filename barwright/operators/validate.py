@@ -180,11 +180,48 @@ def cost_adjusted(magnitude, drag_pct):
 #: The least service tier that shows a metric; one that isn't named shows from GOLD on.
 TIERS = {"BRONZE": 0, "SILVER": 1, "GOLD": 2}
 TIER_METRICS = {
-    "BRONZE": "total_return_pct total_trades win_rate_pct profit_factor max_drawdown_pct total_commission_paid avg_win avg_loss",
-    "SILVER": "sharpe_ratio sortino_ratio calmar_ratio recovery_factor max_drawdown_duration avg_drawdown_duration still_in_drawdown_at_end trade_expectancy trade_expectancy_pct payoff_ratio exposure_pct buy_hold_return_pct alpha_vs_buy_hold_pct",
-    "GOLD": "omega_ratio ulcer_index downside_deviation max_consecutive_wins max_consecutive_losses avg_trade_duration_hours cost_drag_pct var_95 cvar_95 tail_ratio skewness kurtosis kelly_fraction",
+    "BRONZE": (
+        "total_return_pct",
+        "total_trades",
+        "win_rate_pct",
+        "profit_factor",
+        "max_drawdown_pct",
+        "total_commission_paid",
+        "avg_win",
+        "avg_loss",
+    ),
+    "SILVER": (
+        "sharpe_ratio",
+        "sortino_ratio",
+        "calmar_ratio",
+        "recovery_factor",
+        "max_drawdown_duration",
+        "avg_drawdown_duration",
+        "still_in_drawdown_at_end",
+        "trade_expectancy",
+        "trade_expectancy_pct",
+        "payoff_ratio",
+        "exposure_pct",
+        "buy_hold_return_pct",
+        "alpha_vs_buy_hold_pct",
+    ),
+    "GOLD": (
+        "omega_ratio",
+        "ulcer_index",
+        "downside_deviation",
+        "max_consecutive_wins",
+        "max_consecutive_losses",
+        "avg_trade_duration_hours",
+        "cost_drag_pct",
+        "var_95",
+        "cvar_95",
+        "tail_ratio",
+        "skewness",
+        "kurtosis",
+        "kelly_fraction",
+    ),
 }
-METRIC_TIER = {m: tier for tier, names in TIER_METRICS.items() for m in names.split()}
+METRIC_TIER = {m: tier for tier, names in TIER_METRICS.items() for m in names}
 
 
 def visible(metrics: DataFrame, by: Sequence[str], tier: str) -> DataFrame:
