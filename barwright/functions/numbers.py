@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -21,6 +22,19 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def quotient(a: Column | str, b: Column | str) -> Column:
+    """a / b as IEEE has it: infinite where only b is 0, NaN where both are; null only where a or b is."""
+    a, b = col(a), col(b)
+    by_zero = F.when(F.isnan(a) | (a == 0), math.nan).when(a > 0, math.inf).when(a < 0, -math.inf)
+    return F.when(b != 0, F.try_divide(a, b)).when(b == 0, by_zero)
+
+
+def ln(c: Column | str) -> Column:
+    """Natural logarithm; of 0 it is -inf, where Spark's is null."""
+    c = col(c)
+    return F.when(c == 0, -math.inf).otherwise(F.log(c))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once a row, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

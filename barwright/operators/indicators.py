@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.numbers import ln, quotient
+
 
 def in_order(by: Sequence[str], ts: str = "ts"):
     return Window.partitionBy(*by).orderBy(ts)
@@ -90,14 +92,17 @@ def macd(bars: DataFrame, by: Sequence[str], fast: int = 12, slow: int = 26, sig
 
 
 def bar_ranges(bars: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Ranges of a bar's mid prices, in bps: r2 high to low, r3 bid side, r4 open to close, r5 true range (with the close before), r6 Parkinson."""
+    """Ranges of a bar's mid prices, in bps: r2 high to low, r3 bid side, r4 open to close, r5 true range (with the close before), r6 Parkinson.
+
+    A price of 0 makes a range infinite, or NaN between two of them.
+    """
     mid = lambda s: (F.col(f"bid_{s}") + F.col(f"ask_{s}")) / 2
     before = F.lag(mid("close")).over(in_order(by))
-    span = F.log(mid("high") / mid("low"))
+    span = ln(quotient(mid("high"), mid("low")))
     high, low = F.greatest(mid("high"), before), F.least(mid("low"), before)
     return bars.withColumns({
-        "r2": span * 1e4, "r3": F.log(F.col("bid_high") / F.col("bid_low")) * 1e4, "r4": F.abs(F.log(mid("close") / mid("open"))) * 1e4,
-        "r5": F.when(before.isNull(), span).otherwise(F.log(high / low)) * 1e4, "r6": span * 1e4 / (2 * F.sqrt(F.log(F.lit(2.0)))),
+        "r2": span * 1e4, "r3": ln(quotient("bid_high", "bid_low")) * 1e4, "r4": F.abs(ln(quotient(mid("close"), mid("open")))) * 1e4,
+        "r5": F.when(before.isNull(), span).otherwise(ln(quotient(high, low))) * 1e4, "r6": span * 1e4 / (2 * F.sqrt(F.log(F.lit(2.0)))),
     })
 
 
@@ -105,7 +110,7 @@ def hourly_log_return(bars: DataFrame, by: Sequence[str], value: str = "mid") ->
     """ret: log return, in bps, where the bar an hour before exists."""
     w = in_order(by)
     near = F.col("ts") == F.lag("ts").over(w) + F.expr("INTERVAL 1 HOUR")
-    return bars.withColumn("ret", F.when(near, F.log(F.col(value) / F.lag(value).over(w)) * 1e4))
+    return bars.withColumn("ret", F.when(near, ln(quotient(value, F.lag(value).over(w))) * 1e4))
 
 
 def simple_return(bars: DataFrame, by: Sequence[str], value: str = "mid") -> DataFrame:
