@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import quotient
 from ..functions.numbers import rounded as r
 from ..operators import audit, detectors, graph, runlevel, strengths
 from ..sources.views import BARS, QUOTES, bars, quotes
@@ -244,7 +245,7 @@ def detector_b_arm(spark: SparkSession, sf: str) -> DataFrame:
 def detector_c(spark: SparkSession, sf: str) -> DataFrame:
     b = bars(spark, sf)
     typical = b.groupBy("instrument", F.hour("ts").alias("h")).agg(F.percentile("volume", 0.5).alias("typical"))
-    legs = b.withColumn("h", F.hour("ts")).join(F.broadcast(typical), ["instrument", "h"]).select("ts", F.col("instrument").alias("name"), "volume", ((F.col("bid_high") - F.col("bid_low")) / F.col("bid_low") * 1e4).alias("range_bps"), "typical")
+    legs = b.withColumn("h", F.hour("ts")).join(F.broadcast(typical), ["instrument", "h"]).select("ts", F.col("instrument").alias("name"), "volume", (quotient(F.col("bid_high") - F.col("bid_low"), "bid_low") * 1e4).alias("range_bps"), "typical")
     return detectors.detector_c(legs)
 
 
