@@ -142,11 +142,11 @@ def bootstrap(trades: DataFrame, by: Sequence[str], order: Sequence[str], method
 
 
 def summary(samples: DataFrame, by: Sequence[str], metric: str, level: float = 0.9) -> DataFrame:
-    """by, low, high (percentile interval), median, mean, sd (population), below_zero (percent under 0) of a metric over iterations; nulls don't count."""
+    """by, low, high (percentile interval), median, mean, sd (population), below_zero (percent under 0) of a metric over iterations; nulls don't count, and all are null if no iteration has the metric."""
     m = F.col(metric)
     tail = (1 - level) / 2
     p = F.percentile(m, F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)))
-    g = samples.groupBy(*by).agg(p.alias("p"), F.avg(m).alias("mean"), F.stddev_pop(m).alias("sd"), (F.count_if(m < 0) * 100.0 / F.count(m)).alias("below_zero"))
+    g = samples.groupBy(*by).agg(p.alias("p"), F.avg(m).alias("mean"), F.stddev_pop(m).alias("sd"), ratio(F.count_if(m < 0) * 100.0, F.count(m)).alias("below_zero"))
     return g.select(*by, F.col("p")[0].alias("low"), F.col("p")[2].alias("high"), F.col("p")[1].alias("median"), "mean", "sd", "below_zero")
 
 
