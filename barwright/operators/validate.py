@@ -224,11 +224,18 @@ TIER_METRICS = {
 METRIC_TIER = {m: tier for tier, names in TIER_METRICS.items() for m in names}
 
 
-def visible(metrics: DataFrame, by: Sequence[str], tier: str) -> DataFrame:
-    """by, metric, value of the metrics (double columns) that a tier shows; one without an entry counts as GOLD."""
+def visible_by_tier(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
+    """tier, by, metric, value: the metrics (double columns) that each tier shows, in one pass; one without an entry counts as GOLD."""
     names = [c for c, t in metrics.dtypes if c not in by]
     long = metrics.select(*by, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(list(by), names, "metric", "value")
+    need = F.create_map(*[F.lit(x) for k, v in METRIC_TIER.items() for x in (k, TIERS[v])])
+    tiers = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(have).alias("have")) for t, have in TIERS.items()])
+    shown = long.withColumn("need", F.coalesce(F.try_element_at(need, F.col("metric")), F.lit(TIERS["GOLD"])))
+    return shown.withColumn("__t", F.explode(F.filter(tiers, lambda t: F.col("need") <= t["have"]))).select(F.col("__t.tier").alias("tier"), *by, "metric", "value")
+
+
+def visible(metrics: DataFrame, by: Sequence[str], tier: str) -> DataFrame:
+    """by, metric, value of the metrics that a tier shows."""
     if tier not in TIERS:
         raise ValueError(f"tier must be one of {', '.join(TIERS)}")
-    need = F.create_map(*[F.lit(x) for k, v in METRIC_TIER.items() for x in (k, TIERS[v])])
-    return long.where(F.coalesce(F.try_element_at(need, F.col("metric")), F.lit(TIERS["GOLD"])) <= TIERS[tier])
+    return visible_by_tier(metrics, by).where(F.col("tier") == tier).drop("tier")

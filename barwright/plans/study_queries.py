@@ -349,11 +349,7 @@ def tier_visibility(spark: SparkSession, sf: str) -> DataFrame:
     """What each tier shows; t_stat has no tier of its own, and so shows from GOLD on."""
     m = metrics.trade_metrics(trades(spark, sf), ["grp"])
     m = m.select("grp", "total_trades", "total_return_pct", "win_rate_pct", "profit_factor", "avg_win", "avg_loss", F.col("total_commission").alias("total_commission_paid"), F.col("expectancy").alias("trade_expectancy"), "payoff_ratio", "kelly_fraction", "tail_ratio", "t_stat")
-    out = None
-    for tier in validate.TIERS:
-        part = validate.visible(m, ["grp"], tier).select(F.lit(tier).alias("tier"), "grp", "metric", "value")
-        out = part if out is None else out.unionByName(part)
-    return rounds(out, [], 4)
+    return rounds(validate.visible_by_tier(m, ["grp"]), [], 4)
 
 
 #: Two strategies as two values of a key beside the instrument.
