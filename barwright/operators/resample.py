@@ -115,7 +115,7 @@ def tracked_metrics(samples: DataFrame, by: Sequence[str], start: float = 10_000
     t = metrics.trade_metrics(samples, key, start, small=True).withColumnsRenamed({"expectancy": "trade_expectancy", "expectancy_pct": "trade_expectancy_pct", "avg_hours": "avg_trade_duration_hours"})
     c = metrics.drawdowns(curve, key).groupBy(*key).agg(F.max("dd").alias("max_drawdown_pct"), F.sqrt(F.avg(F.col("dd") * F.col("dd"))).alias("ulcer_index"), F.max_by("equity", "ts").alias("ending_balance"))
     d = metrics.drawdown_durations(curve, key).select(*key, F.col("max_duration").alias("max_drawdown_duration"), F.col("avg_duration").alias("avg_drawdown_duration"))
-    runs = metrics.streaks(samples, key, ["k"]).withColumnsRenamed({"max_wins": "max_consecutive_wins", "max_losses": "max_consecutive_losses"})
+    runs = metrics.streaks(samples, key, ["k"], small=True).withColumnsRenamed({"max_wins": "max_consecutive_wins", "max_losses": "max_consecutive_losses"})
     out = t.join(c, key).join(d, key).join(runs, key)
     return out.withColumn("recovery_factor", ratio("total_return_pct", "max_drawdown_pct")).select(*key, *TRACKED)
 
