@@ -30,6 +30,8 @@ _NAMES = f"""{QUOTES}, fx AS (SELECT DISTINCT CASE WHEN (length(a) + length(b))
 def _instruments(spark: SparkSession, sf: str) -> DataFrame:
     turned = (F.length("a") + F.length("b")) % 2 == 0
     fx = quotes(spark, sf).select(F.when(turned, F.concat_ws("_", "b", "a")).otherwise(F.concat_ws("_", "a", "b")).alias("instrument")).distinct()
+    graph.checkpoints(spark)
+    fx = fx.checkpoint()  # pairs of regions, once: every step of the topology would join all lines again
     n = table(spark, sf, "nation")
     in_proxy = n.where("n_nationkey % 5 = 0").select(F.concat("n_name", F.lit("/PROXY")).alias("instrument"))
     return fx.unionByName(in_proxy).unionByName(n.where("n_nationkey % 3 = 0").select(F.concat("n_name", F.lit("/EUROPE")).alias("instrument")))
