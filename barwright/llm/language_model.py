@@ -46,7 +46,7 @@ END = b""
 
 
 #: Texts that are split into words at once, and bytes of them (or one text that is longer).
-CHUNK_ROWS, CHUNK_BYTES = 500, 2_000_000
+CHUNK_ROWS, CHUNK_BYTES = 2_000, 2_000_000
 
 
 def _chunks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -98,36 +98,38 @@ def tail_class(words: pa.Array) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, rows, ends = [], 0, 0
-    schema = pa.schema([("token", pa.large_binary()), ("c", pa.int64())])
+    held: list[tuple[pa.Array, np.ndarray]] = []
+    rows, ends = 0, 0
 
-    def added() -> pa.Table:
-        return pa.concat_tables(held).group_by("token").aggregate([("c", "sum")]).rename_columns(["token", "c"]).cast(schema)
+    def added() -> tuple[pa.Array, np.ndarray]:
+        words = pa.concat_arrays([w for w, _ in held]).dictionary_encode()  # a third of the time of Arrow's group_by
+        return words.dictionary, np.bincount(words.indices.to_numpy(), np.concatenate([c for _, c in held]), len(words.dictionary)).astype("int64")
 
-    def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        return iter(t.cast(pa.schema([("token", pa.binary()), ("c", pa.int64())])).to_batches())
+    def made(words: pa.Array, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(c)], ["token", "c"])
 
     for b in _released(batches):
         for part in _chunks(b):
             texts = part.column("text")
             c = pc.value_counts(words_of(texts)[0])
-            held.append(pa.table([c.field("values"), c.field("counts")], schema=schema))
+            held.append((c.field("values"), c.field("counts").to_numpy()))
             ends, rows = ends + len(texts), rows + len(c)
             if rows >= 2 * COUNT_WORDS:
                 held = [added()]
-                rows = held[0].num_rows
+                rows = len(held[0][0])
                 if rows >= COUNT_WORDS:
-                    yield from made(held[0])
+                    yield made(*held[0])
                     held, rows = [], 0
     if ends:
-        held.append(pa.table([pa.array([END], pa.large_binary()), pa.array([ends], pa.int64())], schema=schema))
-        yield from made(added())
+        held.append((pa.array([END], pa.large_binary()), np.array([ends])))
+        yield made(*added())
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(token, c) over all rows of docs, stored; the end has the empty token."""
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "token binary, c long")
-    return store(parts.groupBy("token").agg(F.sum("c").alias("c")), "lm-counts")
+    # a task's tokens hardly repeat, so that adding them up before the exchange would be for nothing
+    return store(parts.repartition("token").groupBy("token").agg(F.sum("c").alias("c")), "lm-counts")
 
 
 @dataclass
@@ -169,13 +171,14 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             break
         taken, least = taken + r["n"], r["l"]
     rows = (words.limit(0) if least is None else words.where(level >= least)).toPandas()
-    end = counts.where("length(token) = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    by = counts.groupBy((F.crc32(F.substring("token", -3, 3)) % TAIL_CLASSES).alias("k"), (F.length("token") == 0).alias("end")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    end, total, distinct = sum(r["n"] for r in by if r["end"]), sum(r["n"] for r in by), sum(r["v"] for r in by)
     head = [(END, end), *zip(map(bytes, rows["token"]), rows["c"].tolist())]
     head.sort(key=lambda x: (x[0] != END, -x[1], x[0]))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    by = counts.groupBy((F.crc32(F.substring("token", -3, 3)) % TAIL_CLASSES).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
     tail_n, tail_v = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
-    tail_n[by["k"].astype(int)], tail_v[by["k"].astype(int)] = by["n"], by["v"]
+    for r in by:
+        tail_n[r["k"]] += r["n"]
+        tail_v[r["k"]] += r["v"]
     there = [(w, c) for w, c in head[:SHORT] if c]  # these are predicted one by one
     own = tail_class(pa.array([w for w, _ in there], pa.large_binary()))
     np.subtract.at(tail_n, own, [c for _, c in there])
@@ -250,6 +253,8 @@ CLASS_OF = np.concatenate([np.repeat(np.arange(CLASSES), CLASS_WORDS), CLASSES +
 SLOT_OF = np.concatenate([np.tile(np.arange(CLASS_WORDS), CLASSES), np.full(TAIL_CLASSES, -1)]).astype("int16")
 #: Logits below this need no shift before exp.
 SAFE = 80.0
+#: Classes whose words' chances are worked out at once: their rows stay in the cache.
+CLASS_BLOCK = 8
 
 
 def _squash(x: np.ndarray, room: np.ndarray) -> np.ndarray:
@@ -270,14 +275,18 @@ class Net:
 
     def __init__(self, flat: np.ndarray):
         self.flat, self.p, self.held = flat, unpack(flat), {}
+        self.x = np.empty((3, len(self.p["emb"]), HIDDEN), flat.dtype)
+        self.ones = {n: np.ones(n, flat.dtype) for n in (CLASS_WORDS, CLASSES + TAIL_CLASSES)}
         self.refresh()
 
     def refresh(self) -> None:
         """After a change of the weights."""
         p = self.p
-        x = p["emb"] @ p["wx"] + p["bx"]
-        x[:, : 2 * HIDDEN] += p["bh"][: 2 * HIDDEN]
-        self.x, self.w = _by_gate(x), _by_gate(p["wh"])
+        for k in range(3):
+            at = slice(k * HIDDEN, (k + 1) * HIDDEN)
+            np.matmul(p["emb"], p["wx"][:, at], out=self.x[k])
+            self.x[k] += p["bx"][at] + p["bh"][at] if k < 2 else p["bx"][at]
+        self.w = _by_gate(p["wh"])
         # the parts of a state lie within -1 and 1
         self.safe = bool((np.abs(p["wc"]).sum(0) + np.abs(p["bc"])).max() < SAFE and np.abs(p["wo"]).sum(1).max() + np.abs(p["bo"]).max() < SAFE)
 
@@ -303,7 +312,7 @@ class Net:
         kept = steps if trace else 1
         out, before = self.room("out", steps, n, HIDDEN), self.room("before", kept, n, HIDDEN)
         gates, news, rest = self.room("gates", kept, 3, n, HIDDEN), self.room("news", kept, n, HIDDEN), self.room("rest", 2, n, HIDDEN)
-        bias, starts, stays = self.p["bh"][2 * HIDDEN :], fresh.any(1), ~fresh[:, :, None]
+        bias, starts, stays = np.tile(self.p["bh"][2 * HIDDEN :], (n, 1)), fresh.any(1), ~fresh[:, :, None]
         for t in range(steps):
             at = t if trace else 0
             g, u, b = gates[at], news[at], before[at]
@@ -326,38 +335,53 @@ class Net:
             h += u
         return out
 
-    def chances(self, name: str, h: np.ndarray, w: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray | float, np.ndarray]:
-        """(exp of the logits less a shift by row, the shift, sums by row)."""
-        q = np.matmul(h, w, out=self.room(name, len(h), len(bias)))
-        q += bias
-        shift = 0.0
+    def exp_sums(self, q: np.ndarray) -> np.ndarray:
+        """Logits become their exp, less a shift by row where that is needed; sums by row."""
         if not self.safe:
-            shift = q.max(1)
-            q -= shift[:, None]
+            q -= q.max(1)[:, None]
         np.exp(q, out=q)
-        return q, shift, q @ np.ones(len(bias), q.dtype)
+        return q @ self.ones[q.shape[1]]
+
+    def class_chances(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exp of the logits of all classes, sums by row)."""
+        q = np.matmul(h, self.p["wc"], out=self.room("classes", len(h), CLASSES + TAIL_CLASSES))
+        q += self.p["bc"]
+        return q, self.exp_sums(q)
+
+    def word_chances(self, h: np.ndarray, edges: list[int]) -> Iterator[tuple[range, slice, np.ndarray, np.ndarray]]:
+        """(classes, their rows, exp of the logits of the words of each row's class, sums by row), by blocks of classes; edges are where the rows of a class begin."""
+        for first in range(0, CLASSES, CLASS_BLOCK):
+            a, b = edges[first], edges[first + CLASS_BLOCK]
+            if a == b:
+                continue
+            q = self.room("words", b - a, CLASS_WORDS)
+            there = [k for k in range(first, first + CLASS_BLOCK) if edges[k] < edges[k + 1]]
+            for k in there:
+                part = q[edges[k] - a : edges[k + 1] - a]
+                np.matmul(h[edges[k] : edges[k + 1]], self.p["wo"][k], out=part)
+                part += self.p["bo"][k]
+            yield there, slice(a, b), q, self.exp_sums(q)
 
     def log_chances(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log of P(class | h), times P(word | class, h) for words of the shortlist, by row."""
-        p, order = self.p, np.argsort(CLASS_OF[symbols], kind="stable")
+        order = np.argsort(CLASS_OF[symbols], kind="stable")
         h, symbols = self.take("sorted", h, order), symbols[order]
         cls, slot, rows = CLASS_OF[symbols], SLOT_OF[symbols], np.arange(len(h))
         own, sums = np.empty(len(h), h.dtype), np.empty(len(h), h.dtype)
         for a in range(0, len(h), 2048):  # a block of rows stays in the cache
             b = slice(a, a + 2048)
-            q, _, sums[b] = self.chances("classes", h[b], p["wc"], p["bc"])
-            own[b] = q[rows[: len(q)], cls[b]]
-        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
-        inner, inner_sums = np.ones(len(h), h.dtype), np.ones(len(h), h.dtype)
-        for k in range(CLASSES):
-            if edges[k] < edges[k + 1]:
-                b = slice(edges[k], edges[k + 1])
-                q, _, inner_sums[b] = self.chances("words", h[b], p["wo"][k], p["bo"][k])
-                inner[b] = q[rows[: len(q)], slot[b]]
-        out = np.empty_like(own)
-        own, inner = np.maximum(own / sums, 1e-30), np.maximum(inner / inner_sums, 1e-30)
-        out[order] = np.log(own) + np.log(inner)
-        return out
+            q, sums[b] = self.class_chances(h[b])
+            own[b] = q.reshape(-1).take(rows[: len(q)] * q.shape[1] + cls[b])
+        own /= sums
+        out = np.log(np.maximum(own, 1e-30, out=own), out=own)
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        for _, b, q, sums in self.word_chances(h, edges):
+            inner = q.reshape(-1).take(rows[: len(q)] * CLASS_WORDS + slot[b])
+            inner /= sums
+            out[b] += np.log(np.maximum(inner, 1e-30, out=inner), out=inner)
+        given = np.empty_like(out)
+        given[order] = out
+        return given
 
     def gradient(self, feed, symbols, fresh, live, h0) -> tuple[float, np.ndarray, np.ndarray]:
         """(summed loss, gradient of the mean loss as a flat array, last state) of a window; h0 counts as given (truncation)."""
@@ -372,29 +396,35 @@ class Net:
         h, s = self.take("sorted", hs.reshape(-1, HIDDEN), on), symbols.ravel()[on]
         c, o, rows = CLASS_OF[s], SLOT_OF[s], np.arange(len(on))
         ones = np.ones(max(len(on), steps * n), kind)
-        q, _, sums = self.chances("classes", h, p["wc"], p["bc"])
+        q, sums = self.class_chances(h)
         q /= sums[:, None]
-        loss = -np.log(q[rows, c] + 1e-30).sum()
-        q[rows, c] -= 1
+        at, own = rows * q.shape[1] + c, self.room("own", 2, len(on))
+        own[1] = 1
+        np.take(q.reshape(-1), at, out=own[0], mode="clip")
+        q.reshape(-1)[at] -= 1
         np.matmul(h.T, q, out=d["wc"])
         d["bc"][:] = ones[: len(q)] @ q
-        dh = np.matmul(q, p["wc"].T, out=self.room("dh", len(on), HIDDEN))
-        edges = np.searchsorted(c, np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            if edges[k] < edges[k + 1]:
-                b = slice(edges[k], edges[k + 1])
-                q, _, sums = self.chances("words", h[b], p["wo"][k], p["bo"][k])
-                q /= sums[:, None]
-                own = rows[: len(q)], o[b]
-                loss -= np.log(q[own] + 1e-30).sum()
-                q[own] -= 1
-                np.matmul(h[b].T, q, out=d["wo"][k])
-                d["bo"][k] = ones[: len(q)] @ q
-                dh[b] += q @ p["wo"][k].T
-        up = self.room("up", steps * n, HIDDEN)
-        if len(on) < len(up):
-            up[:] = 0
-        up[on] = dh
+        dh = self.room("dh", len(on) + 1, HIDDEN)  # the last row is what steps have that aren't live
+        dh[-1] = 0
+        np.matmul(q, p["wc"].T, out=dh[:-1])
+        edges = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+        for there, b, q, sums in self.word_chances(h, edges):
+            q /= sums[:, None]
+            at = rows[: len(q)] * CLASS_WORDS + o[b]
+            np.take(q.reshape(-1), at, out=own[1, b], mode="clip")
+            q.reshape(-1)[at] -= 1
+            back = self.room("back", len(q), HIDDEN)
+            for k in there:
+                one, part = slice(edges[k], edges[k + 1]), slice(edges[k] - b.start, edges[k + 1] - b.start)
+                np.matmul(h[one].T, q[part], out=d["wo"][k])
+                np.matmul(ones[one], q[part], out=d["bo"][k])
+                np.matmul(q[part], p["wo"][k].T, out=back[part])
+            dh[b] += back
+        own += 1e-30
+        loss = -np.log(own, out=own).sum()
+        where = np.full(steps * n, len(on))
+        where[on] = rows
+        up = np.take(dh, where, axis=0, out=self.room("up", steps * n, HIDDEN), mode="clip")
         up = up.reshape(steps, n, HIDDEN)
         size, shape = up.size, up.shape
         before, u = self.held["before"][:size].reshape(shape), self.held["news"][:size].reshape(shape)
@@ -437,29 +467,33 @@ class Net:
             wh[:, k] = old.T @ flat[k]
             bh[k] = ones[: len(old)] @ flat[k]
         flat[2] = dx.reshape(-1, HIDDEN)
-        e = self.take("e", p["emb"], feed.ravel())
-        wx, bx = d["wx"].reshape(EMBED, 3, HIDDEN), d["bx"].reshape(3, HIDDEN)
-        for k in range(3):
-            wx[:, k] = e.T @ flat[k]
-            bx[k] = ones[: len(old)] @ flat[k]
-        ws = _by_gate(p["wx"])
-        de = np.matmul(flat[0], ws[0].T, out=e)
-        for k in (1, 2):
-            de += flat[k] @ ws[k].T
         order = np.argsort(feed.ravel(), kind="stable")
         of = feed.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        d["emb"][of[first]] = np.add.reduceat(self.take("de", de, order), first, axis=0)
+        of = of[first]
+        e, de = p["emb"][of], np.zeros((len(of), EMBED), kind)
+        pair = np.result_type(kind, np.complex64)  # numpy adds up each column apart: two columns as one complex one take half the time
+        wx, bx, ws = d["wx"].reshape(EMBED, 3, HIDDEN), d["bx"].reshape(3, HIDDEN), p["wx"].reshape(EMBED, 3, HIDDEN)
+        for k in range(3):  # a symbol's rows are added up first
+            sums = np.add.reduceat(self.take("by_feed", flat[k], order).view(pair), first, axis=0).view(kind)
+            wx[:, k] = e.T @ sums
+            bx[k] = ones[: len(sums)] @ sums
+            de += sums @ ws[:, k].T
+        d["emb"][of] = de
         grad /= max(1, len(on))
         return float(loss), grad, hs[-1].copy()
 
 
 class Streams:
-    """Documents side by side: each stream runs through one after another, and hands out windows of steps tokens."""
+    """Documents side by side: each stream runs through one after another, and hands out windows of steps tokens.
+
+    Where fewer streams are left, windows have as many more steps: a few long documents at the end would else take hundreds of windows of a few tokens.
+    """
 
     def __init__(self, docs: Iterator[tuple[int, np.ndarray]], streams: int, steps: int, block: int = BLOCK_STEPS):
         self.docs, self.steps, self.block = docs, steps, -(-block // steps) * steps
         self.now: list = [None] * streams
+        self.all = streams
 
     def windows(self):
         """(columns, feed, symbols, fresh, live, doc), arrays steps x streams; fresh where a document starts, feed the symbol before.
@@ -492,14 +526,17 @@ class Streams:
                     t += m
                     self.now[s] = None if at + m == len(x) else (key, x, at + m)
             going = np.arange(n)
-            for a in range(0, steps, self.steps):
+            a = 0
+            while a < steps:
                 on = np.flatnonzero(live[a, going])  # a stream is live up to its end
                 if not len(on):
                     break
                 columns = None if len(on) == len(going) else on
                 going = going[on]
-                cut = (slice(a, a + self.steps),) if len(going) == n else (slice(a, a + self.steps), going)
+                part = slice(a, a + self.steps * (self.all // len(going)))
+                cut = (part,) if len(going) == n else (part, going)
                 yield columns, feed[cut], symbols[cut], fresh[cut], live[cut], doc[cut]
+                a = part.stop
             self.now = [self.now[s] for s in going]
 
 
@@ -517,10 +554,18 @@ def train_replica(weights: np.ndarray, docs: Iterator[tuple[int, np.ndarray]], r
         size = float(np.sqrt(grad @ grad))
         if size > 1.0:
             grad /= size
-        m += 0.1 * (grad - m)
+        grad *= 0.1  # in place from here on, as every one of these arrays is larger than a cache
+        m *= 0.9
+        m += grad
         grad *= grad
-        v += 0.01 * (grad - v)
-        flat -= (rate / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        v *= 0.99
+        v += grad
+        np.sqrt(v, out=grad)
+        grad *= (1 - 0.99**step) ** -0.5
+        grad += 1e-6
+        np.divide(m, grad, out=grad)
+        grad *= rate / (1 - 0.9**step)
+        flat -= grad
         net.refresh()
     return weights, seen, loss
 

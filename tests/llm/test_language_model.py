@@ -209,3 +209,29 @@ def test_shards_grow_with_the_corpus():
     n = [m.replicas(w) for w in (0, 1, 1e6, 1e7, 1e8, 1e9)]
     shard = [w / k for w, k in zip((1e6, 1e7, 1e8, 1e9), n[2:])]
     assert n[:2] == [1, 1] and n == sorted(n) and shard == sorted(shard) and shard[-1] > 10 * shard[0]
+
+
+def test_few_streams_take_longer_windows():
+    """Of a long document that outlasts the others, windows have as many more steps, not a few tokens each; every token is handed out once, in order."""
+    docs = [(0, np.arange(20_000).astype("uint16")), *((i, np.arange(100).astype("uint16")) for i in range(1, 300))]
+    met, windows = {k: [] for k, _ in docs}, 0
+    for _, feed, symbols, fresh, live, doc in m.Streams(iter(docs), 16, 32).windows():
+        windows += 1
+        assert symbols.size <= 16 * 32
+        for s in range(symbols.shape[1]):
+            on = live[:, s]
+            for k in np.unique(doc[on, s]).tolist():
+                met[k].append(symbols[on & (doc[:, s] == k), s])
+    assert all((np.concatenate(met[k]) == x).all() for k, x in docs)
+    assert windows < 150  # 625 windows of 32 steps
+
+
+def test_counts_are_handed_on_in_parts(monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join("w%d" % r.randint(0, 400) for _ in range(r.randint(0, 50))) for _ in range(3000)]
+    monkeypatch.setattr(m, "COUNT_WORDS", 100)
+    met, parts = Counter(), 0
+    for b in m._count(pa.table({"text": texts}).to_batches(max_chunksize=70)):
+        parts += 1
+        met.update(dict(zip(b.column("token").to_pylist(), b.column("c").to_pylist())))
+    assert parts > 5 and met == Counter(t for x in texts for t in tokens(x))
